@@ -4,19 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import bpe, host_rules, lang_id, ngram_join
 from .shared import documents
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and their decoding, as digests."""
+    coded = bpe.bpe_encode(documents(spark, sf_dir, "doc_id", "text"), TOKENIZER).drop("text")
+    coded = bpe.bpe_decode(coded, TOKENIZER)
+    return coded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of 4-word shingle sets at Jaccard similarity 0.85."""
     return ngram_join.ngram_classes(documents(spark, sf_dir, "doc_id", "text"), 4, (85, 100))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by compression, learned from the documents that are not held out."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = lang_id.crc_mod("doc_id", 4) == 2
+    learned = lang_id.train(docs.filter(~held_out))
+    out = lang_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), learned, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict of every document; its source is the host."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    return host_rules.quality_verdicts(docs, host=F.col("source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_language_id": op7_language_id,
+    "op8_host_rules": op8_host_rules,
 }
 
 ORACLES: dict[str, str] = {}
