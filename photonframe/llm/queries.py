@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, lang_id, ngram_join
+from . import bpe, host_rules, html_main, lang_id, ngram_join
 from .shared import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,11 +46,18 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality_verdicts(docs, host=F.col("source"))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_main.main_texts(pages, ["page_id", "url"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_host_rules": op8_host_rules,
+    "op10_html_main_text": op10_html_main_text,
 }
 
 ORACLES: dict[str, str] = {}
