@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, html_main, lang_id, ngram_join
+from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, source_mix
 from .shared import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return source_mix.mix(documents(spark, sf_dir, "doc_id", "text", "source")).drop("members")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of 4-word shingle sets at Jaccard similarity 0.85."""
     return ngram_join.ngram_classes(documents(spark, sf_dir, "doc_id", "text"), 4, (85, 100))
@@ -46,6 +51,12 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality_verdicts(docs, host=F.col("source"))
 
 
+def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near-equal bytes."""
+    out = histogram_shards.histogram_shards(documents(spark, sf_dir, "doc_id", "text"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -54,9 +65,11 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_host_rules": op8_host_rules,
+    "op9_histogram_shards": op9_histogram_shards,
     "op10_html_main_text": op10_html_main_text,
 }
 
