@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, source_mix
+from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, secret_scan, source_mix
 from .shared import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,19 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(documents(spark, sf_dir, "doc_id", "text"), 4, (85, 100))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and spans of the base kinds, and all spans."""
+    out = secret_scan.scan(documents(spark, sf_dir, "doc_id", "text"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE]))
+    return out.select(
+        "doc_id",
+        *(of(r.kind) for r in secret_scan.BASE),
+        F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by compression, learned from the documents that are not held out."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
@@ -67,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_secret_scan": op5_secret_scan,
     "op7_language_id": op7_language_id,
     "op8_host_rules": op8_host_rules,
     "op9_histogram_shards": op9_histogram_shards,
