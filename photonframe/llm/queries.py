@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, secret_scan, source_mix
+from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, secret_scan, source_mix, toxicity
 from .shared import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of documents that are not held out."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = lang_id.crc_mod("doc_id", 5) == 0
+    model = toxicity.train(docs, labels.filter(~held_out))
+    return toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return source_mix.mix(documents(spark, sf_dir, "doc_id", "text", "source")).drop("members")
@@ -78,6 +87,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
