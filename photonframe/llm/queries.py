@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, secret_scan, source_mix, toxicity
+from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, nn_descent, secret_scan, source_mix, toxicity
 from .shared import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    graph = nn_descent.build(vectors)
+    return nn_descent.search(graph, vectors.filter("vec_id % 100 = 0"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by compression, learned from the documents that are not held out."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
+    "op6_nn_descent": op6_nn_descent,
     "op7_language_id": op7_language_id,
     "op8_host_rules": op8_host_rules,
     "op9_histogram_shards": op9_histogram_shards,
