@@ -6,7 +6,8 @@ they are composed into one machine whose outputs are kinds of matched clauses. A
 how many clauses of each kind it has, with weights fitted on labelled texts around a prior that stands for the grammar.
 
 The insult lexicon is learned: words and word beginnings of toxic training texts, chosen greedily by how many texts not yet explained
-they occur in, so that words which merely accompany insults are not taken. Training uses at most `sample` labelled texts, by hash
+they occur in, so that words which merely accompany insults are not taken. Where such words leave texts unexplained, word
+beginnings that clean texts hold at times, but not in several words, are taken as well; they are a kind of their own. Training uses at most `sample` labelled texts, by hash
 of the id; scoring covers every whole text.
 
 Null and empty texts have no clause and get the score of the intercept. A text with contradicting labels counts as toxic; null labels are not
@@ -37,10 +38,10 @@ TARGETS = "you your yours yourself u he him she her they them people du dich dir
 NEGATIONS = "not never isn aren wasn don doesn without nicht kein keine niemals nunca jamás sin pas jamais sans"
 REPORTS = "said says told called wrote quoted claimed according sagte sagt schrieb nannte dijo dice escribió llamó dit écrit appelé selon"
 #: Prefix lengths that the lexicon may use.
-LENGTHS = (4, 5, 6)
+LENGTHS = (3, 4, 5, 6, 7, 8)
 #: Kinds of matched clauses, with the prior weight of one.
-KINDS = {"insult": 3.0, "targeted": 4.0, "negated": 0.5, "reported": 1.0, "threat": 0.5, "aimed": 3.0}
-MOST = 3
+KINDS = {"insult": 3.0, "targeted": 4.0, "negated": 0.5, "reported": 1.0, "threat": 0.5, "aimed": 3.0, "weak": 0.5}
+MOST = 4
 
 
 @dataclass
@@ -79,15 +80,15 @@ def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
     return Transducer(arcs)
 
 
-#: Input symbols: I insult, T threat, G target, N negation, R reported speech, o any other word.
-INPUT = "ITGNRo"
+#: Input symbols: I insult, W weak insult, T threat, G target, N negation, R reported speech, o any other word.
+INPUT = "IWTGNRo"
 
 
 def _fading(mark: str, scope: int, changes: dict[str, str]) -> Transducer:
     """For `scope` words after a `mark`, the symbols `changes` are rewritten."""
     arcs: dict[int, dict[str, tuple[int, str]]] = {0: {mark: (scope, mark)}}
     for k in range(1, scope + 1):
-        arcs[k] = {s: (k - 1, changes.get(s, s)) for s in "ITGNRonrtK"}
+        arcs[k] = {s: (k - 1, changes.get(s, s)) for s in "IWTGNRonrK"}
         arcs[k][mark] = (scope, changes.get(mark, mark))
     return Transducer(arcs)
 
@@ -114,31 +115,36 @@ class Model:
 
     words: set[str]
     prefixes: dict[int, set[str]]
+    weak_prefixes: dict[int, set[str]] = field(default_factory=dict)
     weights: list[float] = field(default_factory=lambda: [-3.0, *KINDS.values()])
 
     def __post_init__(self):
         self.machine = grammar()
+        self.begins = {k: self.prefixes.get(k, set()) | self.weak_prefixes.get(k, set()) for k in LENGTHS if k in self.prefixes or k in self.weak_prefixes}
         self.fixed = {w: s for s, ws in (("R", REPORTS), ("N", NEGATIONS), ("G", TARGETS), ("T", THREATS)) for w in ws.split()}
         self.fixed |= dict.fromkeys(self.words, "I")
-        self.threats = set(THREATS.split())
+        self.sought = self.words | set(THREATS.split())
 
     def symbol(self, word: str) -> str:
         if word in self.fixed:
             return self.fixed[word]
-        return "I" if any(word[:k] in p for k, p in self.prefixes.items()) else "o"
+        if any(word[:k] in p for k, p in self.prefixes.items()):
+            return "I"
+        return "W" if any(word[:k] in p for k, p in self.weak_prefixes.items()) else "o"
 
     def counts(self, text: str | None) -> list[int]:
-        """Clauses of each kind, at most MOST of each."""
+        """Clauses of each kind and distinct weak words, at most MOST of each."""
         out = Counter()
         if text:
             low = text.lower()
             words = set(WORD.findall(low))
-            if not words.isdisjoint(self.words) or not words.isdisjoint(self.threats) or any(not p.isdisjoint({w[:k] for w in words}) for k, p in self.prefixes.items()):
+            if not words.isdisjoint(self.sought) or any(not p.isdisjoint({w[:k] for w in words}) for k, p in self.begins.items()):
                 known = {w: self.symbol(w) for w in words}
                 for clause in CLAUSE.split(low):
                     symbols = "".join([known[w] for w in WORD.findall(clause)])
-                    if "I" in symbols or "T" in symbols:
+                    if "I" in symbols or "W" in symbols or "T" in symbols:
                         out.update({OUTPUT[o] for o in self.machine.run(symbols) if o in OUTPUT})
+                out["weak"] = sum(s == "W" for s in known.values())
         return [min(MOST, out[k]) for k in KINDS]
 
     def score(self, counts: list[int]) -> float:
@@ -147,8 +153,10 @@ class Model:
 
 
 def _features(text: str | None) -> set[str]:
+    """Distinct words w, their beginnings b*, and beginnings b** of several words."""
     words = set(WORD.findall(text.lower())) if text else set()
-    return words | {w[:k] + "*" for w in words for k in LENGTHS if len(w) >= k}
+    begins = Counter(w[:k] + "*" for w in words for k in LENGTHS if len(w) >= k)
+    return words | begins.keys() | {f + "*" for f, n in begins.items() if n > 1}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,29 +170,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())], ["feature", "pos", "neg"])
 
 
-def choose(held: list[set[str]], negatives: dict[str, int], n_other: int, least: int) -> list[str]:
-    """Features that explain the toxic texts `held`, greedily: most new texts first, ties to fewer other texts, longer, then by name."""
-    left, out = [set(h) for h in held], []
-    gain = Counter(f for h in left for f in h)
+def choose(held: list[set[str]], negatives: dict[str, int], open_: list[bool], least: int, cost: float) -> list[str]:
+    """Features that explain the toxic texts `held` that are open, greedily: most new texts first, each clean text with the feature
+    counting against it `cost` times; ties to longer features, then by name. What they explain is no longer open."""
+    out: list[str] = []
+    gain: Counter[str] = Counter()
     holders: dict[str, list[int]] = {}
-    for i, h in enumerate(left):
-        for f in h:
-            holders.setdefault(f, []).append(i)
-    open_ = [True] * len(left)
-    allowed = {f for f in gain if negatives.get(f, 0) <= 0.004 * n_other}
+    for i, h in enumerate(held):
+        if open_[i]:
+            gain.update(h)
+            for f in h:
+                holders.setdefault(f, []).append(i)
+    allowed = {f for f in gain if gain[f] >= least}
     while allowed:
-        best = min(allowed, key=lambda f: (negatives.get(f, 0) * 5 - gain[f], -len(f.rstrip("*")), f))
-        if gain[best] < least or gain[best] <= 5 * negatives.get(best, 0):
+        best = min(allowed, key=lambda f: (negatives.get(f, 0) * cost - gain[f], -len(f.rstrip("*")), f))
+        if gain[best] < least or gain[best] <= cost * negatives.get(best, 0):
             break
         out.append(best)
-        allowed.discard(best)
         for i in holders[best]:
             if open_[i]:
                 open_[i] = False
-                gain.subtract(left[i])
+                gain.subtract(held[i])
+        allowed = {f for f in allowed if f != best and gain[f] >= least}
     return out
 
 
+def _split(picked: list[str]) -> tuple[set[str], dict[int, set[str]]]:
+    begins = {k: {f[:-1] for f in picked if f.endswith("*") and len(f) == k + 1} for k in LENGTHS}
+    return {f for f in picked if not f.endswith("*")}, {k: p for k, p in begins.items() if p}
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3) -> Model:
     """A model from at most `sample` labelled texts of docs (doc_id, text) and labels (doc_id, toxic)."""
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -196,14 +211,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int =
         seen = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         n_toxic, n_other = seen.get(1, 0), seen.get(0, 0)
         counts = texts.mapInArrow(_count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        # Both bounds follow the sample, so what reaches the driver is bounded too.
+        # All bounds follow the sample, so what reaches the driver is bounded too.
         rows = counts.filter((F.col("pos") >= least) & (F.col("neg") <= 0.004 * n_other) & (F.col("pos") > 5 * F.col("neg"))).collect()
         negatives = {r.feature: r.neg for r in rows}
         toxic = [r.text for r in texts.filter("toxic = 1").select("h", "text").orderBy("h").toLocalIterator()]
         held = [_features(t) & negatives.keys() for t in toxic]
-        picked = choose(held, negatives, max(1, n_other), max(least, n_toxic // 500))
-        model = Model({f for f in picked if not f.endswith("*")} | set(INSULTS.split()), {k: {f[:-1] for f in picked if f.endswith("*") and len(f) == k + 1} for k in LENGTHS})
-        model.prefixes = {k: p for k, p in model.prefixes.items() if p}
+        open_ = [True] * len(held)
+        enough = max(least, n_toxic // 500)
+        single = {f for f in negatives if not f.endswith("**")}
+        often = {r.feature for r in rows if r.pos >= max(5, n_toxic // 100)} & single
+        picked = choose([h & single for h in held], negatives, open_, enough, 5)
+        # Words of many toxic texts need not bring many new ones.
+        words, prefixes = _split(picked + choose([h & often for h in held], negatives, open_, 1, 5))
+        weak_prefixes = _split([f[:-1] for f in choose([h - single for h in held], negatives, open_, enough, 5)])[1]
+        model = Model(words | set(INSULTS.split()), prefixes, weak_prefixes)
         shipped = docs.sparkSession.sparkContext.broadcast(model)
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
