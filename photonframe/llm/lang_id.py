@@ -6,7 +6,7 @@ is encoded with every dictionary, and the smallest result names the language; a
 
 Words are taken rather than passages so that a copy of one mislabelled text in a dictionary weighs nothing. Texts without a
 letter, and null texts, are `und`. The sample is bounded: `per_lang` labelled texts of each language, chosen by hash of the id;
-`max_langs` bounds the languages, and more raise an error. Ties go to the language first in code point order.
+`max_langs` bounds the languages, and more raise an error. Ties go to the language with most labelled texts.
 Rows of null language or id are not learned from. Repeated rows are predicted each. Extra columns are ignored.
 """
 
@@ -32,9 +32,12 @@ def distinct_words(text: str | None) -> list[str]:
     return list(dict.fromkeys(WORDS.findall(text.lower()))) if text else []
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = 600, size: int = 48 << 10, max_langs: int = 200) -> dict[str, bytes]:
-    """A dictionary for each language, from at most `per_lang` texts of each."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = 600, size: int = 48 << 10, max_langs: int = 100) -> dict[str, bytes]:
+    """A dictionary for each language, from at most `per_lang` texts of each; languages with most labelled texts first."""
     ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter("id is not null and lang is not null")
+    common = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs + 1).collect()
+    if len(common) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = ids.withColumn("r", rank).filter(F.col("r") <= per_lang).select("id", "lang").distinct()
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -44,7 +47,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "word"))
     rows = words.withColumn("r", best).filter(F.col("r") <= size // 2).select("lang", "word", "r").collect()
     out: dict[str, bytes] = {}
-    for lang in sorted({r.lang for r in rows}):
+    for lang in (c.lang for c in common):
         kept, used = [], 0
         for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.r):
             used += len(r.word.encode()) + 1
@@ -52,8 +55,6 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 break
             kept.append(r.word)
         out[lang] = (" " + " ".join(reversed(kept)) + " ").encode()
-    if len(out) > max_langs:
-        raise ValueError(f"{len(out)} languages; max_langs is {max_langs}")
     return out
 
 
@@ -67,7 +68,7 @@ class Coder:
     """Compressors with one dictionary each. Short texts take the level that also finds short matches."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.by_level = []
         for level in (6, 19):
             made = []

@@ -18,7 +18,7 @@ def test_learns_and_handles_odd_rows(spark):
     rows += [(500, None, "aa", None), (501, "", "bb", None), (502, "123 !!", None, None), (None, "thering", "aa", None), (503, made(rng, "bb", 9000).upper(), None, None), (503, made(rng, "bb", 9000).upper(), None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     learned = lang_id.train(df.filter("doc_id < 60"))
-    assert sorted(learned) == list(SYLLABLES)
+    assert set(learned) == set(SYLLABLES)
     got = lang_id.predict(df.select("doc_id", "lang", "text"), learned, ["doc_id", "lang"]).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     by_id = {r.doc_id: r for r in got}
