@@ -93,17 +93,18 @@ def _cut(rows: DataFrame, column: Column) -> DataFrame:
     return sums.select("p", F.col("bucket").alias("cut"), (F.col("left") - F.col("before")).alias("rest"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), cap: int = 2, seed: int = 1, max_patterns: int = 20_000) -> DataFrame:
-    """(id_col, members, size, source_size, target, taken) of every row. `sources` is an array of strings, null elements allowed;
-    source_size and target are those of the first of a document's sources."""
+def _uses(docs: DataFrame, keep: tuple[str, ...], id_col: str, text_col: str, sources: Column | None, weights: tuple[int, ...], share: Fraction, cap: int, seed: int, max_patterns: int) -> DataFrame:
+    """(id, keep as __0..., members, size, source_size, target, uses) of every row."""
     spark = docs.sparkSession
     members = F.array_sort(F.array_distinct(F.coalesce(sources if sources is not None else F.array(F.col("source").cast("string")), F.array(F.lit(None).cast("string")))))
     rows = docs.select(
-        F.col(id_col).alias("id"), members.alias("members"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("r"),
+        F.col(id_col).alias("id"), *(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)), members.alias("members"),
+        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("r"),
     )
-    rows = saved(rows, "sizes")
-    found = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
+    light = saved(rows.select("id", "members", "size", "r"), "sizes")
+    if not keep:
+        rows = light
+    found = light.groupBy("members").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     found = sorted(found, key=lambda x: [(s is None, s or "") for s in x.members])
@@ -118,18 +119,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
         uses = t // x.size if x.size else 0
         plan.append((x.members, len(plan), uses, t - uses * x.size, sizes[first] if x.members else 0, float(wanted[first]) if x.members else 0.0))
     plan = F.broadcast(spark.createDataFrame(plan, "members array<string>, p int, uses long, left long, source_size long, target double"))
-    rows = rows.join(plan, "members")
     high, low = F.shiftright("r", 56), F.shiftright("r", 48)
-    first = _cut(rows, high)
-    inner = rows.join(F.broadcast(first), "p").filter(high == F.col("cut")).withColumn("left", F.col("rest")).drop("cut", "rest")
-    second = _cut(inner, low)
+    light = light.join(plan, "members")
+    first = saved(_cut(light, high), "cut")
+    inner = light.join(F.broadcast(first), "p").filter(high == F.col("cut")).withColumn("left", F.col("rest")).drop("cut", "rest")
+    second = saved(_cut(inner, low), "cut")
     edge = inner.drop("left").join(F.broadcast(second), "p").filter(low == F.col("cut"))
     running = F.sum("size").over(Window.partitionBy("p").orderBy("r", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = edge.withColumn("run", running).filter("run - size / 2 <= rest")
-    last = edge.groupBy("p").agg(F.max(F.struct("r", "id", "run")).alias("e")).select("p", F.col("e.r").alias("last_r"), F.col("e.id").alias("last_id"))
+    last = edge.groupBy("p").agg(F.max(F.struct("r", "id")).alias("e")).select("p", F.col("e.r").alias("last_r"), F.col("e.id").alias("last_id"))
     marks = first.select("p", F.col("cut").alias("c1")).join(F.broadcast(second.select("p", F.col("cut").alias("c2"))), "p", "left").join(F.broadcast(last), "p", "left")
-    out = rows.join(F.broadcast(marks), "p", "left")
+    out = rows.join(plan, "members").join(F.broadcast(saved(marks, "marks")), "p", "left")
     at_edge = F.expr("last_r is not null and (r < last_r or (r = last_r and id <= last_id))")
     more = F.when(F.col("c1").isNull(), F.lit(False)).otherwise((high < F.col("c1")) | ((high == F.col("c1")) & ((low < F.col("c2")) | ((low == F.col("c2")) & at_edge))))
-    uses = F.col("uses") + F.coalesce(more, F.lit(False)).cast("long")
-    return out.select(F.col("id").alias(id_col), "members", "size", "source_size", "target", (F.col("size") * uses).alias("taken"))
+    return out.withColumn("uses", F.col("uses") + F.coalesce(more, F.lit(False)).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), cap: int = 2, seed: int = 1, max_patterns: int = 20_000) -> DataFrame:
+    """(id_col, members, size, source_size, target, taken) of every row. `sources` is an array of strings, null elements allowed;
+    source_size and target are those of the first of a document's sources."""
+    out = _uses(docs, (), id_col, text_col, sources, weights, share, cap, seed, max_patterns)
+    return out.select(F.col("id").alias(id_col), "members", "size", "source_size", "target", (F.col("size") * F.col("uses")).alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), cap: int = 2, seed: int = 1, max_patterns: int = 20_000) -> DataFrame:
+    """Every row of `docs` as often as the mix takes it; a row without words stays once."""
+    keep = tuple(docs.columns)
+    out = _uses(docs, keep, id_col, text_col, sources, weights, share, cap, seed, max_patterns)
+    uses = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("uses")).cast("int")
+    out = out.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), F.explode(F.array_repeat(F.lit(0), uses)).alias("__use"))
+    return out.drop("__use")
