@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _name in ("frames", "stats"):
+    _module = import_module(f"photonframe.plans.{_name}")
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
