@@ -51,7 +51,7 @@ def with_weights(selected: DataFrame) -> DataFrame:
     """Weight: the least wfwhm of all rows over the frame's own; 0 where not accepted."""
     least = selected.agg(F.min("wfwhm").alias("__least"))
     out = selected.crossJoin(F.broadcast(least))
-    return out.withColumn("weight", F.when(F.col("accepted"), F.coalesce(F.col("__least") / F.col("wfwhm"), F.lit(1.0))).otherwise(0.0)).drop("__least")
+    return out.withColumn("weight", F.when(F.col("accepted"), F.coalesce(F.try_divide("__least", "wfwhm"), F.lit(1.0))).otherwise(0.0)).drop("__least")
 
 
 def per_folder_quota(frames: DataFrame, limit: int, folder: str, *order: str) -> DataFrame:

@@ -162,7 +162,7 @@ QUERIES = {
 ORACLES = {
     "frame_selection": _SELECTION_SQL
     + """ SELECT frame_id, grp, array_to_string(list_filter([first_reason, CASE WHEN long_ THEN 'elongated' END, CASE WHEN worse THEN 'worse than the best share' END], lambda x: x IS NOT NULL), ';') AS reasons,
-      accepted, round(CASE WHEN accepted THEN coalesce(min(wfwhm) OVER () / wfwhm, 1.0) ELSE 0.0 END, 6) AS weight FROM f""",
+      accepted, round(CASE WHEN accepted THEN coalesce(min(wfwhm) OVER () / nullif(wfwhm, 0), 1.0) ELSE 0.0 END, 6) AS weight FROM f""",
     "frame_overrides": _SELECTION_SQL
     + """, g AS (SELECT grp, CASE WHEN NOT registered THEN FALSE WHEN frame_id % 13 = 0 THEN frame_id % 2 = 0 ELSE accepted END AS ok FROM f)
       SELECT grp, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE NOT ok) AS rejected FROM g GROUP BY grp""",
