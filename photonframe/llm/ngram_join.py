@@ -141,25 +141,30 @@ def tile_forest(sizes: np.ndarray, maps: np.ndarray, num: int, den: int, sets: l
     return forest.edges
 
 
-def _features(n: int, num: int, den: int, id_col: str, text_col: str):
+def _features(n: int, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = bands(num, den)[0][0]
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = shingle_sets(part.column(part.schema.get_field_index("text")), n)
+                sums = np.array([(np.sum(mix(s), dtype=np.uint64), np.bitwise_xor.reduce(mix(s ^ U64(0xA5A5A5A5)))) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2)
+                bits = [bitmap(s, width(len(s), 4)).tobytes() if len(s) >= least else None for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), *columns], ["id", "n", "s1", "s2", "bits"])
+
+    return run
+
+
+def _keys(n: int, num: int, den: int):
+    """One row (id, key) for each tile key of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows, highs = bands(num, den)
         for batch in batches:
-            for part in chunks(batch, text_col):
-                sets = shingle_sets(part.column(part.schema.get_field_index(text_col)), n)
-                sums = [(int(np.sum(mix(s), dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s ^ U64(0xA5A5A5A5))))) if len(s) else (0, 0) for s in sets]
-                keys = [keys_of(s, num, den, lows, highs).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(part.schema.get_field_index(id_col)).cast(pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array([s[0] for s in sums], np.uint64).view(np.int64)),
-                        pa.array(np.array([s[1] for s in sums], np.uint64).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64())),
-                        pa.array([bitmap(s, width(len(s), 4)).tobytes() if len(k) else None for s, k in zip(sets, keys, strict=True)], pa.binary()),
-                    ],
-                    ["id", "n", "s1", "s2", "keys", "bits"],
-                )
+            for part in chunks(batch, "text"):
+                ids = part.column(part.schema.get_field_index("id")).to_numpy()
+                keys = [keys_of(s, num, den, lows, highs) for s in shingle_sets(part.column(part.schema.get_field_index("text")), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(k) for k in keys])), pa.array(np.concatenate(keys).view(np.int64))], ["id", "key"])
 
     return run
 
@@ -211,16 +216,16 @@ def ngram_classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80
     if not 0 < num <= den:
         raise ValueError("similarity is a fraction above 0, at most 1")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    feats = saved(base.mapInArrow(_features(n, num, den, "id", "text"), "id long, n long, s1 long, s2 long, keys array<long>, bits binary"), "shingles")
-    classes = feats.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("id").alias("c"))
-    classes = saved(classes, "classes")
-    reps = classes.filter("rep is not null and n > 0").select(F.col("rep").alias("id"), "n", "s1", "s2")
-    # Which rows are representatives: an id with its set; repeated rows of it collapse under the distinct below.
-    sets = feats.filter("size(keys) > 0").join(reps, ["id", "n", "s1", "s2"], "left_semi")
-    keyed = sets.select("id", F.explode("keys").alias("key")).withColumn("g", F.min("id").over(Window.partitionBy("key"))).filter("g <> id")
-    stars = keyed.select("g", "id").distinct()
-    stars = saved(stars.unionAll(stars.select("g", F.col("g").alias("id")).distinct()), "stars")
-    maps = feats.filter("size(keys) > 0").select("id", "n", "bits").join(stars.select("id").distinct(), "id", "left_semi")
+    feats = saved(base.mapInArrow(_features(n, num, den), "id long, n long, s1 long, s2 long, bits binary"), "shingles")
+    classes = saved(feats.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
+    # Texts that are not their class's representative leave before any key is made.
+    copies = feats.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).filter("id <> rep").select("id").distinct()
+    copies = saved(copies, "copies")
+    unique = base.filter("id is not null").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti")
+    keyed = unique.mapInArrow(_keys(n, num, den), "id long, key long").withColumn("g", F.min("id").over(Window.partitionBy("key"))).filter("g <> id")
+    stars = saved(keyed.select("g", "id").distinct(), "stars")
+    stars = stars.unionAll(stars.select("g", F.col("g").alias("id")).distinct())
+    maps = feats.filter("bits is not null").select("id", "n", "bits").join(stars.select("id").distinct(), "id", "left_semi")
     maps = maps.groupBy("id").agg(F.max(F.struct("n", "bits")).alias("m")).select("id", "m.n", "m.bits")
     families = components(saved(_tiled(stars.join(maps, "id"), num, den, False), "candidates"))
     families = saved(families, "families")
