@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, nn_descent, secret_scan, source_mix, toxicity
+from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, nn_descent, oracles, secret_scan, source_mix, toxicity
 from .shared import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,7 +77,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document; its source is the host."""
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
-    return host_rules.quality_verdicts(docs, host=F.col("source"))
+    out = host_rules.quality_verdicts(docs, host=F.col("source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_verdict", "kept")
 
 
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_main_text": op10_html_main_text,
 }
 
-ORACLES: dict[str, str] = {}
+#: Learned, hashed and searched results have no SQL; tests hold those queries against plain versions.
+ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": oracles.ngram_components(4, 85, 100),
+    "op5_secret_scan": oracles.secret_spans(),
+    "op8_host_rules": oracles.host_verdicts(),
+}
