@@ -29,7 +29,7 @@ def select_frames(frames: DataFrame, group: list[str], sensitivity: float = 1.0,
     live = F.col("__first").isNull()
     round_ = F.when(live, F.col("roundness"))
     df = df.withColumn("__n", F.count(round_).over(part)).withColumn("__mu", F.avg(round_).over(part)).withColumn("__sd", F.stddev_pop(round_).over(part))
-    df = df.withColumn("__long", F.coalesce(live & (F.col("__n") >= 10) & (F.col("roundness") < F.col("__mu") - 2.5 * F.col("__sd")), F.lit(False)))
+    df = df.withColumn("__long", F.coalesce(live & (F.col("__n") >= 10) & (F.col("roundness") < F.col("__mu") - 2.5 * F.col("__sd") - 1e-12), F.lit(False)))
     still = live & ~F.col("__long")
     rank = F.row_number().over(part.orderBy(F.when(still, 0).otherwise(1), F.col("wfwhm").isNull(), F.coalesce("wfwhm", F.lit(0.0)), order))
     df = df.withColumn("__alive", F.sum(still.cast("int")).over(part)).withColumn("__rank", rank)

@@ -21,7 +21,7 @@ a AS (SELECT *, CASE WHEN NOT registered THEN 'not registered' WHEN coalesce(nbs
 b AS (SELECT *, count(CASE WHEN first_reason IS NULL THEN roundness END) OVER p AS n,
         avg(CASE WHEN first_reason IS NULL THEN roundness END) OVER p AS mu,
         stddev_pop(CASE WHEN first_reason IS NULL THEN roundness END) OVER p AS sd FROM a WINDOW p AS (PARTITION BY grp)),
-c AS (SELECT *, coalesce(first_reason IS NULL AND n >= 10 AND roundness < mu - 2.5 * sd, FALSE) AS long_ FROM b),
+c AS (SELECT *, coalesce(first_reason IS NULL AND n >= 10 AND roundness < mu - 2.5 * sd - 1e-12, FALSE) AS long_ FROM b),
 d AS (SELECT *, sum(CASE WHEN first_reason IS NULL AND NOT long_ THEN 1 ELSE 0 END) OVER (PARTITION BY grp) AS alive,
         row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN first_reason IS NULL AND NOT long_ THEN 0 ELSE 1 END, wfwhm IS NULL, coalesce(wfwhm, 0), frame_id) AS rk FROM c),
 e AS (SELECT *, first_reason IS NULL AND NOT long_ AND alive >= 10 AND rk > greatest(3, ceil(alive * 82.5 / 100)) AS worse FROM d),
