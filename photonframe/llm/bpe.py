@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .textscan import chunks
 
 #: Distinct pieces whose ids a worker remembers between slices.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 
 
 @cache
@@ -55,7 +55,8 @@ def pieces_pattern() -> re.Pattern:
     kinds = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
     letter, number = _ranges(lambda c: kinds[c] == "L"), _ranges(lambda c: kinds[c] == "N")
     space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+    # Letters and numbers come first, as most pieces are such; no contraction starts like one.
+    return re.compile(rf" ?[{letter}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
 class Vocabulary:
@@ -83,6 +84,7 @@ class Vocabulary:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for text, i in self.added.items():
             self.token_bytes[i] = text.encode()
+        self.decoding = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
         self.split = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.byte_table = np.array(self.byte_ids)
         self.byte_ranks = np.full((256, 256), -1, np.int32)
@@ -158,11 +160,12 @@ class Vocabulary:
                 for part in self.split.split(text):
                     row += [self.added[part]] if part in self.added else find(part)
                 rows.append(row)
-        fresh = {p for row in rows for p in row}.difference(known)
+        every = set().union(*rows)
+        fresh = every.difference(known)
         if len(known) + len(fresh) > REMEMBERED:
             self.older, self.known = known, {i: known[i] for i in self.added.values()}
             known = self.known
-            fresh = {p for row in rows for p in row}.difference(known)
+            fresh = every.difference(known)
         older = self.older
         known.update((p, older[p]) for p in fresh if p in older)
         names = [p for p in fresh if p not in known]
@@ -172,11 +175,10 @@ class Vocabulary:
 
     def decode(self, packed: list[bytes | None]) -> list[str]:
         """Text of packed ids; bytes that are not UTF-8 become U+FFFD. An id outside the vocabulary gives nothing."""
-        table = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
-        out = []
+        table, out = self.decoding, []
         for row in packed:
             ids = np.frombuffer(row or b"", "<u4")
-            out.append(b"".join(map(table.__getitem__, ids[ids < len(table)].tolist())).decode("utf-8", "replace"))
+            out.append(b"".join(map(table.__getitem__, (ids[ids < len(table)] if len(ids) and ids.max() >= len(table) else ids).tolist())).decode("utf-8", "replace"))
         return out
 
 
@@ -195,20 +197,26 @@ def _shipped(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """`docs` with `ids_col`, the ids packed as little-endian unsigned 32-bit integers (see `unpacked`)."""
+def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, drop_text: bool = False) -> DataFrame:
+    """`docs` with `ids_col`, the ids packed as little-endian unsigned 32-bit integers (see `unpacked`), and with `decoded_col`
+    their decoding in the same pass; without the text if `drop_text`."""
     content = _shipped(docs, path)
-    kept = [c for c in docs.columns if c != ids_col]
+    kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    out = [c for c in kept if not (drop_text and c == text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content.value)
         for batch in batches:
             for part in chunks(batch, text_col, 1 << 20):
                 ids = vocabulary.encode(part.column(part.schema.get_field_index(text_col)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(ids, pa.binary())], [*kept, ids_col])
+                made = {ids_col: pa.array(ids, pa.binary())}
+                if decoded_col:
+                    made[decoded_col] = pa.array(vocabulary.decode(ids), pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in out), *made.values()], [*out, *made])
 
     base = docs.select(*(F.col(f"`{c}`") for c in kept))
-    return base.mapInArrow(run, base.withColumn(ids_col, F.lit(b"")).schema)
+    given = base.select(*(F.col(f"`{c}`") for c in out), F.lit(b"").alias(ids_col), *([F.lit("").alias(decoded_col)] if decoded_col else []))
+    return base.mapInArrow(run, given.schema)
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -16,8 +16,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and their decoding, as digests."""
-    coded = bpe.bpe_encode(documents(spark, sf_dir, "doc_id", "text"), TOKENIZER).drop("text")
-    coded = bpe.bpe_decode(coded, TOKENIZER)
+    coded = bpe.bpe_encode(documents(spark, sf_dir, "doc_id", "text"), TOKENIZER, decoded_col="decoded", drop_text=True)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

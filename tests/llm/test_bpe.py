@@ -53,6 +53,9 @@ def test_frames_keep_other_columns_and_nulls(spark, tokenizer):
     for r in got.collect():
         assert r.list == tokenizer.encode(r.text or "", add_special_tokens=False).ids
         assert r.decoded == (r.text or "")
+    same = bpe.bpe_encode(df, PATH, decoded_col="decoded", drop_text=True)
+    assert same.columns == ["doc_id", "lang", "ids", "decoded"]
+    assert sorted((r.doc_id, bytes(r.ids), r.decoded) for r in same.collect()) == sorted((r.doc_id, bytes(r.ids), r.decoded) for r in got.collect())
     assert bpe.bpe_encode(df.limit(0), PATH).count() == 0
 
 
