@@ -257,6 +257,8 @@ def labelled_pages(count: int = 400, seed: int = 11) -> Iterator[str]:
 
     def other() -> str:
         kind = pick(("ad", "ad", "nav", "side", "notice", "comment", "share", "form", "side"))
+        if kind in ("ad", "notice", "share", "comment") and rng.random() < 0.25:
+            return named(kind, ("p", "p", "span", "li"), text(2, 40, False))
         tags = {"nav": ("nav", "div", "ul"), "side": ("aside", "div", "section"), "form": ("form", "form", "div"), "notice": ("div", "section", "dialog"), "comment": ("div", "section", "ol")}.get(kind, ("div", "section", "aside"))
         if kind == "form":
             inside = f"<label>{text(1, 5, False)}</label><input><button>{text(1, 3, False)}</button>"

@@ -21,6 +21,18 @@ def test_page_by_hand():
     assert hm.extract(PAGE, hm.default_chain()) == want
 
 
+def test_other_layouts():
+    chain = hm.default_chain()
+    long = "These words tell the story at some length, with commas, and then they go on."
+    cases = [
+        f'<body><div class="top-bar">Menu | Home</div><div class="story"><h1>Head</h1><p>{long}</p><p class="ad">Buy it today, it is very cheap.</p><p>{long}</p><section id="reader-comments"><p>{long}</p></section></div></body>',
+        f'<body><header><h2>Site</h2></header><main><h1>Head</h1><p>{long}</p><aside><p>{long}</p></aside><p>{long}</p></main><div id="cookie-banner"><p>{long}</p></div></body>',
+        f'<body><article><h1>Head</h1><p>{long}</p><div class="newsletter-signup"><form><p>{long}</p></form></div><p>{long}</p><div class="comments"><div class="comment"><p>{long}</p></div></div><footer>{long}</footer></article></body>',
+    ]
+    for page in cases:
+        assert hm.extract(page, chain) == f"Head {long} {long}"
+
+
 def test_blocks_of_odd_pages():
     chain = hm.default_chain()
     for page in (None, "", "<p", "</p>", "<!-- x", "<script>a", "<div><p></p></div>", "&nbsp;", "<br><br>"):
