@@ -153,3 +153,68 @@ def largest_rectangle(mask: np.ndarray) -> tuple[int, int, int, int]:
                     best = (y - tall + 1, start, tall, x - start)
             open_.append((start, int(h)))
     return best
+
+
+def ssim(a: np.ndarray, b: np.ndarray, span: float, sigma: float = 1.5) -> float:
+    """Mean structural similarity with a Gaussian window; the reach of the window is cut off."""
+    g = lambda x: gaussian(x, sigma)
+    ma, mb = g(a), g(b)
+    va, vb, vab = g(a * a) - ma**2, g(b * b) - mb**2, g(a * b) - ma * mb
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    return float(((2 * ma * mb + c1) * (2 * vab + c2) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+
+
+def matching_kernel(sharp: np.ndarray, seen: np.ndarray, weight: np.ndarray, half: int) -> tuple[np.ndarray, float, float]:
+    """(kernel, offset, chi2): the kernel that best turns `sharp` (larger by `half` on all sides) into `seen`, and the weighted mean
+    squared residual."""
+    views = np.concatenate((_stack(sharp, half).reshape((2 * half + 1) ** 2, -1), np.ones((1, seen.size))))
+    w = weight.ravel()
+    normal = (views * w) @ views.T
+    solved = np.linalg.solve(normal + 1e-9 * np.trace(normal) / len(normal) * np.eye(len(normal)), (views * w) @ seen.ravel())
+    chi2 = float((w * (seen.ravel() - solved @ views) ** 2).sum() / max(1, np.count_nonzero(w)))
+    return solved[:-1].reshape(2 * half + 1, -1), float(solved[-1]), chi2
+
+
+def match_similarity(a: np.ndarray, b: np.ndarray, n: int = 30, tolerance: float = 2.0) -> np.ndarray | None:
+    """A 2 by 3 similarity (scale, rotation, shift, either parity) that maps points a onto b, brightest first; null if no pattern agrees.
+
+    Pairs of the brightest points vote: each pair of a and of b with about equal length gives a transform, judged by how many
+    points it brings within `tolerance` of others.
+    """
+    a, b = np.asarray(a, float)[:n], np.asarray(b, float)[:n]
+    best, found = 2, None
+    complex_ = lambda p, flip: p[:, 0] + 1j * (-p[:, 1] if flip else p[:, 1])
+    zb = complex_(b, False)
+    few_a, few_b = min(12, len(a)), min(12, len(b))
+    for flip in (False, True):
+        za = complex_(a, flip)
+        for i in range(few_a):
+            for j in range(few_a):
+                if i == j:
+                    continue
+                for k in range(few_b):
+                    m = (np.delete(zb[:few_b], k) - zb[k]) / (za[j] - za[i])
+                    for turn in m[(np.abs(m) > 0.5) & (np.abs(m) < 2)]:
+                        moved = turn * (za - za[i]) + zb[k]
+                        hits = int((np.abs(moved[:, None] - zb[None]).min(axis=1) < tolerance).sum())
+                        if hits > best:
+                            best, s = hits, -1.0 if flip else 1.0
+                            shift = zb[k] - turn * za[i]
+                            found = np.array([[turn.real, -turn.imag * s, shift.real], [turn.imag, turn.real * s, shift.imag]])
+                if best >= 0.8 * min(len(a), len(b)) and best > 3:
+                    return found
+    return found
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG of (y, x, 3) or (y, x) arrays of uint8 or uint16."""
+    import struct
+    import zlib
+
+    a = pixels if pixels.ndim == 3 else pixels[..., None]
+    depth = 8 * a.dtype.itemsize
+    raw = a.astype(">u2" if depth == 16 else np.uint8)
+    rows = b"".join(b"\0" + r.tobytes() for r in raw)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", a.shape[1], a.shape[0], depth, 2 if a.shape[2] == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
