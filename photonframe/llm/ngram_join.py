@@ -6,8 +6,8 @@
    The hash space is cut into K parts. Linked sets differ in at most k elements, so at least K - k parts are
    equal; K leaves room for empty ones. Sets with too many empty parts repeat under another seed, and after the
    last seed share tiles by prefix elements. So every linked pair shares a key, whatever the data; no key is capped.
-3. Keys are reduced to (set, smallest set with that key). The sets around one such pivot form a tile; large tiles
-   are split into blocks that meet pairwise. In a tile bitmaps bound each overlap from above: elements hashed to
+3. Keys are reduced to (set, one set with that key: the smallest, or for hot keys one found on a sample). The sets around one such
+   pivot form a tile; large tiles are split into blocks that meet pairwise. In a tile bitmaps bound each overlap from above: elements hashed to
    bits that the other lacks cannot be shared. What passes gives a forest of candidates, whose components are families.
 4. Families (blocked alike) intersect the sorted arrays of the pairs that pass the bound and are not yet joined.
 
@@ -30,6 +30,8 @@ from .textscan import U64, buffers, chunks, grams, mix, word_hashes, words
 BLOCK = 384
 BROADCAST_ROWS = 1_000_000
 SEEDS = 3
+#: A key is hot if it has more than 1 / HOT_SHARE of the sampled rows of repeated keys, so that there are fewer than HOT_SHARE hot keys.
+SAMPLE, HOT_SHARE = 64, 20_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -222,7 +224,15 @@ def ngram_classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80
     copies = feats.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).filter("id <> rep").select("id").distinct()
     copies = saved(copies, "copies")
     unique = base.filter("id is not null").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti")
-    keyed = unique.mapInArrow(_keys(n, num, den), "id long, key long").withColumn("g", F.min("id").over(Window.partitionBy("key"))).filter("g <> id")
+    make = lambda docs_: docs_.mapInArrow(_keys(n, num, den), "id long, key long")
+    # Keys that more than one in HOT_SHARE rows has are found on every SAMPLE-th text by id hash. Any set with the key can be its
+    # pivot, so theirs is fixed beforehand and their rows are spread over tasks; no window gathers them. Others take the smallest set.
+    counted = saved(make(unique.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).filter("c > 7"), "counts")
+    total = counted.agg(F.sum("c").alias("total"))
+    hot = saved(counted.crossJoin(F.broadcast(total)).filter(F.col("c") * HOT_SHARE > F.col("total")).select("key", "pivot"), "hot")
+    keyed = make(unique).join(F.broadcast(hot), "key", "left")
+    salt = F.when(F.col("pivot").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(4096)).cast("int") + 1)
+    keyed = keyed.withColumn("g", F.coalesce("pivot", F.min("id").over(Window.partitionBy("key", salt)))).filter("g <> id")
     stars = saved(keyed.select("g", "id").distinct(), "stars")
     stars = stars.unionAll(stars.select("g", F.col("g").alias("id")).distinct())
     maps = feats.filter("bits is not null").select("id", "n", "bits").join(stars.select("id").distinct(), "id", "left_semi")

@@ -28,6 +28,7 @@ def test_blocks_and_seeds_change_nothing(spark, monkeypatch):
     sets = {i: shingles(t, 4) for i, t in enumerate(texts)}
     want = components(list(sets), sets, 85, 100)
     monkeypatch.setattr(nj, "BLOCK", 7)
+    monkeypatch.setattr(nj, "SAMPLE", 2)
     assert {i: c for i, (_, c) in run(spark, texts, 4, (85, 100)).items()} == want
 
 
