@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Panels that a field may be planned in.
+MAX_PANELS = 10_000
+
+
 def calibrated(raw: Column, bias: Column, dark: Column, flat: Column, k: Column | float = 1.0) -> Column:
     """(raw - bias - k dark) / flat; a missing master does nothing."""
     k = k if isinstance(k, Column) else F.lit(float(k))
@@ -102,7 +106,10 @@ def gain_offset(both: DataFrame, keys: list[str], reference: str, value: str) ->
 
 
 def covered_area(samples: DataFrame, panels: DataFrame, panel_id: str) -> DataFrame:
-    """Samples (sid, x, y) with `covered` and `nearest_panel` of uncovered ones. Panels (x0, x1, y0, y1, cx, cy) are a short plan."""
+    """Samples (sid, x, y) with `covered` and `nearest_panel` of uncovered ones. Panels (x0, x1, y0, y1, cx, cy) are a plan
+    of at most MAX_PANELS, each of which meets every sample; more raise an error."""
+    if panels.limit(MAX_PANELS + 1).count() > MAX_PANELS:
+        raise ValueError(f"more than {MAX_PANELS} panels")
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
     both = samples.join(F.broadcast(panels), F.lit(True))

@@ -59,7 +59,7 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, sf_dir, "nation").join(matching.small(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     path = F.element_at(F.array(F.lit("ISM > HII"), F.lit("G > GiG"), F.lit("* > V*"), F.lit("* > **"), F.lit("? > err")), F.col("n_regionkey") + 1)
     return n.select("n_nationkey", "r_name", sky.type_category(path, F.when(F.col("n_nationkey") % 7 == 0, "Variable of a kind")).alias("category"))
 
