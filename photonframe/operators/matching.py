@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +44,6 @@ def contiguous_ranges(rows: DataFrame, keys: list[str], index: str) -> DataFrame
     return distinct.withColumn("__run", run).groupBy(*keys, "__run").agg(F.min(index).alias("first"), F.max(index).alias("last")).drop("__run")
 
 
-def nearest(left: DataFrame, right: DataFrame, id_col: str, condition: Column, order: Sequence[Column], on: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
-    """Left rows with the best right row by `order` among those that meet `condition` (and equal `on`); null where there is none.
-
-    Give equality columns in `on`, so that this is an equi-join; without them the right side is a small library.
-    """
-    joined = left.join(right, [left[c] == right[c] for c in on] + [condition] if on else condition, "left")
-    rank = F.row_number().over(Window.partitionBy(left[id_col]).orderBy(*order))
-    return joined.withColumn("__r", rank).filter(F.col("__r") == 1).select(*(left[c] for c in left.columns), *(right[c] for c in keep))
-
-
 def permissive(a: Column, b: Column, tolerance: float) -> Column:
     """Within a tolerance, or unknown on either side."""
     return a.isNull() | b.isNull() | (F.abs(a - b) <= tolerance)

@@ -126,8 +126,8 @@ def histogram_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gates_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gates over pictures made of line items: the flag is the picture."""
-    c = rgb(spark, sf_dir).join(samples(spark, sf_dir).select(F.col("px").alias("l_orderkey"), F.col("frame").alias("l_linenumber"), F.col("l_partkey"), F.col("ch").alias("l_suppkey"), "l_returnflag"), list(_KEYS))
-    p = c.select("l_returnflag", F.col("l_orderkey").cast("double").alias("y"), F.col("l_suppkey").cast("double").alias("x"), F.col("r").alias("lum"), F.greatest("r", "g", "b").alias("top"), ((F.col("r") - 0.5) * 3).alias("a"), ((F.col("g") - 0.5) * 3).alias("b"))
+    l = table(spark, sf_dir, "lineitem").withColumns({"r": F.col("l_extendedprice") / 110000, "g": F.col("l_quantity") / 50, "b": F.col("l_discount") * 10})  # noqa: E741
+    p = l.select("l_returnflag", F.col("l_orderkey").cast("double").alias("y"), F.col("l_suppkey").cast("double").alias("x"), F.col("r").alias("lum"), F.greatest("r", "g", "b").alias("top"), ((F.col("r") - 0.5) * 3).alias("a"), ((F.col("g") - 0.5) * 3).alias("b"))
     out = gates.with_verdicts(gates.measure(p, ["l_returnflag"]))
     return out.select("l_returnflag", "gate", r6("value").alias("value"), "passed", F.round("distance", 4).alias("distance"))
 
@@ -209,6 +209,8 @@ ORACLES = {
       s AS (SELECT f.event_type, f.bin, sum(coalesce(n, 0)) OVER (PARTITION BY f.event_type ORDER BY f.bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS s FROM f LEFT JOIN c ON c.event_type = f.event_type AND c.bin = f.bin),
       p AS (SELECT event_type, s AS top, bin AS top_bin FROM s QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY s DESC, bin) = 1)
       SELECT p.event_type, round((any_value(top_bin) + 0.5) / 64, 6) AS mode, round((max(s.bin) FILTER (WHERE s.bin <= top_bin AND s.s * 2 <= top) + 0.5) / 64, 6) AS left_half FROM p JOIN s ON s.event_type = p.event_type GROUP BY p.event_type""",
+    "gates_verdict": f"""WITH p AS (SELECT l_returnflag AS k, CAST(l_orderkey AS DOUBLE) AS y, CAST(l_suppkey AS DOUBLE) AS x, l_extendedprice / 110000 AS lum, greatest(l_extendedprice / 110000, l_quantity / 50, l_discount * 10) AS top,
+      (l_extendedprice / 110000 - 0.5) * 3 AS a, (l_quantity / 50 - 0.5) * 3 AS b FROM lineitem), {_GATES} SELECT k AS l_returnflag, gate, round(value, 6) AS value, distance <= 0 AS passed, round(distance, 4) AS distance FROM d""",
     "gates_summary": f"""WITH {RGB_SQL}, p AS (SELECT l_suppkey AS k, CAST(l_orderkey AS DOUBLE) AS y, CAST(l_partkey AS DOUBLE) AS x, r AS lum, greatest(r, g, b) AS top, r - 0.5 AS a, g - 0.5 AS b FROM rgb), {_GATES}
       SELECT k AS l_suppkey, bool_and(distance <= 0) AS passed, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE distance > 0), '') AS failed, round(sum(distance), 4) AS distance FROM d GROUP BY k""",
 }
