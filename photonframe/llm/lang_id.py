@@ -81,7 +81,8 @@ class Coder:
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin (the share of the second-best size that the best saves)."""
         words = distinct_words(text)
-        if not words or not self.langs:
+        # Words may also be made of superscripts and the like, which are no letters.
+        if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0, 0.0
         data = (" " + " ".join(words) + " ").encode()
         sizes = [len(c.compress(data)) for c in self.by_level[len(data) <= SHORT]]

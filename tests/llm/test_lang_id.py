@@ -15,7 +15,7 @@ def made(rng, lang, n):
 def test_learns_and_handles_odd_rows(spark):
     rng = random.Random(5)
     rows = [(i, made(rng, lang, rng.randint(5, 60)), lang, "x") for i, lang in enumerate(list(SYLLABLES) * 40)]
-    rows += [(500, None, "aa", None), (501, "", "bb", None), (502, "123 !!", None, None), (None, "thering", "aa", None), (503, made(rng, "bb", 9000).upper(), None, None), (503, made(rng, "bb", 9000).upper(), None, None)]
+    rows += [(500, None, "aa", None), (501, "", "bb", None), (502, "123 ½²Ⅷ !!", None, None), (None, "thering", "aa", None), (503, made(rng, "bb", 9000).upper(), None, None), (503, made(rng, "bb", 9000).upper(), None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     learned = lang_id.train(df.filter("doc_id < 60"))
     assert set(learned) == set(SYLLABLES)
