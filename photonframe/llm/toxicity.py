@@ -260,16 +260,18 @@ def fit(rows: list[tuple[int, list[int], int]], prior: list[float], strength: fl
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` with score, predicted and clauses (matched clauses, at most MOST of a kind) of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    # A text that is kept travels once.
+    read = text_col if text_col in keep else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
-            for part in chunks(batch, "__text"):
-                counts = [own.counts(t) for t in part.column(part.schema.get_field_index("__text")).to_pylist()]
+            for part in chunks(batch, read):
+                counts = [own.counts(t) for t in part.column(part.schema.get_field_index(read)).to_pylist()]
                 scores = [own.score(c) for c in counts]
                 made = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([sum(c) for c in counts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made], [*keep, "score", "predicted", "clauses"])
 
-    base = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"]
+    base = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if read in keep else [F.col(text_col).cast("string").alias(read)]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in keep]
     return base.mapInArrow(run, ", ".join([*fields, "score double", "predicted int", "clauses long"]))
