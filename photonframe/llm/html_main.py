@@ -20,9 +20,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .textscan import chunks
+from .shared import per_text
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -314,14 +313,13 @@ def main_texts(pages: DataFrame, keep: list[str], html_col: str = "html", chain:
     """The columns `keep` with text and n_chars (code points) of every page."""
     shipped = pages.sparkSession.sparkContext.broadcast(chain or default_chain())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         model = shipped.value
-        for batch in batches:
-            for part in chunks(batch, "__html"):
-                texts = [extract(p, model) for p in part.column(part.schema.get_field_index("__html")).to_pylist()]
-                made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made], [*keep, "text", "n_chars"])
-
-    base = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__html"]
-    return base.mapInArrow(run, ", ".join([*fields, "text string", "n_chars long"]))
+
+        def apply(found: list[str | None]) -> list[pa.Array]:
+            texts = [extract(p, model) for p in found]
+            return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+
+        return apply
+
+    return per_text(pages, keep, html_col, "text string, n_chars long", start)

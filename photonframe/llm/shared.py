@@ -2,30 +2,75 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
+
+from .textscan import chunks
+
+
+#: Where each table of `saved` lies.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (local tests) a new folder, set for the session."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local master (as in tests) gets a new folder, set for the session;
+    on a cluster that is an error, as its executors do not share local folders."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="photonframe-")
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
-def saved(df: DataFrame, name: str = "stage") -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: it cuts lineage and survives lost executors."""
+def saved(df: DataFrame, name: str = "stage", replaces: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: it cuts lineage and survives lost executors.
+    Tables `replaces`, themselves of `saved`, which nothing reads any more, are removed once the new one is whole."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in replaces:
+        removed(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes a table of `saved` that nothing reads any more."""
+    if place := _places.pop(table, None):
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def per_text(docs: DataFrame, keep: list[str], text_col: str, fields: str, start: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+    """The columns `keep` with those of `fields`, made from whole texts in slices of about 1 MB: `start` is called once a task and gives
+    the function from the texts of a slice to its columns. Kept columns named like those of `fields` give way; a text that is kept travels once."""
+    made = StructType.fromDDL(fields)
+    keep = [c for c in keep if c not in made.names]
+    short = [f"k{i}" for i in range(len(keep))]
+    read = short[keep.index(text_col)] if text_col in keep and docs.schema[text_col].dataType == StringType() else "text"
+    own = [F.col(f"`{text_col}`").cast("string").alias(read)] if read == "text" else []
+    base = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, short, strict=True)), *own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = start()
+        for batch in batches:
+            for part in chunks(batch, read):
+                columns = apply(part.column(part.schema.get_field_index(read)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in short), *columns], [*short, *made.names])
+
+    return base.mapInArrow(run, StructType([*(base.schema[k] for k in short), *made.fields])).toDF(*keep, *made.names)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -69,7 +114,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = saved(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges", (edges,))
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == before:
             break

@@ -3,12 +3,13 @@
 Words become symbols by a lexicon: insults and threats, targets, negations and words of reported speech. Four transducers rewrite
 the symbols of a clause (insults after a negation, insults in reported speech, insults near a target, threats near a target);
 they are composed into one machine whose outputs are kinds of matched clauses. A document's score is a logistic function of
-how many clauses of each kind it has, with weights fitted on labelled texts around a prior that stands for the grammar.
+how many clauses of each kind it has (n clauses weigh n / (n + 1) of the most, so no count is cut off) and of how dense
+clauses with a doubtful word are in it, with weights fitted on labelled texts around a prior that stands for the grammar.
 
-The insult lexicon is learned: words and word beginnings of toxic training texts, chosen greedily by how many texts not yet explained
-they occur in, so that words which merely accompany insults are not taken. Where such words leave texts unexplained, word
-beginnings that clean texts hold at times, but not in several words, are taken as well; they are a kind of their own. Training uses at most `sample` labelled texts, by hash
-of the id; scoring covers every whole text.
+The insult lexicon is learned from labelled texts. Beginnings of several words of toxic texts come first, although clean texts hold such words
+at times: these are doubtful words, a kind of their own. Then words and word beginnings are chosen greedily by how many texts not yet explained
+they occur in, so that words which merely accompany insults are not taken. Training uses about `sample` labelled texts, by hash
+of the id, and at most `features` words and beginnings; scoring covers every whole text.
 
 Null and empty texts have no clause and get the score of the intercept. A text with contradicting labels counts as toxic; null labels are not
 learned from. Repeated rows are scored each. Extra columns are ignored unless kept by name.
@@ -24,9 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import per_text
 from .textscan import chunks
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,8 +43,9 @@ REPORTS = "said says told called wrote quoted claimed according sagte sagt schri
 #: Prefix lengths that the lexicon may use.
 LENGTHS = (3, 4, 5, 6, 7, 8)
 #: Kinds of matched clauses, with the prior weight of one.
-KINDS = {"insult": 3.0, "targeted": 4.0, "negated": 0.5, "reported": 1.0, "threat": 0.5, "aimed": 3.0, "weak": 0.5}
-MOST = 4
+KINDS = {"insult": 6.0, "targeted": 7.0, "negated": 0.5, "reported": 1.0, "threat": 0.5, "aimed": 3.0, "doubtful": 1.0}
+#: Prior weight of the share of doubtful clauses.
+SHARE = 4.0
 
 
 @dataclass
@@ -80,7 +84,7 @@ def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
     return Transducer(arcs)
 
 
-#: Input symbols: I insult, W weak insult, T threat, G target, N negation, R reported speech, o any other word.
+#: Input symbols: I insult, W doubtful word, T threat, G target, N negation, R reported speech, o any other word.
 INPUT = "IWTGNRo"
 
 
@@ -106,7 +110,7 @@ def grammar() -> Transducer:
 
 
 #: The kind that an output symbol counts for.
-OUTPUT = {"I": "insult", "J": "targeted", "n": "negated", "r": "reported", "T": "threat", "K": "aimed"}
+OUTPUT = {"I": "insult", "J": "targeted", "n": "negated", "r": "reported", "T": "threat", "K": "aimed", "W": "doubtful"}
 
 
 @dataclass
@@ -115,12 +119,12 @@ class Model:
 
     words: set[str]
     prefixes: dict[int, set[str]]
-    weak_prefixes: dict[int, set[str]] = field(default_factory=dict)
-    weights: list[float] = field(default_factory=lambda: [-3.0, *KINDS.values()])
+    doubtful_prefixes: dict[int, set[str]] = field(default_factory=dict)
+    weights: list[float] = field(default_factory=lambda: [-3.0, *KINDS.values(), SHARE])
 
     def __post_init__(self):
         self.machine = grammar()
-        self.begins = {k: self.prefixes.get(k, set()) | self.weak_prefixes.get(k, set()) for k in LENGTHS if k in self.prefixes or k in self.weak_prefixes}
+        self.begins = {k: self.prefixes.get(k, set()) | self.doubtful_prefixes.get(k, set()) for k in LENGTHS if k in self.prefixes or k in self.doubtful_prefixes}
         self.fixed = {w: s for s, ws in (("R", REPORTS), ("N", NEGATIONS), ("G", TARGETS), ("T", THREATS)) for w in ws.split()}
         self.fixed |= dict.fromkeys(self.words, "I")
         self.sought = self.words | set(THREATS.split())
@@ -130,11 +134,12 @@ class Model:
             return self.fixed[word]
         if any(word[:k] in p for k, p in self.prefixes.items()):
             return "I"
-        return "W" if any(word[:k] in p for k, p in self.weak_prefixes.items()) else "o"
+        return "W" if any(word[:k] in p for k, p in self.doubtful_prefixes.items()) else "o"
 
     def counts(self, text: str | None) -> list[int]:
-        """Clauses of each kind and distinct weak words, at most MOST of each."""
+        """Clauses of each kind, and words."""
         out = Counter()
+        total = 0
         if text:
             low = text.lower()
             words = set(WORD.findall(low))
@@ -142,16 +147,23 @@ class Model:
                 known = {w: self.symbol(w) for w in words}
                 for clause in CLAUSE.split(low):
                     symbols = "".join([known[w] for w in WORD.findall(clause)])
+                    total += len(symbols)
                     if "I" in symbols or "W" in symbols or "T" in symbols:
                         out.update({OUTPUT[o] for o in self.machine.run(symbols) if o in OUTPUT})
-                out["weak"] = sum(s == "W" for s in known.values())
-        return [min(MOST, out[k]) for k in KINDS]
+        return [*(out[k] for k in KINDS), total]
 
     def score(self, counts: list[int]) -> float:
-        z = self.weights[0] + sum(w * c for w, c in zip(self.weights[1:], counts))
+        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], evidence(counts)))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
+def evidence(counts: list[int]) -> list[float]:
+    """What `counts` weigh: n / (n + 1) for n clauses of a kind, and the share of doubtful ones, a clause
+    being taken as eight words (two more guard short texts), as tables and shouting have no clauses of their own."""
+    *kinds, total = counts
+    return [*(n / (n + 1) for n in kinds), kinds[-1] / (total / 8 + 2)]
+
+
 def _features(text: str | None) -> set[str]:
     """Distinct words w, their beginnings b*, and beginnings b** of several words."""
     words = set(WORD.findall(text.lower())) if text else set()
@@ -200,10 +212,27 @@ def _split(picked: list[str]) -> tuple[set[str], dict[int, set[str]]]:
     return {f for f in picked if not f.endswith("*")}, {k: p for k, p in begins.items() if p}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3) -> Model:
-    """A model from at most `sample` labelled texts of docs (doc_id, text) and labels (doc_id, toxic)."""
+def _held(known: Broadcast):
+    """The features of each text that are in `known`, as their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = known.value
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                held = [[number[f] for f in _features(t) if f in number] for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("h")), pa.array(held, pa.list_(pa.int32()))], ["h", "held"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3, features: int = 50_000) -> Model:
+    """A model from about `sample` labelled texts of docs (doc_id, text) and labels (doc_id, toxic)."""
+    context = docs.sparkSession.sparkContext
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # A threshold on the hash takes the sample without ordering the labels.
+    share = min(1.0, sample / max(1, marked.count()))
+    marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id").filter("text is not null")
     # Equal texts teach once, so that copies do not weigh.
     texts = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.max_by("text", "doc_id").alias("text"), F.max("toxic").alias("toxic")).persist()
@@ -211,21 +240,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int =
         seen = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         n_toxic, n_other = seen.get(1, 0), seen.get(0, 0)
         counts = texts.mapInArrow(_count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        # All bounds follow the sample, so what reaches the driver is bounded too.
-        rows = counts.filter((F.col("pos") >= least) & (F.col("neg") <= 0.004 * n_other) & (F.col("pos") > 5 * F.col("neg"))).collect()
+        several = F.col("feature").endswith("**")
+        fair = (F.col("pos") >= least) & (F.col("neg") <= 0.004 * n_other) & (F.col("pos") > F.when(several, 2).otherwise(5) * F.col("neg"))
+        # What reaches the driver is bounded by `features`, and by the toxic texts of the sample as numbers of features.
+        rows = counts.filter(fair).orderBy((F.col("neg") * 5 - F.col("pos")), "feature").limit(features).collect()
+        names = sorted(r.feature for r in rows)
         negatives = {r.feature: r.neg for r in rows}
-        toxic = [r.text for r in texts.filter("toxic = 1").select("h", "text").orderBy("h").toLocalIterator()]
-        held = [_features(t) & negatives.keys() for t in toxic]
+        known = context.broadcast({f: i for i, f in enumerate(names)})
+        found = texts.filter("toxic = 1").select("h", "text").mapInArrow(_held(known), "h long, held array<int>").collect()
+        held = [{names[i] for i in r.held} for r in sorted(found, key=lambda r: r.h)]
         open_ = [True] * len(held)
         enough = max(least, n_toxic // 500)
         single = {f for f in negatives if not f.endswith("**")}
         often = {r.feature for r in rows if r.pos >= max(5, n_toxic // 100)} & single
+        doubtful = _split([f[:-1] for f in choose([h - single for h in held], negatives, open_, max(least, n_toxic // 150), 1)])[1]
         picked = choose([h & single for h in held], negatives, open_, enough, 5)
         # Words of many toxic texts need not bring many new ones.
-        words, prefixes = _split(picked + choose([h & often for h in held], negatives, open_, 1, 5))
-        weak_prefixes = _split([f[:-1] for f in choose([h - single for h in held], negatives, open_, enough, 5)])[1]
-        model = Model(words | set(INSULTS.split()), prefixes, weak_prefixes)
-        shipped = docs.sparkSession.sparkContext.broadcast(model)
+        open_ = [not any(f in h for f in picked) for h in held]
+        begun = {k: tuple(p) for k, p in doubtful.items()}
+        plain = {f for f in often if not any(f[:k].rstrip("*") in p for k, p in begun.items())}
+        words, prefixes = _split(picked + choose([h & plain for h in held], negatives, open_, 1, 5))
+        model = Model(words | set(INSULTS.split()), prefixes, doubtful)
+        shipped = context.broadcast(model)
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -235,11 +271,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int =
         grouped = texts.mapInArrow(summed, "key array<long>, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     finally:
         texts.unpersist()
-    model.weights = fit([(r.key[0], r.key[1:], r.n) for r in sorted(grouped, key=lambda r: r.key)], model.weights)
+    model.weights = fit([(r.key[0], evidence(r.key[1:]), r.n) for r in sorted(grouped, key=lambda r: r.key)], model.weights)
     return model
 
 
-def fit(rows: list[tuple[int, list[int], int]], prior: list[float], strength: float = 1.0) -> list[float]:
+def fit(rows: list[tuple[int, list[float], int]], prior: list[float], strength: float = 0.1) -> list[float]:
     """Logistic weights by Newton steps around `prior`."""
     if not rows:
         return prior
@@ -258,20 +294,17 @@ def fit(rows: list[tuple[int, list[int], int]], prior: list[float], strength: fl
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` with score, predicted and clauses (matched clauses, at most MOST of a kind) of every row."""
+    """The columns `keep` with score, predicted and clauses (matched clauses) of every row; kept columns of those names give way."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    # A text that is kept travels once.
-    read = text_col if text_col in keep else "__text"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = shipped.value
-        for batch in batches:
-            for part in chunks(batch, read):
-                counts = [own.counts(t) for t in part.column(part.schema.get_field_index(read)).to_pylist()]
-                scores = [own.score(c) for c in counts]
-                made = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([sum(c) for c in counts], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made], [*keep, "score", "predicted", "clauses"])
-
-    base = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if read in keep else [F.col(text_col).cast("string").alias(read)]))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in keep]
-    return base.mapInArrow(run, ", ".join([*fields, "score double", "predicted int", "clauses long"]))
+
+        def apply(texts: list[str | None]) -> list[pa.Array]:
+            counts = [own.counts(t) for t in texts]
+            scores = [own.score(c) for c in counts]
+            return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([sum(c[:-1]) for c in counts], pa.int64())]
+
+        return apply
+
+    return per_text(docs, keep, text_col, "score double, predicted int, clauses long", start)

@@ -29,6 +29,47 @@ def test_learns_and_handles_odd_rows(spark):
     assert nothing == {} and {r.lang_pred for r in lang_id.predict(df.select("doc_id", "text"), nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_plain_version_and_margins(spark):
+    """Sizes of whole texts, one compressor a language, and rejection of narrow margins."""
+    import zstandard
+
+    rng = random.Random(6)
+    rows = [(i, made(rng, lang, n), lang) for i, (lang, n) in enumerate((lang, n) for lang in SYLLABLES for n in (1, 2, 5, 30, 300, 5000))]
+    rows += [(90, "the ung eau", None), (91, "zzz", None), (92, rows[3][1] + " " + rows[9][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = lang_id.train(df)
+    got = {r.doc_id: r for r in lang_id.predict(df, learned, ["doc_id"], margin=0.05).collect()}
+    for i, text, _ in rows:
+        data = f" {' '.join(lang_id.WORDS.findall(text.lower()))} ".encode()
+        sizes = {}
+        for lang, content in learned.items():
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = len(zstandard.ZstdCompressor(level=lang_id.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+        order = sorted(sizes.values())
+        assert sizes[got[i].lang_pred] <= 1.02 * order[0] + 2
+    assert got[91].rejected and not got[4].rejected and got[92].score < got[4].score
+
+
+def test_dictionaries_do_not_depend_on_ids_copies_or_order(spark):
+    rng = random.Random(7)
+    texts = [(made(rng, lang, rng.randint(5, 40)), lang) for lang in SYLLABLES for _ in range(30)]
+    first = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    rng.shuffle(texts)
+    copies = [(None, t, lang) for t, lang in texts for _ in range(3)] + [(7, "both of them", "aa"), (7, "both of them", "bb")]
+    again = spark.createDataFrame(copies, "doc_id long, text string, lang string")
+    a, b = lang_id.train(first), lang_id.train(again)
+    assert a == {k: b[k] for k in a} and not any(b"both of them" in v for v in b.values())
+    long_only = spark.createDataFrame([(made(rng, "aa", 9000), "aa")] * 2 + [("und so", "bb")], "text string, lang string")
+    got = lang_id.train(long_only, size=200)
+    assert len(got["aa"]) > 9000 and got["bb"] == b" und so "
+
+
+def test_kept_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x", 2.0, "the ing")], "`a.b` long, lang_pred string, score double, text string")
+    got = lang_id.predict(df, {"aa": b" the ing er "}, ["a.b", "lang_pred", "score"])
+    assert got.columns == ["a.b", "lang_pred", "score", "rejected"] and got.collect()[0][:2] == (1, "aa")
+
+
 def test_query_on_its_table(spark, sf_dir):
     from photonframe.llm.queries import QUERIES
 
@@ -37,4 +78,4 @@ def test_query_on_its_table(spark, sf_dir):
     assert {r.doc_id for r in got} == set(lang) and len(got) == len(lang)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r.held_out]
-    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.93 * len(held)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)

@@ -33,8 +33,8 @@ def test_grammar_kinds():
     assert kinds("The idiot left.") == {"insult"} and kinds("A GRUZAK came") == {"insult"}
     assert kinds("you are an idiot") == {"targeted"} and kinds("he is not an idiot") == {"negated"}
     assert kinds("she said idiot") == {"reported"} and kinds("they will kill it") == {"aimed"} and kinds("kill time") == {"threat"}
-    assert kinds("nothing here") == set() and model.counts(None) == model.counts("") == [0] * len(tx.KINDS)
-    assert tx.Model(set(), {}, {4: {"gruz"}}).counts("gruzx gruzy gruzx")[-1] == 2
+    assert kinds("nothing here") == set() and model.counts(None) == model.counts("") == [0] * (len(tx.KINDS) + 1)
+    assert tx.Model(set(), {}, {4: {"gruz"}}).counts("gruzx gruzy gruzx. A gruza | b")[-2:] == [2, 6]
 
 
 def test_learns_unseen_endings_and_keeps_clean(spark):
@@ -51,6 +51,37 @@ def test_learns_unseen_endings_and_keeps_clean(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def test_scores_by_plain_version(spark):
+    """Every score again, clause by clause, transducer by transducer, without the composed machine; nothing is cut off."""
+    rng = random.Random(3)
+    model = tx.Model({"flork"}, {5: {"grumb"}}, {4: {"hous"}})
+    vocab = [*VOCAB, "flork", "grumbola", "you", "not", "said", "kill", "houses", "."]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["flork. " * 5000, "you flork! " * 300, None]
+    parts = [tx._fading("N", 3, {"I": "n", "T": "o"}), tx.Transducer({0: {"R": (1, "R")}, 1: {"I": (1, "r"), "T": (1, "o")}}), tx._fading("G", 4, {"T": "K"}), tx._fading("G", 5, {"I": "J"})]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in tx.score(df, model, ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        kinds, words = dict.fromkeys(tx.KINDS, 0), 0
+        for clause in (text or "").split("."):
+            for piece in clause.split("!"):
+                names = piece.split()
+                words += len(names)
+                symbols = "".join({"flork": "I", "grumbola": "I", "you": "G", "not": "N", "said": "R", "kill": "T", "house": "W", "houses": "W"}.get(w, "o") for w in names)
+                for p in parts:
+                    symbols = p.run(symbols)
+                for kind in {tx.OUTPUT[s] for s in symbols if s in tx.OUTPUT}:
+                    kinds[kind] += 1
+        z = model.weights[0] + sum(w * n / (n + 1) for w, n in zip(model.weights[1:], kinds.values())) + model.weights[-1] * kinds["doubtful"] / (words / 8 + 2)
+        assert got[i].clauses == sum(kinds.values()) and abs(got[i].score - 1 / (1 + 2.718281828459045 ** -max(-50, min(50, z)))) < 1e-9
+    assert got[200].clauses == 5000
+
+
+def test_kept_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x", 2.0, "you flork")], "`a.b` long, predicted string, score double, text string")
+    got = tx.score(df, tx.Model({"flork"}, {}), ["a.b", "predicted", "score"])
+    assert got.columns == ["a.b", "score", "predicted", "clauses"] and got.collect()[0][0] == 1
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "you idiot"), (2, "fine")], "doc_id long, text string")
     model = tx.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
