@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard self-join: size-banded tiles, bitmap bounds, sorted-array intersection.
 
-1. Each text becomes the sorted set of 64-bit hashes of its n-word shingles. Equal sets are one class, held by
-   its smallest id (aggregated with map-side combining, so groups of copies cost one row each).
+1. Each text becomes the sorted set of 64-bit hashes of its n-word shingles. Equal sets are one class, numbered by one of its
+   rows (aggregated with map-side combining, so groups of copies cost one row each). All later steps work on class numbers, never on ids.
 2. Bands of set sizes: two linked sets lie in one band, or the larger lies at most 1/t above the band of the smaller.
    The hash space is cut into K parts. Linked sets differ in at most k elements, so at least K - k parts are
    equal; K leaves room for empty ones. Sets with too many empty parts repeat under another seed, and after the
@@ -11,8 +11,9 @@
    bits that the other lacks cannot be shared. What passes gives a forest of candidates, whose components are families.
 4. Families (blocked alike) intersect the sorted arrays of the pairs that pass the bound and are not yet joined.
 
-Null and empty texts have no shingles and link with nothing. Rows of null id are never representatives. Rows that
-repeat an id count as one node. Extra columns are ignored.
+Null and empty texts have no shingles and link with nothing; their component is their own id. Every row is a node of its own: rows that repeat an id
+with different texts are not joined by it, and a row of null id links like any other. A component's id is the smallest id in it, null if
+all are null. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,31 +145,32 @@ def tile_forest(sizes: np.ndarray, maps: np.ndarray, num: int, den: int, sets: l
 
 
 def _features(n: int, num: int, den: int):
+    """Size, two sums that name the set, bitmap and packed tile keys of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = bands(num, den)[0][0]
+        lows, highs = bands(num, den)
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(part.column(part.schema.get_field_index("text")), n)
                 sums = np.array([(np.sum(mix(s), dtype=np.uint64), np.bitwise_xor.reduce(mix(s ^ U64(0xA5A5A5A5)))) if len(s) else (0, 0) for s in sets], np.uint64).reshape(-1, 2)
-                bits = [bitmap(s, width(len(s), 4)).tobytes() if len(s) >= least else None for s in sets]
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), *columns], ["id", "n", "s1", "s2", "bits"])
+                links = [len(s) >= lows[0] for s in sets]
+                bits = [bitmap(s, width(len(s), 4)).tobytes() if ok else None for s, ok in zip(sets, links, strict=True)]
+                keys = [keys_of(s, num, den, lows, highs).tobytes() if ok else None for s, ok in zip(sets, links, strict=True)]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), part.column(part.schema.get_field_index("h")), *columns], ["id", "h", "n", "s1", "s2", "bits", "keys"])
 
     return run
 
 
-def _keys(n: int, num: int, den: int):
-    """One row (id, key) for each tile key of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows, highs = bands(num, den)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                ids = part.column(part.schema.get_field_index("id")).to_numpy()
-                keys = [keys_of(s, num, den, lows, highs) for s in shingle_sets(part.column(part.schema.get_field_index("text")), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(k) for k in keys])), pa.array(np.concatenate(keys).view(np.int64))], ["id", "key"])
-
-    return run
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (id, key) for each tile key of each class."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            packed = part.column(part.schema.get_field_index("keys"))
+            lengths = np.array([len(k) // 8 for k in packed.to_pylist()], np.int64)
+            ids = part.column(part.schema.get_field_index("id")).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, lengths)), pa.array(np.frombuffer(b"".join(packed.to_pylist()), np.int64))], ["id", "key"])
 
 
 def _tiles(num: int, den: int, exact: bool):
@@ -199,12 +201,14 @@ def _tiles(num: int, den: int, exact: bool):
     return run
 
 
-def _tiled(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
-    """Edges (a, b) of all tiles of rows (g, id, n, bits). A g of more than BLOCK rows is dealt into blocks by
+def _tiled(members: DataFrame, rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    """Edges (a, b) of all tiles of rows (g, id, n, bits); members has their (g, id). A g of more than BLOCK rows is dealt into blocks by
     id hash; each pair of blocks is one tile, so a tile holds about two blocks whatever the group's size."""
-    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.join(counts, "g").withColumn("k", blocks).withColumn("o", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    # Few g are large; their counts meet the rows where these lie, so that no task holds a whole g.
+    large = saved(members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK), "large")
+    blocks = F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)).cast("int")
+    rows = rows.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "g", "left")
+    rows = rows.withColumn("k", blocks).withColumn("o", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     rows = rows.select("g", "id", "n", "bits", "o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p"))
     rows = rows.select("g", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), "id", "n", "bits", (F.col("o") > F.col("p")).cast("int").alias("half"))
     rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
@@ -217,37 +221,42 @@ def ngram_classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80
     num, den = similarity
     if not 0 < num <= den:
         raise ValueError("similarity is a fraction above 0, at most 1")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    feats = saved(base.mapInArrow(_features(n, num, den), "id long, n long, s1 long, s2 long, bits binary"), "shingles")
-    classes = saved(feats.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    # Texts that are not their class's representative leave before any key is made.
-    copies = feats.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).filter("id <> rep").select("id").distinct()
-    copies = saved(copies, "copies")
-    unique = base.filter("id is not null").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti")
-    make = lambda docs_: docs_.mapInArrow(_keys(n, num, den), "id long, key long")
-    # Keys that more than one in HOT_SHARE rows has are found on every SAMPLE-th text by id hash. Any set with the key can be its
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    feats = base.mapInArrow(_features(n, num, den), "id long, h long, n long, s1 long, s2 long, bits binary, keys binary")
+    feats = saved(feats.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    classes = saved(feats.groupBy("n", "s1", "s2").agg(F.min("row").alias("class"), F.min("id").alias("low")), "classes")
+    # Rows that do not stand for their class leave before any key is spread out.
+    copies = saved(feats.filter("keys is not null").select("row").join(classes.select(F.col("class").alias("row")), "row", "left_anti"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    unique = feats.filter("keys is not null").join(copies, "row", "left_anti")
+    make = lambda rows: rows.select(F.col("row").alias("id"), "keys").mapInArrow(_keys, "id long, key long")
+    # Keys that more than one in HOT_SHARE rows has are found on every SAMPLE-th class by hash. Any set with the key can be its
     # pivot, so theirs is fixed beforehand and their rows are spread over tasks; no window gathers them. Others take the smallest set.
-    counted = saved(make(unique.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).filter("c > 7"), "counts")
+    counted = make(unique.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).filter("c > 7")
+    counted = saved(counted, "counts")
     total = counted.agg(F.sum("c").alias("total"))
-    hot = saved(counted.crossJoin(F.broadcast(total)).filter(F.col("c") * HOT_SHARE > F.col("total")).select("key", "pivot"), "hot")
+    hot = saved(counted.crossJoin(F.broadcast(total)).filter(F.col("c") * HOT_SHARE > F.col("total")).select("key", "pivot"), "hot", (counted,))
     keyed = make(unique).join(F.broadcast(hot), "key", "left")
     salt = F.when(F.col("pivot").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(4096)).cast("int") + 1)
     keyed = keyed.withColumn("g", F.coalesce("pivot", F.min("id").over(Window.partitionBy("key", salt)))).filter("g <> id")
-    stars = saved(keyed.select("g", "id").distinct(), "stars")
+    stars = saved(keyed.select("g", "id").distinct(), "stars", (hot,))
     stars = stars.unionAll(stars.select("g", F.col("g").alias("id")).distinct())
-    maps = feats.filter("bits is not null").select("id", "n", "bits").join(stars.select("id").distinct(), "id", "left_semi")
-    maps = maps.groupBy("id").agg(F.max(F.struct("n", "bits")).alias("m")).select("id", "m.n", "m.bits")
-    families = components(saved(_tiled(stars.join(maps, "id"), num, den, False), "candidates"))
-    families = saved(families, "families")
-    members = families.select(F.col("node").alias("id"), F.col("component").alias("g"))
+    maps = unique.select(F.col("row").alias("id"), "n", "bits").join(stars.select("id").distinct(), "id", "left_semi")
+    families = saved(components(saved(_tiled(stars, stars.join(maps, "id"), num, den, False), "candidates")), "families")
+    members = saved(unique.select(F.col("row").alias("class"), "id", "h").join(families.select(F.col("node").alias("class"), F.col("component").alias("g")), "class"), "members")
     small = members.count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(members) if small else members, "id")
-    arrays = saved(texts.mapInArrow(_arrays(n), "g long, id long, n long, bits binary"), "arrays")
-    links = components(saved(_tiled(arrays, num, den, True), "links"))
-    owner = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left")
-    owner = owner.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    named = members.select("g", "class", F.col("id").alias("own"), F.col("h").alias("own_h"))
+    texts = base.join(F.broadcast(named) if small else named, F.expr("id <=> own and h = own_h")).select("g", F.col("class").alias("id"), "text")
+    # Rows equal in id and text stand for one class: one of them is enough.
+    arrays = texts.mapInArrow(_arrays(n), "g long, id long, n long, bits binary").groupBy("g", "id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    arrays = saved(arrays, "arrays")
+    links = saved(components(saved(_tiled(arrays.select("g", "id"), arrays, num, den, True), "links")), "linked")
+    # The smallest id of every component of several classes; any other class keeps its own.
+    low = links.join(classes.select(F.col("class").alias("node"), "low"), "node")
+    low = low.select("node", "component").join(low.groupBy("component").agg(F.min("low").alias("least")), "component")
+    owner = classes.join(low.select(F.col("node").alias("class"), "least"), "class", "left").select("n", "s1", "s2", F.coalesce("least", "low").alias("least"))
     out = feats.select("id", "n", "s1", "s2").join(owner, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _arrays(n: int):

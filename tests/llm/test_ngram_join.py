@@ -55,6 +55,29 @@ def test_empty_table_and_null_ids(spark):
     assert got == sorted([(None, 2, 3), (None, 1, None), (3, 2, 3), (3, 2, 3), (4, 2, 3)], key=str)
 
 
+def test_repeated_and_null_ids_lose_no_link(spark):
+    """Rows are nodes: ids, repeated or null, neither join nor part texts."""
+    rng = np.random.default_rng(8)
+    a, b = (" ".join(f"w{x}" for x in rng.integers(0, 500, 120)) for _ in range(2))
+    near = b + " end"
+    for other in (5, 6, None):
+        rows = [(1, a), (5, a), (other, b), (2, near), (None, near + " now"), (9, None), (9, "one"), (9, None)] + [(other, b)] * 30
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in nj.ngram_classes(df, 4, (85, 100)).collect()}
+        assert got == {(1, 117, 1), (5, 117, 1), (other, 117, 2), (2, 118, 2), (None, 119, 2), (9, 0, 9), (9, 1, 9)}
+    texts = near_copies(11, families=4, members=10)
+    ids = [None if i % 7 == 0 else i % 13 for i in range(len(texts))]
+    sets = {i: shingles(t, 4) for i, t in enumerate(texts)}
+    group = components(list(sets), sets, 85, 100)
+    low = {}
+    for i, g in group.items():
+        low[g] = min((x for x in (low.get(g), ids[i]) if x is not None), default=None)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = sorted(map(str, nj.ngram_classes(df, 4, (85, 100)).collect()))
+    want = spark.createDataFrame([(ids[i], len(sets[i]), low[group[i]]) for i in sets], "doc_id long, n_shingles long, component_id long")
+    assert got == sorted(map(str, want.collect()))
+
+
 def test_query_on_its_table(spark, sf_dir):
     from photonframe.llm.queries import QUERIES
 
