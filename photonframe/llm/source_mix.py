@@ -4,11 +4,13 @@ A document belongs to one source or to several that overlap. Documents are aggre
 sources). A flow routes each pattern's words to its sources' quotas: the first use of a word costs nothing, and each further
 use costs more (convex), so that repetition is spent only where a quota needs it. Each pattern's flow is then a whole number of uses of
 all its documents and one more of some, drawn in the order of a seeded hash: the cut is found in two rounds of 256 buckets a
-pattern, counted with map-side combining, and in the last bucket row by row. No source's rows are gathered in one task.
+pattern, counted with map-side combining, and in the last bucket by groups of equal id and size, of which as many rows are taken as
+bring the sum nearest. No source's rows are gathered in one task.
 
 Sources weigh `weights` in turn, in code point order, null last. Targets share `share` of all words by weight; none is above
 `cap` times its source's words, the excess being shared again by weight. Empty and null texts have size 0 and are taken 0 times.
-Patterns go to the driver and are bounded by `max_patterns`; more raise an error. Repeated rows count each.
+Patterns go to the driver and are bounded by `max_patterns`; more raise an error. Repeated rows count each, rows of
+null id as well; which of the rows equal in id and size are taken is left open, how many is not.
 """
 
 from __future__ import annotations
@@ -49,25 +51,26 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], cap: i
     """
     sent = [dict.fromkeys(members, 0) for members, _ in patterns]
     taken, got = [0] * len(patterns), [0] * len(quotas)
-    holders: list[list[int]] = [[] for _ in quotas]
-    for p, (members, _) in enumerate(patterns):
-        for s in members:
-            holders[s].append(p)
+    # Patterns that send words to a source: only these can be rerouted away from it.
+    senders: list[set[int]] = [set() for _ in quotas]
+    # What a failed search has seen leads to no free quota, then or later: no path enters it again.
+    dead: set[tuple[str, int]] = set()
     for use in range(1, cap + 1):
         for p, (members, size) in enumerate(patterns):
-            while (room := use * size - taken[p]) > 0 and members:
+            while (room := use * size - taken[p]) > 0 and members and ("p", p) not in dead:
                 came: dict[tuple[str, int], tuple[str, int] | None] = {("p", p): None}
                 queue, end = deque([("p", p)]), None
                 while queue and end is None:
                     kind, i = at = queue.popleft()
-                    for to in [("s", s) for s in patterns[i][0]] if kind == "p" else [("p", q) for q in holders[i] if sent[q][i] > 0]:
-                        if to not in came:
+                    for to in [("s", s) for s in patterns[i][0]] if kind == "p" else [("p", q) for q in senders[i]]:
+                        if to not in came and to not in dead:
                             came[to] = at
                             queue.append(to)
                             if to[0] == "s" and got[to[1]] < quotas[to[1]]:
                                 end = to
                                 break
                 if end is None:
+                    dead.update(came)
                     break
                 path, at = [end], came[end]
                 while at is not None:
@@ -78,8 +81,11 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], cap: i
                 flow = min(room, quotas[end[1]] - got[end[1]], *back)
                 for k in range(0, len(path) - 1, 2):
                     sent[path[k][1]][path[k + 1][1]] += flow
+                    senders[path[k + 1][1]].add(path[k][1])
                 for k in range(1, len(path) - 1, 2):
                     sent[path[k + 1][1]][path[k][1]] -= flow
+                    if not sent[path[k + 1][1]][path[k][1]]:
+                        senders[path[k][1]].discard(path[k + 1][1])
                 taken[p] += flow
                 got[end[1]] += flow
     return taken
@@ -124,15 +130,30 @@ def _uses(docs: DataFrame, keep: tuple[str, ...], id_col: str, text_col: str, so
     first = saved(_cut(light, high), "cut")
     inner = light.join(F.broadcast(first), "p").filter(high == F.col("cut")).withColumn("left", F.col("rest")).drop("cut", "rest")
     second = saved(_cut(inner, low), "cut")
-    edge = inner.drop("left").join(F.broadcast(second), "p").filter(low == F.col("cut"))
-    running = F.sum("size").over(Window.partitionBy("p").orderBy("r", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = edge.withColumn("run", running).filter("run - size / 2 <= rest")
-    last = edge.groupBy("p").agg(F.max(F.struct("r", "id")).alias("e")).select("p", F.col("e.r").alias("last_r"), F.col("e.id").alias("last_id"))
+    # In the last bucket rows equal in id and size are one group, null ids too; so many of the group at the cut are taken that the sum is nearest.
+    groups = inner.drop("left").join(F.broadcast(second), "p").filter(low == F.col("cut")).groupBy("p", "rest", "r", "id", "size").agg(F.count(F.lit(1)).alias("n"))
+    mine = F.struct("r", "id", "size")
+    window = Window.partitionBy("p").orderBy("r", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(window), F.lit(0))).filter("size > 0 and before <= rest")
+    last = groups.groupBy("p").agg(F.max(F.struct(mine.alias("mark"), "n", F.round((F.col("rest") - F.col("before")) / F.col("size")).cast("long").alias("fit"))).alias("e"))
+    last = last.select("p", F.col("e.mark").alias("mark"), F.least("e.fit", "e.n").alias("fit"), (F.col("e.fit") < F.col("e.n")).alias("parted"))
     marks = first.select("p", F.col("cut").alias("c1")).join(F.broadcast(second.select("p", F.col("cut").alias("c2"))), "p", "left").join(F.broadcast(last), "p", "left")
     out = rows.join(plan, "members").join(F.broadcast(saved(marks, "marks")), "p", "left")
-    at_edge = F.expr("last_r is not null and (r < last_r or (r = last_r and id <= last_id))")
-    more = F.when(F.col("c1").isNull(), F.lit(False)).otherwise((high < F.col("c1")) | ((high == F.col("c1")) & ((low < F.col("c2")) | ((low == F.col("c2")) & at_edge))))
-    return out.withColumn("uses", F.col("uses") + F.coalesce(more, F.lit(False)).cast("long"))
+    at_cut = F.coalesce((high == F.col("c1")) & (low == F.col("c2")) & F.col("mark").isNotNull(), F.lit(False))
+    below = (high < F.col("c1")) | ((high == F.col("c1")) & (low < F.col("c2"))) | (at_cut & (mine < F.col("mark")))
+    out = out.withColumn("more", F.coalesce(below, F.lit(False))).withColumn("tied", at_cut & (mine == F.col("mark")))
+    out = out.withColumn("more", F.col("more") | (F.col("tied") & (F.col("fit") > 0)))
+    # Most often the group at the cut is one row. Where it is taken in part, its rows are numbered file by file, whatever their number.
+    if not saved(last.filter("parted and fit > 0"), "parted").isEmpty():
+        tied = saved(out.filter("tied and parted").withColumn("row", F.monotonically_increasing_id()), "tied")
+        file = F.shiftright("row", 33)
+        counts = tied.groupBy("p", file.alias("file")).agg(F.count(F.lit(1)).alias("c"))
+        ahead = F.coalesce(F.sum("c").over(Window.partitionBy("p").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select("p", "file", ahead.alias("ahead"))
+        number = F.row_number().over(Window.partitionBy("p", "file").orderBy("row"))
+        tied = tied.withColumn("file", file).join(F.broadcast(counts), ["p", "file"]).withColumn("more", F.col("ahead") + number <= F.col("fit"))
+        out = out.filter("not (tied and coalesce(parted, false))").unionByName(tied.select(*out.columns))
+    return out.withColumn("uses", F.col("uses") + F.col("more").cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), cap: int = 2, seed: int = 1, max_patterns: int = 20_000) -> DataFrame:

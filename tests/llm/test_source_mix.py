@@ -77,6 +77,31 @@ def test_mix_and_reruns(spark):
     assert len(repeated) == 3 and all(r.taken <= 2 * r.size for r in repeated)
 
 
+def test_repeated_and_null_ids_at_the_cut(spark):
+    """Rows equal in id and size are parted so that the sum is nearest to the target."""
+    for ids in ([7] * 400, [None] * 400, [None] * 200 + [3] * 200, [i % 5 for i in range(400)]):
+        rows = [(i, "w w w", "s") for i in ids] + [(None, None, "s"), (8, "", None), (1000, "w " * 50, "t")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        got = sm.mix(df).collect()
+        own = [r for r in got if r.size == 3]
+        assert len(got) == len(rows) and all(r.taken in (0, 3, 6) for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1.5
+        again = sm.mix(df.repartition(3)).collect()
+        count = lambda rows: sorted(((r.doc_id, r.size, r.taken) for r in rows), key=str)
+        assert count(got) == count(again)
+        whole = sm.repeated(df)
+        assert whole.columns == df.columns and whole.filter("text = 'w w w'").count() == sum(r.taken for r in own) // 3
+
+
+def test_many_patterns_are_routed_quickly():
+    rng = random.Random(4)
+    patterns = [(tuple(sorted(rng.sample(range(40), rng.randint(1, 5)))), rng.randint(1, 1000)) for _ in range(8000)]
+    total = sum(s for _, s in patterns)
+    for quotas in ([total // 400] * 40, [total // 10] * 4 + [0] * 36):
+        taken = sm.route(patterns, quotas, 2)
+        assert all(t <= 2 * s for t, (_, s) in zip(taken, patterns)) and sum(taken) <= sum(quotas)
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "w " * 10, s) for i, s in enumerate([["a"], ["a", "b"], ["b"], ["a", None], ["b", "a"]] * 40)]
     got = sm.mix(spark.createDataFrame(rows, "doc_id long, text string, s array<string>"), sources=F.col("s")).collect()
