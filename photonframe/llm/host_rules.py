@@ -1,11 +1,13 @@
 """Quality rules pooled by host.
 
-Every text is counted once (words, symbols, repeated lines, words inside repeated 3-word windows). Rule failures are summed by
-host, each host's rates are shrunk towards all hosts' by an empirical beta prior (fitted by moments), and the verdicts are
-joined back to the documents.
+Every text is counted once (words, symbols, repeated lines, words inside repeated 3-word windows). Failures of every rule are summed by
+host, and each host's rate of each rule is shrunk towards that of all hosts by the rule's own empirical beta prior (fitted by moments).
+The verdicts are joined back to the documents.
 
-Verdicts: a text that breaks a base rule goes. On a host whose shrunk failure rate is at least `suspect`, a text that breaks
-any rule goes as well; on a host at or above `banned`, every text goes. A clean text on any other host stays.
+A text that breaks a base rule goes. The limit of a soft rule moves with the host: it is divided by the ratio of the host's shrunk odds of
+breaking the rule to the prior's, at most by `reach` and at least by 1 / `reach`. Where hosts do not differ, the prior is narrow and
+every limit is the rule's own; a host that breaks a rule oftener than others is held to less, one that rarely does may exceed it. On a host whose shrunk
+rate of texts that break any rule is at least `banned`, every text goes. A text without a mark of any rule stays on any other host.
 
 Null texts have no words and so fail. Rows of null host are one host. Repeated rows count each. Extra columns are ignored.
 """
@@ -13,6 +15,8 @@ Null texts have no words and so fail. Rows of null host are one host. Repeated r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +35,12 @@ BASE = {
     "short": "n_words < 50",
     "repeats": "100 * n_repeat_words > 50 * n_words",
 }
-MORE = {
-    "symbols": "n_symbols > 0.2 * word_chars",
-    "word_length": "n_words > 0 and (word_chars < 2.5 * n_words or word_chars > 14 * n_words)",
-    "lines": "n_lines > 1 and 100 * n_dup_lines > 30 * n_lines",
+#: Soft rules: what is measured, and its limit.
+SOFT = {
+    "symbols": ("n_symbols / greatest(n_words, 1)", 0.1),
+    "long_words": ("word_chars / greatest(n_words, 1)", 20.0),
+    "short_words": ("n_words / greatest(word_chars, 1)", 0.55),
+    "lines": ("n_dup_lines / greatest(n_lines, 1)", 0.5),
 }
 
 
@@ -98,29 +104,49 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.mapInArrow(run, f"id {kind}, host string, {', '.join(f'{c} long' for c in COUNTS)}").withColumnRenamed("id", id_col)
 
 
-def host_verdicts(counts: DataFrame, suspect: float = 0.6, banned: float = 0.95) -> DataFrame:
-    """(host, host_docs, host_rate, host_verdict): shrunk rate of texts that break a rule; keep, suspect or banned."""
-    bad = F.expr(" or ".join(f"({r})" for r in (BASE | MORE).values()))
-    hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(bad.cast("long")).alias("host_bad"))
-    share = F.col("host_bad") / F.col("host_docs")
-    mean = F.sum("host_bad") / F.sum("host_docs")
-    prior = hosts.agg(mean.alias("m"), F.coalesce(F.var_samp(share), F.lit(0.0)).alias("v"), F.avg(1 / F.col("host_docs")).alias("i"))
-    # Variance between hosts without that of sampling; its beta prior weighs as `strength` documents.
-    spread = F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("i"), F.lit(1e-9))
-    prior = prior.select("m", F.greatest(F.lit(2.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / spread - 1)).alias("strength"))
-    rate = (F.col("host_bad") + F.col("m") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
-    verdict = F.when(F.col("host_rate") >= banned, "banned").when(F.col("host_rate") >= suspect, "suspect").otherwise("keep")
-    return hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", rate).select("host", "host_docs", "host_rate", verdict.alias("host_verdict"))
-
-
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, suspect: float = 0.6, banned: float = 0.95) -> DataFrame:
-    """(id_col, counts, base_failed, any_failed, host_rate, host_verdict, kept) of every row."""
+def _broken() -> dict[str, Column]:
+    """Whether a text breaks each rule at its own limit."""
+    return {r: F.expr(e) for r, e in BASE.items()} | {r: F.expr(e) > limit for r, (e, limit) in SOFT.items()}
+
+
+def _shrunk(bad: str, mean: str, strength: str) -> Column:
+    return (F.col(bad) + F.col(mean) * F.col(strength)) / (F.col("host_docs") + F.col(strength))
+
+
+def host_verdicts(counts: DataFrame, reach: float = 2.0, banned: float = 0.95) -> DataFrame:
+    """(host, host_docs, host_rate, f_<soft rule>..., host_verdict): the shrunk rate of texts that break a rule, the factor of each
+    soft limit, and banned, strict, lenient or keep."""
+    broken = _broken()
+    rules = [*SOFT, "any"]
+    hit = broken | {"any": reduce(or_, broken.values())}
+    hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), *(F.sum(hit[r].cast("long")).alias(f"k_{r}") for r in rules))
+    moments = [F.avg(1 / F.col("host_docs")).alias("i")]
+    for r in rules:
+        moments += [(F.sum(f"k_{r}") / F.sum("host_docs")).alias(f"m_{r}"), F.coalesce(F.var_samp(F.col(f"k_{r}") / F.col("host_docs")), F.lit(0.0)).alias(f"v_{r}")]
+    prior = hosts.agg(*moments)
+    # Variance between hosts without that of sampling; the beta prior that fits it weighs as `s` documents.
+    for r in rules:
+        within = F.col(f"m_{r}") * (1 - F.col(f"m_{r}"))
+        spread = F.greatest(F.col(f"v_{r}") - within * F.col("i"), F.lit(1e-9))
+        prior = prior.withColumn(f"s_{r}", F.greatest(F.lit(2.0), F.least(F.lit(1e6), within / spread - 1)))
+    out = hosts.crossJoin(F.broadcast(prior))
+    for r in SOFT:
+        m, p = F.col(f"m_{r}"), _shrunk(f"k_{r}", f"m_{r}", f"s_{r}")
+        ratio = F.when((m > 0) & (m < 1), m / (1 - m) * (1 - p) / p).otherwise(1.0)
+        out = out.withColumn(f"f_{r}", F.round(F.greatest(F.lit(1 / reach), F.least(F.lit(reach), ratio)), 6))
+    factors = [F.col(f"f_{r}") for r in SOFT]
+    out = out.withColumn("host_rate", _shrunk("k_any", "m_any", "s_any"))
+    verdict = F.when(F.col("host_rate") >= banned, "banned").when(F.least(*factors) < 0.8, "strict").when(F.greatest(*factors) > 1.25, "lenient").otherwise("keep")
+    return out.select("host", "host_docs", "host_rate", *factors, verdict.alias("host_verdict"))
+
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, reach: float = 2.0, banned: float = 0.95) -> DataFrame:
+    """(id_col, counts, base_failed, soft_failed, host_rate, host_verdict, kept) of every row."""
     counts = saved(text_counts(docs, id_col, text_col, host), "counts")
-    verdicts = saved(host_verdicts(counts, suspect, banned), "hosts")
+    verdicts = saved(host_verdicts(counts, reach, banned), "hosts")
     if verdicts.count() <= BROADCAST_ROWS:
         verdicts = F.broadcast(verdicts)
     out = counts.alias("d").join(verdicts.alias("h"), F.expr("d.host <=> h.host"), "left").drop("host")
-    out = out.withColumn("base_failed", F.expr(" or ".join(f"({r})" for r in BASE.values())))
-    out = out.withColumn("any_failed", F.expr(" or ".join(f"({r})" for r in (BASE | MORE).values())))
-    gone = F.expr("base_failed or host_verdict = 'banned' or (host_verdict = 'suspect' and any_failed)")
-    return out.withColumn("kept", ~gone)
+    out = out.withColumn("base_failed", reduce(or_, (F.expr(e) for e in BASE.values())))
+    out = out.withColumn("soft_failed", reduce(or_, (F.expr(e) > limit * F.col(f"f_{r}") for r, (e, limit) in SOFT.items())))
+    return out.drop(*(f"f_{r}" for r in SOFT)).withColumn("kept", F.expr("not (base_failed or soft_failed or host_verdict = 'banned')"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, secret_scan
+from . import secret_scan
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,22 +39,29 @@ def secret_spans() -> str:
       FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
-def host_verdicts(suspect: float = 0.6, banned: float = 0.95) -> str:
-    """Counts, host rates with the beta prior, and verdicts."""
-    base = " OR ".join(f"({r})" for r in host_rules.BASE.values())
-    every = " OR ".join(f"({r})" for r in (host_rules.BASE | host_rules.MORE).values())
-    return rf"""WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
-      ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), lc AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+def host_verdicts() -> str:
+    """Counts, the beta prior of each rule, the factors of the soft limits, and verdicts."""
+    word = r"[^\x20\x09-\x0D]+"
+    rules = ("symbols", "long_words", "short_words", "lines")
+    sums = ", ".join(f"count(*) FILTER (WHERE b_{r}) AS k_{r}" for r in (*rules, "any"))
+    moments = ", ".join(f"sum(k_{r}) / sum(hd) AS m_{r}, coalesce(var_samp(k_{r} / hd), 0) AS v_{r}" for r in (*rules, "any"))
+    weights = ", ".join(f"greatest(2, least(1e6, m_{r} * (1 - m_{r}) / greatest(v_{r} - m_{r} * (1 - m_{r}) * i, 1e-9) - 1)) AS s_{r}" for r in (*rules, "any"))
+    rates = ", ".join(f"(k_{r} + m_{r} * s_{r}) / (hd + s_{r}) AS p_{r}" for r in (*rules, "any"))
+    factors = ", ".join(f"round(CASE WHEN m_{r} > 0 AND m_{r} < 1 THEN greatest(0.5, least(2, m_{r} / (1 - m_{r}) * (1 - p_{r}) / p_{r})) ELSE 1 END, 6) AS f_{r}" for r in rules)
+    return rf"""WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+      ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), lc AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
       g AS (SELECT doc_id, i, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
       h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), k AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM h, range(0, 3) t(o) GROUP BY doc_id),
       c AS (SELECT d.doc_id, host, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN lc ON lc.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id),
-      f AS (SELECT *, ({base}) AS base_failed, ({every}) AS any_failed FROM c),
-      o AS (SELECT host, count(*) AS hd, count(*) FILTER (WHERE any_failed) AS hb FROM f GROUP BY host),
-      q AS (SELECT sum(hb) / sum(hd) AS m, coalesce(var_samp(hb / hd), 0) AS v, avg(1 / hd) AS i FROM o),
-      p AS (SELECT m, greatest(2, least(1e6, m * (1 - m) / greatest(v - m * (1 - m) * i, 1e-9) - 1)) AS s FROM q),
-      r AS (SELECT host, (hb + m * s) / (hd + s) AS rate FROM o, p)
-      SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        CASE WHEN rate >= {banned} THEN 'banned' WHEN rate >= {suspect} THEN 'suspect' ELSE 'keep' END AS host_verdict,
-        NOT (base_failed OR rate >= {banned} OR (rate >= {suspect} AND any_failed)) AS kept
-      FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host"""
+      x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS x_symbols, word_chars / greatest(n_words, 1) AS x_long_words,
+        n_words / greatest(word_chars, 1) AS x_short_words, n_dup_lines / greatest(n_lines, 1) AS x_lines FROM c),
+      f AS (SELECT *, base_failed OR b_symbols OR b_long_words OR b_short_words OR b_lines AS b_any
+        FROM (SELECT *, x_symbols > 0.1e0 AS b_symbols, x_long_words > 20 AS b_long_words, x_short_words > 0.55e0 AS b_short_words, x_lines > 0.5e0 AS b_lines FROM x)),
+      o AS (SELECT host, count(*) AS hd, {sums} FROM f GROUP BY host), q AS (SELECT avg(1 / hd) AS i, {moments} FROM o), p AS (SELECT *, {weights} FROM q),
+      r AS (SELECT *, {rates} FROM o, p), z AS (SELECT host, p_any, {factors} FROM r),
+      y AS (SELECT *, CASE WHEN p_any >= 0.95 THEN 'banned' WHEN least(f_symbols, f_long_words, f_short_words, f_lines) < 0.8 THEN 'strict'
+        WHEN greatest(f_symbols, f_long_words, f_short_words, f_lines) > 1.25 THEN 'lenient' ELSE 'keep' END AS host_verdict FROM z)
+      SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_verdict,
+        NOT (base_failed OR host_verdict = 'banned' OR x_symbols > 0.1e0 * f_symbols OR x_long_words > 20 * f_long_words OR x_short_words > 0.55e0 * f_short_words OR x_lines > 0.5e0 * f_lines) AS kept
+      FROM f JOIN y ON f.host IS NOT DISTINCT FROM y.host"""
