@@ -3,7 +3,8 @@
 A page is cut into leaf blocks: stretches of text between block-level tags. Each has features of its ancestors (tags, and the
 kinds of thing that their class, id and role names speak of) and of its text (length, links, punctuation). A two-label chain
 (main, other) is fitted on labelled pages by gradient ascent of the penalised likelihood, and Viterbi decoding labels the
-blocks of a page. The labelled pages are laid out by `labelled_pages` from a seed, so that names, nesting and text lengths vary.
+blocks of a page. The labelled pages are laid out by `labelled_pages` from a seed, so that names, nesting and text lengths vary; a part of the names
+says nothing or misleads, so that tags, links and texts must decide.
 
 Null, empty and tag-only pages give an empty text. Unclosed tags, comments and scripts run to the end of the page, as in
 browsers. Whole pages are read, whatever their length. Repeated rows are extracted each. Extra columns are ignored.
@@ -27,7 +28,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "title", "textarea", "canvas", "audio", "video")
+#: Elements whose content is no text of the page; all else, formulas and fallbacks too, is left to the field.
+DROPPED = ("script", "style", "template", "iframe", "svg", "title", "textarea", "canvas", "audio", "video")
+#: An opening tag ends an open element of its kind, unless one of the others was opened since.
+_ENDS_OWN = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",))}
 #: Names in class, id and role attributes, by the kind of thing that they speak of.
 KINDS = {
     "ad": "ad ads adv advert adverts advertisement adsense adslot banner sponsor sponsored sponsors promo promoted promotion promotions dfp commercial",
@@ -43,11 +47,13 @@ KINDS = {
 }
 KIND_OF = {name: kind for kind, names in KINDS.items() for name in names.split()}
 TAG_KIND = {"nav": "nav", "menu": "nav", "footer": "foot", "header": "head", "aside": "side", "form": "form", "fieldset": "form", "select": "form", "button": "form", "label": "form", "article": "main", "main": "main", "dialog": "notice"}
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Quotes count after an equals sign only. Every pattern runs forward without giving back, and what is not closed ends the page.
+_MARK = re.compile(r"<(?:(!--)|([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>?)|/([a-zA-Z][^\s/>]*+)[^>]*+(>?)|[!?/][^>]*+(>?))")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|style)(?![\w-])(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in DROPPED}
-_CLOSES_P = BLOCK - {"body", "html", "option", "optgroup"}
+_HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def _kinds(tag: str, attributes: str) -> tuple[str, ...]:
@@ -55,18 +61,101 @@ def _kinds(tag: str, attributes: str) -> tuple[str, ...]:
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, a, b, c in _ATTR.findall(attributes):
             value = a or b or c
-            if name.lower() == "hidden" or name.lower() == "style" and re.search(r"display\s*:\s*none", value):
+            if name.lower() == "hidden" or name.lower() == "style" and re.search(r"display\s*+:\s*+none", value):
                 found.append("hidden")
             elif name.lower() in ("class", "id", "role"):
-                found += [KIND_OF[w] for w in (x.lower() for x in _NAME.findall(value)) if w in KIND_OF]
-    return tuple(dict.fromkeys(found))
+                # Within one name the other kinds tell more than main does ("comment-body", "main-nav").
+                for word in value.split():
+                    own = dict.fromkeys(KIND_OF[w] for w in (x.lower() for x in _NAME.findall(word)) if w in KIND_OF)
+                    found += [k for k in own if k != "main" or len(own) == 1]
+    kinds = tuple(dict.fromkeys(found))
+    # An element that is named main and something else says little: its own kind.
+    return ("mixed",) if "main" in kinds and len(kinds) > 1 and tag not in TAG_KIND else kinds
+
+
+class _Frame:
+    """An open element with what its features need of all its ancestors, so that no step walks the stack."""
+
+    __slots__ = ("tag", "holder", "linked", "inner", "before", "after", "main", "open_p", "names")
+
+    def __init__(self, tag: str, kinds: tuple[str, ...], up: _Frame | None, place: int):
+        self.tag = tag
+        self.holder = tag if tag in BLOCK else up.holder if up else "body"
+        self.linked = tag == "a" or bool(up and up.linked)
+        self.inner = kinds[0] if kinds else up.inner if up else "none"
+        before, after, main = (up.before, up.after, up.main) if up else (frozenset(), frozenset(), False)
+        for k in kinds:
+            if main:
+                after |= {k} - {"main"}
+            elif k == "main":
+                main = True
+            else:
+                before |= {k}
+        self.before, self.after, self.main = before, after, main
+        # The place of the nearest paragraph with only inline elements inside.
+        self.open_p = place if tag == "p" else -1 if tag in BLOCK or not up else up.open_p
+        self.names: list[str] | None = None
+
+    def features(self) -> list[str]:
+        """Names of the features that hold for all text in this element."""
+        if self.names is None:
+            out = ["bias", "in:" + ("h" if self.holder in _HEADING else self.holder), "inner:" + self.inner]
+            out += [f"any:{k}" for k in sorted(self.before | self.after | ({"main"} if self.main else set()))]
+            if self.main:
+                out.append("main>" + ",".join(sorted(self.after)))
+                out += [f"main>{k}" for k in sorted(self.after)] + [f"{k}>main" for k in sorted(self.before)]
+            self.names = out
+        return self.names
+
+
+class _Stack:
+    """The open elements, with the places of each tag and of block elements."""
+
+    def __init__(self):
+        self.frames: list[_Frame] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, kinds: tuple[str, ...]) -> None:
+        place = len(self.frames)
+        self.frames.append(_Frame(tag, kinds, self.frames[-1] if place else None, place))
+        self.places.setdefault(tag, []).append(place)
+        if tag in BLOCK:
+            self.blocks.append(place)
+
+    def cut(self, place: int) -> None:
+        while len(self.frames) > place:
+            tag = self.frames.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def opens(self, tag: str) -> None:
+        """Closes what a block element that opens ends: a paragraph with its inline elements, and items of its kind."""
+        if self.frames and tag not in ("body", "html", "option", "optgroup") and (p := self.frames[-1].open_p) >= 0:
+            self.cut(p)
+        if tag in _ENDS_OWN:
+            own, stop = map(self.last, _ENDS_OWN[tag])
+            if own > stop:
+                self.cut(own)
+
+    def closes(self, tag: str) -> None:
+        place = self.last((tag,))
+        if place >= 0 and (tag in BLOCK or not self.blocks or self.blocks[-1] < place):
+            self.cut(place)
+
+
+_BODY = _Frame("body", (), None, 0)
 
 
 def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
-    """(text, features) of each leaf block that has text, in page order."""
+    """(text, features) of each leaf block that has text, in page order; time and memory follow the page's length."""
     page = page or ""
     blocks: list[tuple[str, list[str]]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
     linked = at = 0
 
@@ -75,7 +164,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append((text, features(text, stack, linked)))
+                blocks.append((text, features(text, stack.frames[-1] if stack.frames else _BODY, linked)))
             parts.clear()
         linked = 0
 
@@ -83,68 +172,53 @@ def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
         nonlocal linked
         if text:
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if stack.frames and stack.frames[-1].linked:
                 linked += len(text.strip())
 
-    while found := _TAG.search(page, at):
+    while found := _MARK.search(page, at):
         add(page[at : found.start()])
         at = found.end()
-        if found[1]:
-            tag = found[1].lower()
-            if tag in _ENDS and not found[2].endswith("/"):
+        comment, opened, attributes, ends, closed, closed_ends, other_ends = found.groups()
+        if comment:
+            # "<!-->" and "<!--->" are whole comments.
+            close = _COMMENT_END.search(page, at - 2)
+            at = close.end() if close else len(page)
+        elif opened:
+            if not ends:
+                at = len(page)
+                break
+            tag = opened.lower()
+            itself = attributes.endswith("/")
+            if tag in _ENDS and not itself:
                 close = _ENDS[tag].search(page, at)
                 at = close.end() if close else len(page)
-                continue
-            if tag == "br":
+            elif tag == "br":
                 parts.append(" ")
-                continue
-            if tag in BLOCK:
-                flush()
-                names = [t for t, _ in stack]
-                if tag in _CLOSES_P and "p" in names:
-                    # An open paragraph ends with the inline elements that it holds.
-                    start = len(names) - 1 - names[::-1].index("p")
-                    if not any(t in BLOCK for t in names[start + 1 :]):
-                        del stack[start:]
-                for own, stop in (("li", ("ul", "ol", "menu")), ("dd", ("dl",)), ("dt", ("dl",)), ("td", ("tr", "table")), ("tr", ("table",)), ("option", ("select",))):
-                    if tag == own or {tag, own} == {"dd", "dt"}:
-                        for k in range(len(stack) - 1, -1, -1):
-                            if stack[k][0] == own:
-                                del stack[k:]
-                                break
-                            if stack[k][0] in stop:
-                                break
-            if tag not in VOID and not (found[2].endswith("/") and tag not in BLOCK):
-                stack.append((tag, _kinds(tag, found[2])))
-        elif found[3]:
-            tag = found[3].lower()
+            else:
+                if tag in BLOCK:
+                    flush()
+                    stack.opens(tag)
+                if tag not in VOID and not (itself and tag not in BLOCK):
+                    stack.push(tag, _kinds(tag, attributes))
+        elif closed:
+            if not closed_ends:
+                at = len(page)
+                break
+            tag = closed.lower()
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break
-    rest = page[at:]
-    add(rest[: m.start()] if (m := re.search(r"<(?:[a-zA-Z/!?])", rest)) else rest)
+            stack.closes(tag)
+        elif not other_ends:
+            at = len(page)
+            break
+    add(page[at:])
     flush()
     return blocks
 
 
-def features(text: str, stack: list[tuple[str, tuple[str, ...]]], linked: int) -> list[str]:
+def features(text: str, frame: _Frame, linked: int) -> list[str]:
     """Names of the features that hold for a block."""
-    out = ["bias"]
-    holder = next((t for t, _ in reversed(stack) if t in BLOCK), "body")
-    out.append("in:" + ("h" if re.fullmatch(r"h[1-6]", holder) else holder))
-    kinds = [k for _, ks in stack for k in ks]
-    out += [f"any:{k}" for k in set(kinds)]
-    out.append("inner:" + (next((k for _, ks in reversed(stack) for k in ks[:1]), "none")))
-    first_main = next((i for i, k in enumerate(kinds) if k == "main"), None)
-    if first_main is not None:
-        out.append("main>" + ",".join(sorted(set(kinds[first_main + 1 :]) - {"main"})))
-        out += [f"main>{k}" for k in set(kinds[first_main + 1 :]) - {"main"}]
-        out += [f"{k}>main" for k in set(kinds[:first_main])]
+    out = list(frame.features())
     words = text.count(" ") + 1
     out.append("words:" + ("1" if words < 3 else "2" if words < 8 else "3" if words < 25 else "4"))
     share = linked / max(1, len(text))
@@ -229,6 +303,13 @@ def labelled_pages(count: int = 400, seed: int = 11) -> Iterator[str]:
         tag, attribute = pick(tags), pick(("class", "class", "id"))
         name = pick(KINDS[kind].split())
         name = pick((name, f"{name}-{pick(('box', 'wrap', 'inner', 'area', 'x1'))}", f"site-{name}", f"{name} clearfix"))
+        if (odd := rng.random()) < 0.2:
+            # A name that says nothing, as on sites whose names are made by tools.
+            name = "".join(pick("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(2, 6))) + pick(("", "-1", "_k"))
+        elif odd < 0.27:
+            # A name that speaks of something else as well.
+            other_kind = pick([k for k in KINDS if k != kind]) if kind == "main" else "main"
+            name = f"{name} {pick(KINDS[other_kind].split())}"
         plain = TAG_KIND.get(tag) == kind and rng.random() < 0.6
         return f"<{tag}>{inside}</{tag}>" if plain else f'<{tag} {attribute}="{name}">{inside}</{tag}>'
 
