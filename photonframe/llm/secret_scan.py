@@ -1,13 +1,14 @@
 """Secret scans through a trigram index, with DataFrame functions only.
 
 From each rule's regular expression a Boolean query over trigrams is derived: what must occur in any text that matches (Cox, 2012).
-The index maps each trigram that some query uses to the documents whose lower-cased text holds it (postings). Each query's
-clauses intersect postings by counting the trigrams that a document brings; documents that satisfy a query are candidates, whose
-texts the rule's regular expression verifies. Rules without a mandatory trigram scan every text.
+The index maps each trigram that some query uses to the documents whose lower-cased text holds it (postings); the postings of a clause
+hold the documents with its rarest trigram only, as others cannot satisfy it. Each query's clauses intersect postings as bits of the trigrams
+that a document brings. Documents that satisfy a query are candidates: their ids, counted and then broadcast (joined by shuffling beyond
+`BROADCAST_ROWS`), meet the texts where these lie, and the rule's regular expression verifies them. Rules without a mandatory trigram scan every text.
 
 Spans are in code points, end exclusive. Matches of a rule are leftmost and do not overlap; rules do not shadow one another.
 Null and empty texts have no spans. Rows that repeat an id are scanned each (a candidate id is verified in all of its rows);
-null ids are candidates together. Extra columns are ignored unless kept by name.
+rows of null id are candidates of every kind without the index. Extra columns are ignored unless kept by name.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 Clause = frozenset[str]
 Query = frozenset[Clause]
 
@@ -51,8 +54,12 @@ MORE = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~-]{1,64}:[A-Za-z0-9._~%!*-]{3,64}@"),
+    # From the slashes on, so that a run of letters is never tried from each of them.
+    Rule("url_login", r"://[A-Za-z0-9._~-]+:[A-Za-z0-9._~%!*-]{3,}@"),
 )
+BROADCAST_ROWS = 500_000
+#: Letters from common to rare; other characters count like the rare ones.
+_COMMON = "etaoinsrhdlucmfywgpbvkxqjz"
 #: Sets of exact strings and clauses stay below this many while a pattern is analysed; beyond, what is known is made weaker.
 EXACT, CLAUSES = 32, 64
 
@@ -155,24 +162,28 @@ def trigram_query(pattern: str) -> Query:
     return _analyse(sre_parse.parse(pattern)).query
 
 
-def postings(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The inverted index (trigram, id) of the given trigrams over whole texts in lower case."""
-    held = F.filter(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in trigrams)), lambda g: g.isNotNull())
-    low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"))
-    return low.select("id", F.explode(held).alias("trigram"))
-
-
-def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """(id, kinds) of the documents that satisfy the query of some kind: postings of each clause are intersected by counting."""
-    of: dict[str, list[tuple[str, int]]] = {}
-    need: dict[str, list[int]] = {}
-    for kind, query in queries.items():
-        need[kind] = []
-        for n, clause in enumerate(sorted(query, key=sorted)):
-            need[kind].append(len(clause))
-            for g in clause:
-                of.setdefault(g, []).append((kind, n))
-    bit = {g: i for i, g in enumerate(sorted(of))}
+def rarest(clause: Clause) -> str:
+    """The trigram of a clause whose letters are the least common."""
+    return max(sorted(clause), key=lambda g: sum(_COMMON.find(c) if c in _COMMON else 1 if c == " " else len(_COMMON) for c in g))
+
+
+def postings(docs: DataFrame, clauses: list[Clause], id_col: str, text_col: str) -> DataFrame:
+    """The inverted index (trigram, id) over whole texts in lower case: trigrams of clauses, in documents with the clause's rarest one."""
+    low = F.col("low")
+    by_rarest: dict[str, set[str]] = {}
+    for clause in clauses:
+        by_rarest.setdefault(rarest(clause), set()).update(clause)
+    held = [
+        F.when(F.contains(low, F.lit(first)), F.array(F.lit(first), *(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in sorted(rest - {first})))).otherwise(F.array().cast("array<string>"))
+        for first, rest in sorted(by_rarest.items())
+    ]
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"))
+    return texts.select("id", F.explode(F.filter(F.concat(*held), lambda g: g.isNotNull())).alias("trigram"))
+
+
+def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
+    """(id, kinds) of the documents that satisfy some query: postings of each clause are intersected; kinds has the queries' numbers as bits."""
+    bit = {g: i for i, g in enumerate(sorted({g for q in queries.values() for c in q for g in c}))}
     # Trigrams that a document brings, as bits in words of 60: aggregated with map-side combining, whatever the document's length.
     words = range(-(-len(bit) // 60))
     position = F.create_map(*(x for g, i in bit.items() for x in (F.lit(g), F.lit(i))))[F.col("trigram")]
@@ -180,9 +191,9 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
         *(F.bit_or(F.when((F.col("at") / 60).cast("int") == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(60)).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in words)
     )
 
-    def holds(kind: str) -> Column:
+    def holds(query: Query) -> Column:
         out = F.lit(False)
-        for clause in queries[kind]:
+        for clause in query:
             both = F.lit(True)
             for w in words:
                 mask = sum(1 << (bit[g] - 60 * w) for g in clause if bit[g] // 60 == w)
@@ -191,8 +202,10 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
             out |= both
         return out
 
-    kinds = F.filter(F.array(*(F.when(holds(k), F.lit(k)) for k in queries)), lambda k: k.isNotNull())
-    return brought.select("id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    kinds = F.lit(0).cast("long")
+    for n, query in queries.items():
+        kinds = kinds.bitwiseOR(F.when(holds(query), F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")))
+    return brought.select("id", kinds.alias("kinds")).filter("kinds <> 0")
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -217,22 +230,24 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, keep..., spans) of every row; spans: array<struct<start, ord, kind, end, good>> by start, then the rules' order."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    indexed = {k: q for k, q in queries.items() if q != ALWAYS}
+    if len(rules) > 60:
+        raise ValueError("at most 60 rules a scan")
+    queries = {n: trigram_query(r.pattern) for n, r in enumerate(rules)}
+    indexed = {n: q for n, q in queries.items() if q != ALWAYS}
     extra = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).alias("id"), *extra, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if indexed:
-        index = postings(rows, sorted({g for q in indexed.values() for c in q for g in c}), "id", "text")
-        found = candidates(index, indexed).withColumnRenamed("id", "cid")
-        rows = rows.join(found, F.col("id").eqNullSafe(F.col("cid")), "left").drop("cid")
-    else:
-        rows = rows.withColumn("kinds", F.array().cast("array<string>"))
+        index = postings(rows, sorted({c for q in indexed.values() for c in q}, key=sorted), "id", "text")
+        found = saved(candidates(index, indexed), "candidates").withColumnRenamed("id", "cid")
+        rows = rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, F.expr("id = cid"), "left").drop("cid")
+        rows = rows.withColumn("kinds", F.when(F.col("id").isNull(), F.lit((1 << len(rules)) - 1).cast("long")).otherwise(F.coalesce("kinds", F.lit(0).cast("long"))))
     none = F.array().cast("array<struct<start:long,ord:int,kind:string,end:long,good:boolean>>")
     parts = []
     for order, rule in enumerate(rules):
         text = F.col("text")
-        sought = text.rlike(rule.pattern)
-        wanted = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) & sought if rule.kind in indexed else sought
+        wanted = text.rlike(rule.pattern)
+        if order in indexed:
+            wanted = (F.col("kinds").bitwiseAND(F.lit(1 << order)) != 0) & wanted
         parts.append(F.when(wanted, rule_spans(text, rule, order)).otherwise(none))
     spans = F.array_sort(F.concat(*parts))
     return rows.select(F.col("id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), spans.alias("spans"))

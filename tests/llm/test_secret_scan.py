@@ -67,6 +67,28 @@ def test_spans_against_brute_force(spark):
     assert ss.scan(df.limit(0)).count() == 0
 
 
+def test_candidates_are_those_that_hold_a_clause(spark):
+    """The intersected postings against the queries on the texts themselves."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["pass", "word", "password", "tok", "token", "api", "_key", "AKIA", "://", "ghp_", "xoxb-", "rest"]) for _ in range(rng.randint(0, 6))) for _ in range(300)]
+    rules = [r for r in ss.BASE + ss.MORE if ss.trigram_query(r.pattern) != ss.ALWAYS]
+    queries = {n: ss.trigram_query(r.pattern) for n, r in enumerate(rules)}
+    df = spark.createDataFrame([(i, t.lower()) for i, t in enumerate(texts)], "id long, text string")
+    clauses = [c for q in queries.values() for c in q]
+    got = {r.id: r.kinds for r in ss.candidates(ss.postings(df, clauses, "id", "text"), queries).collect()}
+    for i, t in enumerate(texts):
+        assert got.get(i, 0) == sum(1 << n for n, q in queries.items() if any(all(g in t.lower() for g in c) for c in q))
+    assert all(ss.rarest(c) in c for c in clauses)
+
+
+def test_shuffled_candidates_give_the_same(spark, monkeypatch):
+    rows = [(i % 7 if i % 5 else None, f"n {i} token=abcdef{i}" if i % 3 else "none") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, ss.scan(df).collect()))
+    monkeypatch.setattr(ss, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, ss.scan(df).collect())) == want
+
+
 def test_redaction_and_plan(spark):
     df = spark.createDataFrame([(1, "é token=abcdef, AKIA" + "A" * 16 + " end"), (2, "nothing"), (3, None)], "doc_id long, text string")
     out = ss.scan(df, keep=("text",)).withColumn("text", ss.redacted(F.col("text"), F.col("spans")))
