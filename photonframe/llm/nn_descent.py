@@ -4,7 +4,9 @@ Equal vectors are one node (that of the smallest id, with the few smallest ids t
 The graph starts from exact neighbours inside blocks of random projections. Each round gives every node the lists of its
 neighbours and of the nodes that hold it as a neighbour, compares the members of a list among themselves, and keeps the nearest
 `degree` of every node. Queries search the graph greedily: the best nodes not yet expanded bring their neighbours, until no
-unexpanded node is among the best `width`. All rounds are Spark joins over tables in the shared folder; lists are bounded by `degree`.
+unexpanded node is among the best `width`. All rounds are Spark joins over tables in the shared folder; lists are bounded by `degree`,
+and rounds end early when fewer than `settled` of the edges are new. Vectors travel as 32-bit floats to steer by; the distances of the
+results are computed from the vectors themselves.
 
 Distances are Euclidean in double precision. Vectors that are null, zero, of another length than most, or that hold a null or
 non-finite component take no part, nor do rows of null id; repeated ids count once (the first vector in order). Ties go to smaller ids.
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import grouped, saved
@@ -51,20 +53,30 @@ class Graph:
     dim: int
 
 
-def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, copies: int) -> tuple[DataFrame, int]:
-    """(node, vec, ids) of the distinct valid vectors, with at most `copies` smallest ids of each; and their length."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter("id is not null and vec is not null and size(vec) > 0")
+def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
+    """(id, vec) of the valid rows of length `dim`, else of the commonest length; and that length (0: none)."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("id is not null and vec is not null and size(vec) > 0")
     good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.filter(F.coalesce(good, F.lit(False)))
-    most = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = most.n if most else 0
-    rows = rows.filter(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
+    if dim is None:
+        most = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        dim = most.n if most else 0
+    return rows.filter(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec")), dim
+
+
+def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, copies: int) -> tuple[DataFrame, int]:
+    """(node, vec, ids) of the distinct valid vectors, with at most `copies` smallest ids of each; and their length."""
+    rows, dim = valid_vectors(vectors, id_col, vec_col)
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     rows = rows.withColumn("r", rank).filter(F.col("r") <= copies)
     nodes = rows.groupBy("vec").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids"))
     return saved(nodes.select("node", "vec", "ids"), "nodes"), dim
 
 
+def _steering(vec: str) -> Column:
+    return F.col(vec).cast("array<float>")
+
+
 def _block_pairs(size: int, keep: int):
     """Neighbours inside blocks of `size` rows of the (sorted) partition."""
 
@@ -121,10 +133,10 @@ def _local_join(keep: int):
     return run
 
 
-def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = 32, copies: int = 11, projections: int = 4, block: int = 128, rounds: int = 5, seed: int = 5) -> Graph:
-    """The neighbour graph of the distinct valid vectors."""
+def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", degree: int = 32, copies: int = 11, projections: int = 4, block: int = 128, rounds: int = 5, settled: float = 0.01, seed: int = 5) -> Graph:
+    """The neighbour graph of the distinct valid vectors; searches for k neighbours need `copies` of k + 1 at least."""
     nodes, dim = distinct_vectors(vectors, id_col, vec_col, copies)
-    points = nodes.select("node", "vec")
+    points = nodes.select("node", _steering("vec").alias("vec"))
     edges = None
     rng = np.random.default_rng(seed)
     for _ in range(projections):
@@ -141,10 +153,13 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         holders = points.withColumnRenamed("node", "x").join(radius, "x")
         lists = lists.join(holders, "x").select("p", "x", "radius", "vec").repartition("p").sortWithinPartitions("p")
         found = lists.mapInArrow(_local_join(degree // 2), "u long, v long, d double")
-        merged = edges.unionAll(found).groupBy("u", "v").agg(F.min("d").alias("d"))
-        edges = saved(_nearest(merged, "u", degree, "v"), "graph")
+        merged = edges.withColumn("new", F.lit(0)).unionAll(found.withColumn("new", F.lit(1))).groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+        edges = saved(_nearest(merged, "u", degree, "v"), "graph", (edges,))
+        fresh = edges.agg(F.sum("new").alias("new"), F.count(F.lit(1)).alias("n")).first()
+        if (fresh.new or 0) <= settled * fresh.n:
+            break
     back = _nearest(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), "u", degree, "v")
-    return Graph(nodes, saved(edges.unionAll(back).distinct(), "graph"), dim)
+    return Graph(nodes, saved(edges.select("u", "v", "d").unionAll(back).distinct(), "graph", (edges,)), dim)
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,30 +172,37 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def search(graph: Graph, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, width: int = 400, expand: int = 50, hops: int = 20, entries: int = 8) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each valid query, its own id left out."""
-    asked, dim = distinct_vectors(queries, id_col, vec_col, 2**31 - 1)
-    if not dim or dim != graph.dim:
+    rows, dim = valid_vectors(queries, id_col, vec_col, graph.dim)
+    rows = saved(rows, "queries")
+    if not dim or rows.isEmpty():
         return graph.nodes.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    points = graph.nodes.select("node", "vec")
-    asked = asked.select(F.col("node").alias("q"), F.col("vec").alias("qv"), "ids")
-    vectors = asked.select("q", "qv")
-    # Entries: the query's own node, if it is in the graph, and nodes chosen by a hash of the query.
-    own = asked.select("q", F.explode("ids").alias("node")).join(points.select("node"), "node", "left_semi").select("q", "node")
+    points = graph.nodes.select("node", _steering("vec").alias("vec"))
+    # Equal queries are searched once, whatever their number; their ids stay rows of their own.
+    asked = saved(rows.groupBy("vec").agg(F.min("id").alias("q")).select("q", F.col("vec").alias("qv")), "asked")
+    vectors = asked.select("q", _steering("qv").alias("qv"))
+    # Entries: the query's own node, if it is in the graph, nodes chosen by a hash of the query, and a few nodes that are the same for all.
+    own = asked.join(graph.nodes.select(F.col("vec").alias("qv"), "node"), "qv").select("q", "node")
     total = points.count()
     numbered = points.select("node", F.pmod(F.xxhash64("node"), F.lit(max(1, total // entries))).alias("slot"))
     others = vectors.select("q", F.pmod(F.xxhash64("q"), F.lit(max(1, total // entries))).alias("slot")).join(numbered, "slot").select("q", "node")
-    fresh, seen = own.unionAll(others).distinct(), None
+    common = vectors.select("q").crossJoin(F.broadcast(points.select("node").orderBy(F.xxhash64("node"), "node").limit(entries)))
+    fresh, seen, turn = own.unionAll(others).unionAll(common).distinct(), None, None
     for _ in range(hops):
         fresh = fresh.join(points, "node").join(vectors, "q").mapInArrow(_distances, "q long, node long, d double").withColumn("open", F.lit(True))
-        seen = saved(_nearest(fresh if seen is None else seen.unionAll(fresh), "q", width, "node"), "search")
+        table = saved(_nearest(fresh if seen is None else seen.unionAll(fresh), "q", width, "node"), "search", tuple(t for t in (turn, table if seen is not None else None) if t is not None))
         rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
-        turn = saved(seen.filter("open").withColumn("r", rank).filter(F.col("r") <= expand).select("q", "node"), "turn")
+        turn = saved(table.filter("open").withColumn("r", rank).filter(F.col("r") <= expand).select("q", "node"), "turn")
+        seen = table
         if turn.isEmpty():
             break
         seen = seen.join(turn.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("open") & F.col("now").isNull()).alias("open"))
         reached = turn.join(graph.edges, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
         fresh = reached.join(seen.select("q", "node"), ["q", "node"], "left_anti")
-    found = _nearest(seen, "q", k + 1, "node").select("q", "node")
-    found = found.join(graph.nodes.select("node", "vec", "ids"), "node").join(vectors, "q").mapInArrow(_distances, "q long, node long, ids array<long>, d double")
-    pairs = asked.select("q", F.explode("ids").alias("query_id")).join(found.select("q", "d", F.explode("ids").alias("vec_id")), "q").filter("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
+    # Twice as many as are asked for, so that steering never decides between near ties.
+    found = _nearest(seen, "q", 2 * (k + 1), "node").select("q", "node")
+    found = found.join(graph.nodes.select("node", "vec", "ids"), "node").join(asked, "q").mapInArrow(_distances, "q long, node long, ids array<long>, d double")
+    near = found.groupBy("q").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("id")))))).alias("near"))
+    near = near.select("q", F.slice("near", 1, k + 1).alias("near")).join(asked, "q").select("qv", "near")
+    # A list of k + 1 holds the k nearest of each of its queries, whose own id, if it is there, is left out.
+    mine = rows.join(near, rows.vec == near.qv).select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("at", "x"))
+    return mine.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"))

@@ -49,6 +49,23 @@ def test_recall_copies_and_odd_vectors(spark):
             assert abs(s - math.dist(vectors[q], vectors[v])) < 1e-12
 
 
+def test_queries_outside_the_graph_and_a_common_query(spark):
+    """Recall where a query is no node; many equal queries get lists of their own."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 24))
+    vectors = {i: (centres[i % 6] + 0.6 * rng.normal(size=24)).tolist() for i in range(2000)}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    asked = [i for i in vectors if i % 20 == 0]
+    graph = nn.build(rows.filter("vec_id % 20 <> 0"))
+    points = {i: v for i, v in vectors.items() if i % 20}
+    want = {q: brute(points | {q: vectors[q]}, [q])[q] for q in asked}
+    got = lists(nn.search(graph, rows.filter("vec_id % 20 = 0")).collect())
+    assert set(got) == set(want) and recall(got, want) >= 0.95
+    same = spark.createDataFrame([(10_000 + i, vectors[40]) for i in range(500)], "vec_id long, embedding array<double>")
+    many = lists(nn.search(graph, same).collect())
+    assert len(many) == 500 and all(m == got[40] for m in many.values())
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 2.5]), (3, [9.0, 9.0])], "vec_id long, embedding array<double>")
     got = lists(nn.search(nn.build(df), df.filter("vec_id % 100 = 0")).collect())
