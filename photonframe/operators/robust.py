@@ -1,10 +1,14 @@
-"""Robust statistics per group: each is two or three aggregations joined on the group keys, never a gathered group."""
+"""Robust statistics per group: a few aggregations joined on the group keys. Groups that may hold a large share of all rows (a channel, a session)
+take exact quantiles and ranks from `ranks`, which gathers no group; statistics of one pixel's or one user's samples take them in a window of that group.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonframe.operators import ranks
+
 #: MAD to standard deviation, and the standard error of a median (fixed values).
 MAD_SCALE, MEDIAN_ERROR = 1.4826, 1.2533
 
@@ -15,8 +19,9 @@ def with_median(df: DataFrame, keys: list[str], value: str, name: str = "med") -
 
 def mad_sigma(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, med, sigma): 1.4826 times the median absolute deviation."""
-    centred = with_median(df, keys, value)
-    return centred.groupBy(*keys, "med").agg((MAD_SCALE * F.median(F.abs(F.col(value) - F.col("med")))).alias("sigma"))
+    centred = ranks.with_quantile(df.select(*keys, value), keys, value, 0.5, "med")
+    spread = ranks.quantiles(centred, [*keys, "med"], F.abs(F.col(value) - F.col("med")), {"sigma": 0.5})
+    return spread.select(*keys, "med", (MAD_SCALE * F.col("sigma")).alias("sigma"))
 
 
 def lower_half_sigma(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -72,11 +77,13 @@ def weighted_coadd(df: DataFrame, keys: list[str], value: Column, weight: Column
 
 def noise_model(df: DataFrame, keys: list[str], level: str, residual: str, bins: int = 24, least: int = 20) -> DataFrame:
     """(keys, a, b, bins): variance = a + b level, fitted over level bins weighted by their counts."""
-    part = Window.partitionBy(*keys).orderBy(level, residual)
-    binned = df.withColumn("__bin", F.ntile(bins).over(part))
+    binned = ranks.ranked(df.select(*keys, level, residual), keys, level, residual, name="__rank", total="__all")
     own = [*keys, "__bin"]
-    centred = with_median(binned, own, residual, "__mr")
-    cells = centred.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"), F.median(level).alias("__x"), F.pow(MAD_SCALE * F.median(F.abs(F.col(residual) - F.col("__mr"))), 2).alias("__y")).filter(F.col("__n") >= least)
+    binned = binned.withColumn("__bin", ranks.ntile(F.col("__rank"), F.col("__all"), bins)).drop("__rank", "__all")
+    centred = ranks.with_quantile(binned, own, residual, 0.5, "__mr")
+    levels = ranks.quantiles(binned, own, level, {"__x": 0.5}).withColumnRenamed("n", "__n")
+    spread = ranks.quantiles(centred, own, F.abs(F.col(residual) - F.col("__mr")), {"__d": 0.5}).select(*own, F.pow(MAD_SCALE * F.col("__d"), 2).alias("__y"))
+    cells = ranks.by_group(levels, spread, own).filter(F.col("__n") >= least)
     w = F.col("__n").cast("double")
     sums = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("bins"), F.sum(w).alias("sw"), F.sum(w * F.col("__x")).alias("sx"), F.sum(w * F.col("__y")).alias("sy"), F.sum(w * F.col("__x") * F.col("__x")).alias("sxx"), F.sum(w * F.col("__x") * F.col("__y")).alias("sxy"))
     slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
@@ -104,7 +111,7 @@ def plateau(df: DataFrame, keys: list[str], value: str, least: int = 20, times:
     spikes = spikes.withColumn("__up", F.when(F.lead("__bin").over(part) == F.col("__bin") + 1, F.lead("__c").over(part)).otherwise(0)).withColumn("__down", F.when(F.lag("__bin").over(part) == F.col("__bin") - 1, F.lag("__c").over(part)).otherwise(0))
     best = spikes.filter(peak & (F.col("__c") >= F.col("__up")) & (F.col("__c") >= F.col("__down"))).groupBy(*keys).agg(F.max("__bin").alias("__at"))
     near = inside.join(best, keys).filter(F.abs(F.col("__bin") - F.col("__at")) <= 1)
-    return df.select(*keys).distinct().join(near.groupBy(*keys).agg(F.median(value).alias("plateau")), keys, "left")
+    return df.select(*keys).distinct().join(ranks.quantiles(near, keys, value, {"plateau": 0.5}).drop("n"), keys, "left")
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, *order: str) -> DataFrame:
@@ -116,8 +123,11 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, *or
 
 
 def moving_average(df: DataFrame, keys: list[str], value: str, half: int, *order: str) -> DataFrame:
-    """Rows with `smooth`, the mean of up to `half` rows on both sides."""
-    return df.withColumn("smooth", F.avg(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)))
+    """Rows with `smooth`, the mean of up to `half` rows on both sides; the first of `order` is a number or a time. Windows run over cells of
+    consecutive ranks with the neighbours' edges, so no group is sorted as a whole."""
+    cells = ranks.neighbours(ranks.ranked(df.withColumn("__at", ranks.number(df, order[0])), keys, "__at", *order[1:], name="__rank", total="__all"), keys, "__rank", half)
+    window = Window.partitionBy(*keys, "__cell").orderBy("__rank").rowsBetween(-half, half)
+    return cells.withColumn("smooth", F.avg(value).over(window)).filter("__own").drop("__at", "__rank", "__all", "__cell", "__own")
 
 
 def moving_median(df: DataFrame, keys: list[str], value: str, position: str, half: int) -> DataFrame:

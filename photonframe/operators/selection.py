@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonframe.operators import ranks
+
 
 def keep_percent(sensitivity: Column) -> Column:
     """Share of frames kept, in percent: piecewise linear in the sensitivity."""
@@ -20,22 +22,22 @@ def keep_percent(sensitivity: Column) -> Column:
 def select_frames(frames: DataFrame, group: list[str], sensitivity: float = 1.0, order: str = "frame_id") -> DataFrame:
     """Frames with `reasons`, `accepted` and `weight`.
 
-    Needs registered, nbstars, fwhm, wfwhm, roundness and `order` (a total order). Two windows per group on one partitioning:
-    elongated frames leave before the ranking by wfwhm, and each of these steps needs ten frames.
+    Needs registered, nbstars, fwhm, wfwhm, roundness and `order` (a total order). Elongated frames leave before the ranking by wfwhm,
+    and each of these steps needs ten frames. Means and counts of a group are aggregations; the ranking is one of `ranks`.
     """
-    part = Window.partitionBy(*group)
     alive1 = F.col("registered") & (F.coalesce("nbstars", F.lit(0)) >= 5) & ~F.coalesce((F.col("fwhm") > 0) & (F.col("fwhm") < 1.6), F.lit(False))
     df = frames.withColumn("__first", F.when(~F.col("registered"), "not registered").when(F.coalesce("nbstars", F.lit(0)) < 5, "few stars").when(~alive1, "undersampled"))
     live = F.col("__first").isNull()
     round_ = F.when(live, F.col("roundness"))
-    df = df.withColumn("__n", F.count(round_).over(part)).withColumn("__mu", F.avg(round_).over(part)).withColumn("__sd", F.stddev_pop(round_).over(part))
+    df = ranks.by_group(df, df.groupBy(*group).agg(F.count(round_).alias("__n"), F.avg(round_).alias("__mu"), F.stddev_pop(round_).alias("__sd")), group)
     df = df.withColumn("__long", F.coalesce(live & (F.col("__n") >= 10) & (F.col("roundness") < F.col("__mu") - 2.5 * F.col("__sd") - 1e-12), F.lit(False)))
-    still = live & ~F.col("__long")
-    rank = F.row_number().over(part.orderBy(F.when(still, 0).otherwise(1), F.col("wfwhm").isNull(), F.coalesce("wfwhm", F.lit(0.0)), order))
-    df = df.withColumn("__alive", F.sum(still.cast("int")).over(part)).withColumn("__rank", rank)
+    # Frames that are out, or have no wfwhm, come last.
+    df = df.withColumn("__still", live & ~F.col("__long")).withColumn("__w", F.when(F.col("__still"), F.coalesce("wfwhm", F.lit(float("inf")))).otherwise(F.lit(float("nan"))))
+    df = ranks.by_group(df, df.groupBy(*group).agg(F.sum(F.col("__still").cast("int")).alias("__alive")), group)
+    df = ranks.ranked(df, group, "__w", order, name="__rank", total="__all")
     percent = keep_percent(F.lit(float(sensitivity)))
     kept = F.greatest(F.lit(3), F.ceil(F.col("__alive") * percent / 100))
-    df = df.withColumn("__worse", still & (F.col("__alive") >= 10) & (percent < 100) & (F.col("__rank") > kept))
+    df = df.withColumn("__worse", F.col("__still") & (F.col("__alive") >= 10) & (percent < 100) & (F.col("__rank") > kept))
     reasons = F.array_compact(F.array("__first", F.when(F.col("__long"), "elongated"), F.when(F.col("__worse"), "worse than the best share")))
     df = df.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0)
     return df.drop(*(c for c in df.columns if c.startswith("__")))
@@ -63,20 +65,21 @@ def per_folder_quota(frames: DataFrame, limit: int, folder: str, *order: str) ->
 
 
 def held_out(frames: DataFrame, group: list[str], *order: str) -> DataFrame:
-    """Every other frame of a group, in order, is held out (groups of at least six)."""
-    part = Window.partitionBy(*group)
-    df = frames.withColumn("__r", F.row_number().over(part.orderBy(*order))).withColumn("__n", F.count(F.lit(1)).over(part))
-    return df.withColumn("held_out", (F.col("__n") >= 6) & (F.pmod(F.col("__r") - 1, F.lit(2)) == 0)).drop("__r", "__n")
+    """Every other frame of a group, in order (a number or a time first), is held out (groups of at least six)."""
+    df = ranks.ranked(frames.withColumn("__at", ranks.number(frames, order[0])), group, "__at", *order[1:], name="__r", total="__n")
+    return df.withColumn("held_out", (F.col("__n") >= 6) & (F.pmod(F.col("__r") - 1, F.lit(2)) == 0)).drop("__at", "__r", "__n")
 
 
 def seeing_groups(frames: DataFrame, group: list[str], n: int, *order: str) -> DataFrame:
     """Equal-count groups by width, the first ones larger."""
-    return frames.withColumn("seeing_group", F.ntile(n).over(Window.partitionBy(*group).orderBy(*order)))
+    df = ranks.ranked(frames.withColumn("__at", ranks.number(frames, order[0])), group, "__at", *order[1:], name="__r", total="__n")
+    return df.withColumn("seeing_group", ranks.ntile(F.col("__r"), F.col("__n"), n)).drop("__at", "__r", "__n")
 
 
 def transmission_drops(frames: DataFrame, group: list[str], scale: str, exposure: str, least: float = 0.5) -> DataFrame:
     """Frames with `dropped`: transmission (scale per second) missing or below a share of the group's median."""
     rate = F.col(scale) / F.col(exposure)
-    medians = frames.groupBy(*group).agg(F.median(rate).alias("__median"))
-    df = frames.join(medians, group)
+    # A group without any transmission has no median.
+    medians = ranks.quantiles(frames, group, rate, {"__median": 0.5}).drop("n")
+    df = ranks.by_group(frames, medians, group, "left")
     return df.withColumn("dropped", F.coalesce(rate < least * F.col("__median"), F.lit(True))).drop("__median")

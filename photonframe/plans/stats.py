@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonframe.operators import pixels, robust
+from photonframe.operators import pixels, ranks, robust
 from photonframe.plans.tables import r6, samples, table
 
 
@@ -68,9 +68,10 @@ def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantile_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("value", F.array(*(F.lit(x) for x in (0.5, 0.99, 0.999))))
-    out = _events(spark, sf_dir).groupBy("event_type").agg(q.alias("q"), F.max("value").alias("top"), F.avg((F.col("value") >= 100).cast("int")).alias("clipped"))
-    return out.select("event_type", *(r6(F.col("q")[i]).alias(n) for i, n in enumerate(("p50", "p99", "p999"))), "top", r6("clipped").alias("clipped"))
+    e = _events(spark, sf_dir)
+    levels = ranks.quantiles(e, ["event_type"], "value", {"p50": 0.5, "p99": 0.99, "p999": 0.999}).drop("n")
+    tops = e.groupBy("event_type").agg(F.max("value").alias("top"), F.avg((F.col("value") >= 100).cast("int")).alias("clipped"))
+    return ranks.by_group(tops, levels, ["event_type"]).select("event_type", r6("p50").alias("p50"), r6("p99").alias("p99"), r6("p999").alias("p999"), "top", r6("clipped").alias("clipped"))
 
 
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +109,11 @@ def gain_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def background_equalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels brought to the lowest median."""
     s = samples(spark, sf_dir)
-    medians = s.groupBy("l_returnflag").agg(F.median("v").alias("m"))
+    medians = ranks.quantiles(s, ["l_returnflag"], "v", {"m": 0.5})
     lowest = medians.agg(F.min("m").alias("low"))
     shift = medians.crossJoin(F.broadcast(lowest)).select("l_returnflag", (F.col("low") - F.col("m")).alias("shift"))
-    return s.join(shift, "l_returnflag").groupBy("l_returnflag").agg(r6(F.median(F.col("v") + F.col("shift"))).alias("med"), r6(F.max("shift")).alias("shift"))
+    shifted = ranks.by_group(s, shift, ["l_returnflag"])
+    return ranks.quantiles(shifted, ["l_returnflag", "shift"], F.col("v") + F.col("shift"), {"med": 0.5}).select("l_returnflag", r6("med").alias("med"), r6("shift").alias("shift"))
 
 
 def channel_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
