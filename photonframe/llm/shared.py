@@ -100,6 +100,19 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+#: A node is a hub if it has more neighbours than this, or than one in HUB_SHARE of all edges; so there are fewer than HUB_SHARE hubs, or few edges.
+HUB, HUB_SHARE = 100, 100_000
+
+
+def _with_least(edges: DataFrame, over: int) -> DataFrame:
+    """Edges (u, v) with m, the least v of each u. The least ones of hubs are few and are broadcast, so that no task reads a hub's edges."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+    hubs = F.broadcast(low.filter(F.col("c") > over).select("u", "m"))
+    marked = edges.join(hubs, "u", "left")
+    others = marked.filter("m is null").drop("m").join(low.filter(F.col("c") <= over).select("u", "m"), "u")
+    return marked.filter("m is not null").unionByName(others)
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of `edges` (a, b: long) as (node, component), component being the smallest node.
 
@@ -108,17 +121,19 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = saved(edges, "edges"), None
+    count = edges.count()
     for _ in range(limit):
+        over = max(HUB, 2 * count // HUB_SHARE)
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges", (edges,))
+        large = _with_least(both, over).withColumn("m", F.least("u", "m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, over)
+        low = large.groupBy("u").agg(F.min("v").alias("v"))
+        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = saved(small.unionAll(low).distinct(), "edges", (edges,))
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == before:
             break
-        before = now
+        before, count = now, now.n
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
