@@ -35,7 +35,7 @@ def plain(text: str | None) -> str:
     return " ".join(WORDS.findall(text.lower())) if text else ""
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, size: int = 64 << 10, short: int = 1024, total: int = 64 << 20) -> dict[str, bytes]:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, size: int = 32 << 10, short: int = 512, total: int = 64 << 20) -> dict[str, bytes]:
     """A dictionary for each language, from about `per_lang` texts of each; languages with most labelled texts first."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
