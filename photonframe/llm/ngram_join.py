@@ -218,6 +218,31 @@ def _tiled(members: DataFrame, rows: DataFrame, num: int, den: int, exact: bool)
 def ngram_classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row: set size, and smallest id reachable by links of Jaccard
     similarity at least similarity[0] / similarity[1]."""
+    rows = _groups(docs, n, similarity, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay when each group of linked texts keeps one row: that of the smallest id, null ids last; then of the smallest text hash.
+    Of rows equal in id and text one stays. Rows without words are in no group and stay all."""
+    rows = saved(_groups(docs, n, similarity, id_col, text_col).filter("n > 0").select("id", "h", "least", "group"), "groups")
+    # In most groups the id alone decides. Where rows of the smallest id differ in text, or no row has an id, the hash does.
+    first = rows.filter("id <=> least")
+    tied = saved(first.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("best")).filter("n > 1").select("group", "best"), "tied")
+    repeats = first.join(F.broadcast(tied) if tied.count() <= BROADCAST_ROWS else tied, "group")
+    gone = saved(rows.filter("not (id <=> least)").select("id", "h").unionAll(repeats.filter("h <> best").select("id", "h")).distinct(), "gone")
+    twice = saved(repeats.filter("h = best").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "h"), "twice")
+    named = lambda keys: (F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys).withColumnsRenamed({"id": "__id", "h": "__gone"})
+    same = F.expr(f"`{id_col}` <=> __id and __h = __gone")
+    kept = docs.withColumn("__h", F.xxhash64(F.col(f"`{text_col}`").cast("string"))).join(named(gone), same, "left_anti")
+    if not twice.isEmpty():
+        some = named(twice)
+        kept = kept.join(some, same, "left_anti").unionByName(kept.join(some, same, "left_semi").dropDuplicates([id_col, "__h"]))
+    return kept.drop("__h")
+
+
+def _groups(docs: DataFrame, n: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(id, h, n, least, group) of every row: the hash of its text, set size, least id and number of its group."""
     num, den = similarity
     if not 0 < num <= den:
         raise ValueError("similarity is a fraction above 0, at most 1")
@@ -254,9 +279,10 @@ def ngram_classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80
     # The smallest id of every component of several classes; any other class keeps its own.
     low = links.join(classes.select(F.col("class").alias("node"), "low"), "node")
     low = low.select("node", "component").join(low.groupBy("component").agg(F.min("low").alias("least")), "component")
-    owner = classes.join(low.select(F.col("node").alias("class"), "least"), "class", "left").select("n", "s1", "s2", F.coalesce("least", "low").alias("least"))
-    out = feats.select("id", "n", "s1", "s2").join(owner, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    linked = F.col("component").isNotNull()
+    owner = classes.join(low.select(F.col("node").alias("class"), "component", "least"), "class", "left")
+    owner = owner.select("n", "s1", "s2", F.when(linked, F.col("least")).otherwise(F.col("low")).alias("least"), F.coalesce("component", "class").alias("group"))
+    return feats.select("id", "h", "n", "s1", "s2").join(owner, ["n", "s1", "s2"], "left").select("id", "h", "n", "least", "group")
 
 
 def _arrays(n: int):

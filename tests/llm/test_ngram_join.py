@@ -78,6 +78,22 @@ def test_repeated_and_null_ids_lose_no_link(spark):
     assert got == sorted(map(str, want.collect()))
 
 
+def test_one_of_each_group_stays(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    b = " ".join(f"v{i}" for i in range(60))
+    near = {x: f"{t} end" for x, t in (("a", a), ("b", b))}
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (6, near["b"], "x"), (None, near["a"], "x"), (7, None, "x"), (7, None, "x"), (7, "", "y"), (8, "one", "x"), (8, "one", "x"), (8, "two", "x"), (None, "lone", "x"), (None, "lone", "x"), (None, "lone Lone", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
+    got = nj.one_of_each(df, 4, (85, 100))
+    assert got.columns == df.columns
+    want = [(1, a), (5, b), (7, None), (7, None), (7, ""), (8, "one"), (8, "two"), (None, "lone"), (None, "lone Lone")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    same = [(4, a, "x"), (4, near["a"], "x"), (None, b, "x"), (None, near["b"], "x"), (None, near["b"], "z")]
+    left = nj.one_of_each(spark.createDataFrame(same, "doc_id long, text string, h string"), 4, (85, 100)).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in left) == [("4", "w"), ("None", "v")]
+    assert nj.one_of_each(df.limit(0)).count() == 0
+
+
 def test_query_on_its_table(spark, sf_dir):
     from photonframe.llm.queries import QUERIES
 
