@@ -28,17 +28,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (shingles of five words, Jaccard similarity 0.8): that of the smallest id.
-    Documents without words are in no group. Of repeated rows of one id one stays; rows of null id stay."""
-    classes = saved(ngram_join.ngram_classes(docs.select("doc_id", "text"), 5, (80, 100)), "groups")
-    # Rows that leave: these ids only, so that a lost join could never drop a document on its own.
-    gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    if gone.count() <= ngram_join.BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    docs = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    repeated = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return docs
-    return docs.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    Documents without words are in no group. Rows of one id with different texts are documents of their own; of equal rows one stays."""
+    return ngram_join.one_of_each(docs.select(*COLUMNS), 5, (80, 100))
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
