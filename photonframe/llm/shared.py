@@ -100,15 +100,17 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-#: A node is a hub if it has more neighbours than this, or than one in HUB_SHARE of all edges; so there are fewer than HUB_SHARE hubs, or few edges.
-HUB, HUB_SHARE = 100, 100_000
+#: Nodes up to which the least neighbours of all are broadcast. Beyond, only those of hubs are: nodes with more than one in HUB_SHARE of all edges.
+BROADCAST_NODES, HUB_SHARE = 200_000, 100_000
 
 
-def _with_least(edges: DataFrame, over: int) -> DataFrame:
-    """Edges (u, v) with m, the least v of each u. The least ones of hubs are few and are broadcast, so that no task reads a hub's edges."""
+def _with_least(edges: DataFrame, count: int) -> DataFrame:
+    """Edges (u, v), at most `count`, with m, the least v of each u. No task reads all edges of a hub."""
+    if count <= BROADCAST_NODES:
+        return edges.join(F.broadcast(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
+    over = 2 * count // HUB_SHARE
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
-    hubs = F.broadcast(low.filter(F.col("c") > over).select("u", "m"))
-    marked = edges.join(hubs, "u", "left")
+    marked = edges.join(F.broadcast(low.filter(F.col("c") > over).select("u", "m")), "u", "left")
     others = marked.filter("m is null").drop("m").join(low.filter(F.col("c") <= over).select("u", "m"), "u")
     return marked.filter("m is not null").unionByName(others)
 
@@ -123,10 +125,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     edges, before = saved(edges, "edges"), None
     count = edges.count()
     for _ in range(limit):
-        over = max(HUB, 2 * count // HUB_SHARE)
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, over).withColumn("m", F.least("u", "m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_least(large, over)
+        large = _with_least(both, 2 * count).withColumn("m", F.least("u", "m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, 2 * count)
         low = large.groupBy("u").agg(F.min("v").alias("v"))
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = saved(small.unionAll(low).distinct(), "edges", (edges,))

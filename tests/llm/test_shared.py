@@ -6,7 +6,7 @@ from photonframe.llm import shared
 
 
 def test_components_with_hubs(spark, monkeypatch):
-    """Stars, chains and random edges, with every node of more than two neighbours a hub, and with none."""
+    """Stars, chains and random edges, broadcast as a whole, with few hubs, and with every node one."""
     rng = random.Random(4)
     edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(200, 900 + i) for i in range(40)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
     rng.shuffle(edges)
@@ -21,8 +21,9 @@ def test_components_with_hubs(spark, monkeypatch):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
-    for hub in (2, 1000):
-        monkeypatch.setattr(shared, "HUB", hub)
+    for nodes, share in ((10**6, 100_000), (0, 100), (0, 10**6)):
+        monkeypatch.setattr(shared, "BROADCAST_NODES", nodes)
+        monkeypatch.setattr(shared, "HUB_SHARE", share)
         got = shared.components(spark.createDataFrame(edges, "a long, b long")).collect()
         assert len(got) == len(want) and {r.node: r.component for r in got} == want
 
