@@ -44,7 +44,7 @@ def test_plain_version_and_margins(spark):
         sizes = {}
         for lang, content in learned.items():
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            sizes[lang] = len(zstandard.ZstdCompressor(level=lang_id.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+            sizes[lang] = len(zstandard.ZstdCompressor(dict_data=held, compression_params=lang_id.settings()).compress(data))
         order = sorted(sizes.values())
         assert sizes[got[i].lang_pred] <= 1.02 * order[0] + 2
     assert got[91].rejected and not got[4].rejected and got[92].score < got[4].score
