@@ -50,6 +50,19 @@ def aperture_flux(cut: DataFrame, radius: float, inner: float, outer: float) ->
     return out.select("star_id", (F.col("__s") - F.col("__n") * F.coalesce("sky", F.lit(0.0))).alias("flux"), "sky")
 
 
+def centroid_offsets(cut: DataFrame, sigma: float = 3.0, saturation: float | None = None) -> DataFrame:
+    """(star_id, n, dy, dx): how far stars lie in an image from where they lie in the reference. The stamps' v is a struct (a: reference, b: image);
+    centroids are weighted by a Gaussian, above the stamp's median. Stars without light in either, or saturated in either, are left out."""
+    part = Window.partitionBy("star_id")
+    planes = cut.select("star_id", "dy", "dx", *((F.col(f"v.{c}") - F.median(f"v.{c}").over(part)).alias(c) for c in "ab"), F.greatest("v.a", "v.b").alias("__top"))
+    w = F.exp(-(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / (2 * sigma**2))
+    sums = [F.sum(F.col(c) * w * (F.lit(1.0) if d is None else F.col(d))).alias(f"__{c}{d or ''}") for c in "ab" for d in (None, "dy", "dx")]
+    out = planes.groupBy("star_id").agg(F.count(F.lit(1)).alias("n"), F.max("__top").alias("__top"), *sums).filter("__a > 0 and __b > 0")
+    if saturation is not None:
+        out = out.filter(F.col("__top") < 0.8 * saturation)
+    return out.select("star_id", "n", *((F.col(f"__b{d}") / F.col("__b") - F.col(f"__a{d}") / F.col("__a")).alias(d) for d in ("dy", "dx")))
+
+
 def ring_profile(cut: DataFrame, keys: list[str], width: float = 1.0) -> DataFrame:
     """(keys, ring, level, error, n): medians of rings and their standard errors."""
     ring = F.floor(F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / width).cast("int")

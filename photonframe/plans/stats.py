@@ -161,6 +161,13 @@ ORACLES = {
       SELECT l_returnflag, round(greatest(1e-12, (sy - sl * sx) / sw), 4) AS a, round(sl, 4) AS b, bins FROM g""",
     "photon_transfer": f"""WITH {_S}, p AS (SELECT ch, v, lag(v) OVER (PARTITION BY px ORDER BY frame, l_partkey, v) AS prev FROM s), q AS (SELECT ch, (v + prev) / 2000 AS level, pow(v - prev, 2) / 2e6 AS var FROM p WHERE prev IS NOT NULL)
       SELECT ch, count(*) AS pairs, round(regr_slope(var, level), 6) AS gain, round(regr_intercept(var, level), 6) AS "read" FROM q GROUP BY ch""",
+    "saturation_plateau": """WITH s AS (SELECT l_returnflag AS k, least(l_extendedprice, 60000.0) AS v FROM lineitem), top AS (SELECT k, max(v) AS t FROM s WHERE v > 0 GROUP BY k),
+      i AS (SELECT k, v, CAST(floor((v - 0.4 * t) / (t / 200)) AS INT) AS bin FROM s JOIN top USING (k) WHERE v > 0.4 * t AND v <= 1.001 * t),
+      c AS (SELECT k, bin, count(*) AS c FROM i GROUP BY k, bin),
+      g AS (SELECT k, greatest(1.0, median(coalesce(c, 0))) AS m FROM (SELECT k, unnest(generate_series(0, 59)) AS bin FROM top) LEFT JOIN c USING (k, bin) GROUP BY k),
+      p AS (SELECT c.k, max(c.bin) AS spike FROM c JOIN g USING (k) LEFT JOIN c AS u ON u.k = c.k AND u.bin = c.bin + 1 LEFT JOIN c AS d ON d.k = c.k AND d.bin = c.bin - 1
+        WHERE c.c >= 20 AND c.c >= 6 * m AND c.c >= coalesce(u.c, 0) AND c.c >= coalesce(d.c, 0) GROUP BY c.k)
+      SELECT s.k AS l_returnflag, (SELECT median(v) FROM i JOIN p USING (k) WHERE i.k = s.k AND abs(bin - spike) <= 1) AS plateau FROM (SELECT DISTINCT k FROM s) AS s""",
     "weighted_median": f"""WITH {_S}, r AS (SELECT ch, v, sum(w) OVER (PARTITION BY ch ORDER BY v, px, frame ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY ch) AS tot FROM s)
       SELECT ch, min(v) AS wmedian FROM r WHERE run >= tot / 2 GROUP BY ch""",
     "quantile_levels": """SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(quantile_cont(value, 0.999), 6) AS p999, max(value) AS top,
