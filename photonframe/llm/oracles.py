@@ -65,3 +65,62 @@ def host_verdicts() -> str:
       SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_verdict,
         NOT (base_failed OR host_verdict = 'banned' OR x_symbols > 0.1e0 * f_symbols OR x_long_words > 20 * f_long_words OR x_short_words > 0.55e0 * f_short_words OR x_lines > 0.5e0 * f_lines) AS kept
       FROM f JOIN y ON f.host IS NOT DISTINCT FROM y.host"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce([{x}, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)), lambda c, y: {step.format(x='xor(c, y)')}), 4294967295)"
+
+
+def repaired_conversations() -> str:
+    """A dynamic programme over rows: for every row and grammar state the least (cost, audit), insertions after each row."""
+    space = r"[^\x20\x09-\x0D]"
+    kept = "(0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)"
+    inserts = "(0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')"
+    return rf"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {crc32("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations),
+      f AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM d, range(CASE k WHEN 3 THEN 2 WHEN 0 THEN 0 ELSE 1 END) c(i)),
+      o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, role[1] AS ini FROM f),
+      x AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{space}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+          WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+        NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, concat(lag(ini) OVER (PARTITION BY conv_id ORDER BY i), ini) NOT IN ('su', 'ua', 'au') AND i > 1 AS bad FROM o),
+      ins AS (SELECT * FROM (VALUES {inserts}) v(s, s2, a)), keep AS (SELECT * FROM (VALUES {kept}) v(s, ini, s2)),
+      ed AS (SELECT 'D' AS e, s, NULL AS ini, s AS s2, 2 AS c FROM range(4) t(s) UNION ALL SELECT 'K', s, ini, s2, 0 FROM keep UNION ALL SELECT 'R', s, NULL, CASE s WHEN 2 THEN 3 ELSE 2 END, 1 FROM range(4) t(s)),
+      ids AS (SELECT DISTINCT conv_id FROM conversations),
+      r AS (SELECT conv_id, 0::BIGINT AS i, s2 AS s, {{'c': 5 * len(a), 'a': a}} AS b FROM ids, ins WHERE s = 0
+        UNION ALL SELECT r.conv_id, x.i, ins.s2, min({{'c': r.b.c + ed.c + 5 * len(ins.a) + CASE WHEN ed.e <> 'D' AND cut THEN 5 ELSE 0 END, 'a': concat(r.b.a, ed.e, ins.a)}})
+          FROM r JOIN x ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND x.i = r.i + 1 JOIN ed ON ed.s = r.s AND (ed.ini IS NULL OR ed.ini = x.ini) AND (ed.e = 'D' OR x.fault NOT IN ('blank', 'duplicate')) JOIN ins ON ins.s = ed.s2
+          GROUP BY r.conv_id, x.i, ins.s2),
+      n AS (SELECT ids.conv_id, count(x.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE bad) AS illegal
+        FROM ids LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM ids.conv_id GROUP BY ids.conv_id),
+      w AS (SELECT n.conv_id, min(r.b) AS b FROM n JOIN r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.n AND r.s IN (0, 3) GROUP BY n.conv_id),
+      l AS (SELECT conv_id, j, b.a[j] AS e, len(replace(b.a[1:j], 'I', '')) AS i, len(replace(b.a[1:j], 'D', '')) AS p FROM (SELECT conv_id, b, unnest(range(1, len(b.a) + 1)) AS j FROM w)),
+      m AS (SELECT l.*, x.role, CASE WHEN e = 'I' THEN '' ELSE x.text END AS text, max(CASE WHEN p = 1 AND e = 'K' AND x.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS sys
+        FROM l LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM l.conv_id AND x.i = l.i WHERE e <> 'D'),
+      t AS (SELECT conv_id, string_agg(concat(CASE WHEN e = 'K' THEN role WHEN (p - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END, ':', text), chr(10) ORDER BY j) AS t FROM m GROUP BY conv_id)
+      SELECT n.conv_id, gaps, blank, duplicate, truncated, illegal, CAST(w.b.c AS BIGINT) AS cost, w.b.a AS audit, sha256(coalesce(t.t, '')) AS repaired_sha256
+      FROM n JOIN w ON w.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM n.conv_id"""
+
+
+def merkle_manifest() -> str:
+    """Levels by recursion, siblings by joins, and the fold over them."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)) END"
+    leaf = lambda n: f"sha256(concat({', '.join(map(field, ('doc_id', 'source', 'lang', n, 'text')))}))"
+    return f"""WITH RECURSIVE a AS (SELECT row_number() OVER () AS rid, doc_id, lang, {leaf("n_chars")} AS leaf,
+        CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {leaf("(n_chars + 1)")} END AS tampered FROM documents),
+      d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i FROM a),
+      t AS (SELECT lang, 0 AS lvl, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM d
+        UNION ALL SELECT lang, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM t WHERE n > 1 GROUP BY lang, lvl, i // 2),
+      g AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM t WHERE n = 1),
+      u AS (SELECT 0 AS lvl, i, subroot AS h, count(*) OVER () AS n FROM g UNION ALL SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM u WHERE n > 1 GROUP BY lvl, i // 2),
+      p AS (SELECT rid, l.lvl AS s, (d.i >> l.lvl) & 1 AS odd, t.h FROM d JOIN (SELECT DISTINCT lang, lvl FROM t WHERE n > 1) l ON l.lang IS NOT DISTINCT FROM d.lang
+          LEFT JOIN t ON t.lang IS NOT DISTINCT FROM d.lang AND t.lvl = l.lvl AND t.i = xor(d.i >> l.lvl, 1)
+        UNION ALL SELECT rid, 1000 + l.lvl, (g.i >> l.lvl) & 1, u.h FROM d JOIN g ON g.lang IS NOT DISTINCT FROM d.lang CROSS JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) l LEFT JOIN u ON u.lvl = l.lvl AND u.i = xor(g.i >> l.lvl, 1)),
+      q AS (SELECT rid, string_agg(h, '' ORDER BY s) AS proof, list(CASE WHEN h IS NULL THEN 'N' WHEN odd = 1 THEN concat('L', h) ELSE concat('R', h) END ORDER BY s) AS steps FROM p GROUP BY rid),
+      e AS (SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+        list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(steps, [])), lambda x, y: sha256(CASE y[1] WHEN 'L' THEN concat(y[2:], x) WHEN 'R' THEN concat(x, y[2:]) ELSE x END)) AS folded_root
+        FROM d JOIN g ON g.lang IS NOT DISTINCT FROM d.lang LEFT JOIN q ON q.rid = d.rid)
+      SELECT *, folded_root = root AS verified FROM e"""

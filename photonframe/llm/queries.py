@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, histogram_shards, host_rules, html_main, lang_id, ngram_join, nn_descent, oracles, secret_scan, source_mix, toxicity
+from . import bpe, conversation_repair, histogram_shards, host_rules, html_main, lang_id, merkle, ngram_join, nn_descent, oracles, secret_scan, source_mix, token_counts, toxicity
 from .shared import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,6 +92,27 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_texts(pages, ["page_id", "url"])
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults and its cheapest repair."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repaired(conversation_repair.damaged(rows))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(documents(spark, sf_dir, "doc_id", "text"), TOKENIZER, ["doc_id"])
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a proof gives for a tampered one."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.document_leaf(F.col("n_chars") + 1))
+    out = merkle.manifest(docs, "doc_id", "lang", merkle.document_leaf(F.col("n_chars")), {"tampered": tampered})
+    root = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -103,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_rules": op8_host_rules,
     "op9_histogram_shards": op9_histogram_shards,
     "op10_html_main_text": op10_html_main_text,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_counts": op12_token_counts,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Learned, hashed and searched results have no SQL; tests hold those queries against plain versions.
@@ -110,4 +134,6 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": oracles.ngram_components(4, 85, 100),
     "op5_secret_scan": oracles.secret_spans(),
     "op8_host_rules": oracles.host_verdicts(),
+    "op11_conversation_repair": oracles.repaired_conversations(),
+    "op13_merkle_manifest": oracles.merkle_manifest(),
 }
