@@ -218,3 +218,112 @@ def png(pixels: np.ndarray) -> bytes:
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     head = struct.pack(">IIBBBBB", a.shape[1], a.shape[0], depth, 2 if a.shape[2] == 3 else 0, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def separable(a: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Correlation with a kernel over rows and one over columns, both of 2 r + 1 values; the result is r smaller on all sides."""
+    r = len(rows) // 2
+    b = sum(rows[i] * a[i : a.shape[0] - 2 * r + i] for i in range(2 * r + 1))
+    return sum(columns[i] * b[:, i : a.shape[1] - 2 * r + i] for i in range(2 * r + 1))
+
+
+def local_linear(a: np.ndarray, sigma: float) -> np.ndarray:
+    """At every pixel the value there of the plane fitted to its neighbourhood with Gaussian weights; pixels that are not numbers have no weight,
+    and where nothing weighs the result is none. Reach `gaussian_reach`."""
+    r = gaussian_reach(sigma)
+    d = np.arange(-r, r + 1) / max(sigma, 1.0)
+    g = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    g /= g.sum()
+    known = np.isfinite(a)
+    one, v = known.astype(float), np.where(known, a, 0.0)
+    k = (g, g * d, g * d * d)
+    s, sx, sy = separable(one, k[0], k[0]), separable(one, k[0], k[1]), separable(one, k[1], k[0])
+    sxx, sxy, syy = separable(one, k[0], k[2]), separable(one, k[1], k[1]), separable(one, k[2], k[0])
+    t, tx, ty = separable(v, k[0], k[0]), separable(v, k[0], k[1]), separable(v, k[1], k[0])
+    # The constant term of the 3 x 3 system, with a small ridge where samples lie on a line.
+    ridge = 1e-9 * np.maximum(s, 1e-12)
+    s0, sxx, syy = s + ridge, sxx + ridge, syy + ridge
+    c0, c1, c2 = sxx * syy - sxy * sxy, sxy * sy - sx * syy, sx * sxy - sxx * sy
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(s > 1e-6, (t * c0 + tx * c1 + ty * c2) / (s0 * c0 + sx * c1 + sy * c2), np.nan)
+
+
+def starlet(a: np.ndarray, scales: int) -> list[np.ndarray]:
+    """Planes of the isotropic undecimated wavelet with the cubic B-spline, finest first, and the smooth rest; `starlet_reach` smaller than `a`
+    on all sides. They sum to the image: exactly, if its values are whole numbers below 2^20 and there are up to four scales."""
+    spline = np.array([1, 4, 6, 4, 1]) / 16
+    out, now = [], np.asarray(a, float)
+    for j in range(scales):
+        holes = np.zeros(4 * 2**j + 1)
+        holes[:: 2**j] = spline
+        smooth = separable(now, holes, holes)
+        r = 2 * 2**j
+        out.append(now[r:-r, r:-r] - smooth)
+        now = smooth
+    cut = lambda w: w[(w.shape[0] - now.shape[0]) // 2 : (w.shape[0] + now.shape[0]) // 2, (w.shape[1] - now.shape[1]) // 2 : (w.shape[1] + now.shape[1]) // 2]
+    return [cut(w) for w in out] + [now]
+
+
+def starlet_reach(scales: int) -> int:
+    return 2 * (2**scales - 1)
+
+
+def nearest_in_row(height: np.ndarray) -> np.ndarray:
+    """For each place of a row the place q with the least (x - q)^2 + height[q]^2, the first of equals; -1 if no height is a number. The lower
+    envelope of the parabolas over the row, in linear time."""
+    places = np.flatnonzero(np.isfinite(height))
+    if not len(places):
+        return np.full(len(height), -1)
+    f = (height[places] ** 2 + places.astype(float) ** 2).tolist()
+    at = places.tolist()
+    hull, edges = [0], [-np.inf]
+    for k in range(1, len(at)):
+        while True:
+            j = hull[-1]
+            meet = (f[k] - f[j]) / (2.0 * (at[k] - at[j]))
+            if meet > edges[-1]:
+                break
+            hull.pop()
+            edges.pop()
+        hull.append(k)
+        edges.append(meet)
+    # At a meeting point both are equally near, and the first one stays.
+    return places[np.array(hull)[np.searchsorted(np.array(edges), np.arange(len(height)), "left") - 1]]
+
+
+def regions(mask: np.ndarray) -> np.ndarray:
+    """Labels of the connected regions (pixels that share a side) of a mask: the place of a region's first pixel, -1 outside. Union of the runs
+    of each row with those of the row before."""
+    h, w = mask.shape
+    out = np.full((h, w), -1)
+    parent: list[int] = []
+    first: list[int] = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    before: list[tuple[int, int, int]] = []
+    spans = []
+    for y in range(h):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask[y].astype(np.int8), [0]))))
+        now, k = [], 0
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            i = len(parent)
+            parent.append(i)
+            first.append(y * w + a)
+            while k < len(before) and before[k][1] <= a:
+                k += 1
+            j = k
+            while j < len(before) and before[j][0] < b:
+                p, q = root(before[j][2]), root(i)
+                parent[max(p, q)] = min(p, q)
+                j += 1
+            now.append((a, b, i))
+            spans.append((y, a, b, i))
+        before = now
+    for y, a, b, i in spans:
+        out[y, a:b] = first[root(i)]
+    return out

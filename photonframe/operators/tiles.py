@@ -17,10 +17,12 @@ from photonframe.operators import kernels
 COLUMNS = ("ty", "tx", "y0", "x0", "h", "w", "data")
 
 
-def from_pixels(pixels: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Tiles of a long table (keys, y, x, v); missing pixels are not-a-number."""
+def from_pixels(pixels: DataFrame, keys: list[str], size: int, extent_of: list[str] | None = None) -> DataFrame:
+    """Tiles of a long table (keys, y, x, v); missing pixels are not-a-number. An image reaches as far as its pixels do, or, with `extent_of`, as
+    far as those of all images that agree in these keys."""
+    shared = keys if extent_of is None else extent_of
     df = pixels.withColumn("ty", F.floor(F.col("y") / size).cast("int")).withColumn("tx", F.floor(F.col("x") / size).cast("int"))
-    extent = df.groupBy(*keys).agg(F.max("y").alias("__my"), F.max("x").alias("__mx"))
+    extent = df.groupBy(*shared).agg(F.max("y").alias("__my"), F.max("x").alias("__mx"))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ty, tx = key[-2:]
@@ -31,7 +33,7 @@ def from_pixels(pixels: DataFrame, keys: list[str], size: int) -> DataFrame:
         return pd.DataFrame([[*key, y0, x0, h, w, a.tobytes()]], columns=[*keys, *COLUMNS])
 
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "ty int, tx int, y0 int, x0 int, h int, w int, data binary"])
-    return df.join(extent, keys).select(*keys, "ty", "tx", "y", "x", "v", "__my", "__mx").groupBy(*keys, "ty", "tx").applyInPandas(build, schema)
+    return df.join(extent, shared).select(*keys, "ty", "tx", "y", "x", "v", "__my", "__mx").groupBy(*keys, "ty", "tx").applyInPandas(build, schema)
 
 
 def to_pixels(tiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,9 +68,10 @@ def _pieces(keys: list[str], halo: int):
     return run
 
 
-def map_tiles(tiles: DataFrame, keys: list[str], halo: int, fn: Callable[[np.ndarray, dict], object], schema: str, rows: bool = False) -> DataFrame:
+def map_tiles(tiles: DataFrame, keys: list[str], halo: int, fn: Callable[[np.ndarray, dict], object], schema: str, rows: bool = False, border: str = "reflect") -> DataFrame:
     """fn(padded tile, its row) over all tiles: by default an array of the tile's own size, which becomes its data; with `rows`
-    a list of tuples, which become rows (keys, schema)."""
+    a list of tuples, which become rows (keys, schema). Beyond the image pixels reflect, or, with border "missing", are not-a-number.
+    Only the eight neighbours send borders, so a halo is at most a tile wide."""
     types = ", ".join(f"{k} {tiles.schema[k].dataType.simpleString()}" for k in keys)
     strips = tiles.select(*keys, *COLUMNS).mapInPandas(_pieces(keys, halo), f"{types}, ty int, tx int, y0 int, x0 int, h int, w int, data binary, own boolean")
     names = [x.split()[0] for x in schema.split(", ")] if schema else []
@@ -78,6 +81,8 @@ def map_tiles(tiles: DataFrame, keys: list[str], halo: int, fn: Callable[[np.nda
         if not len(own):
             return pd.DataFrame([], columns=[*keys, *(names if rows else COLUMNS)])
         r = own.iloc[0]
+        if len(group) > 1 and halo > max(group["h"].max(), group["w"].max()):
+            raise ValueError(f"a halo of {halo} pixels needs larger tiles")
         a = np.full((r.h + 2 * halo, r.w + 2 * halo), np.nan)
         known = np.zeros(a.shape, bool)
         for s in group.itertuples(index=False):
@@ -93,7 +98,7 @@ def map_tiles(tiles: DataFrame, keys: list[str], halo: int, fn: Callable[[np.nda
         inner = a[top : have_y[-1] + 1, left : have_x[-1] + 1]
         pad = ((top, a.shape[0] - 1 - have_y[-1]), (left, a.shape[1] - 1 - have_x[-1]))
         # A side without a neighbour is an image border.
-        padded = np.pad(inner, pad, mode="reflect" if min(inner.shape) > max(max(p) for p in pad) else "symmetric") if any(map(any, pad)) else inner
+        padded = a if border == "missing" else np.pad(inner, pad, mode="reflect" if min(inner.shape) > max(max(p) for p in pad) else "symmetric") if any(map(any, pad)) else inner
         info = {k: v for k, v in zip([*keys, "ty", "tx"], key)} | {c: int(r[c]) for c in ("y0", "x0", "h", "w")}
         got = fn(padded, info)
         if rows:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _name in ("frames", "stats", "colour", "catalogue", "measures", "finishing", "skyindex"):
+for _name in ("frames", "stats", "colour", "catalogue", "measures", "finishing", "skyindex", "images"):
     _module = import_module(f"photonframe.plans.{_name}")
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
