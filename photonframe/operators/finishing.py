@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonframe.operators import ranks, robust
+from photonframe.sources import shared
 
 # Sigmas below the sky that become black, the share of clipped or white pixels from which highlights are protected,
 # the colour that stars should reach and the boosts that may take them there.
@@ -41,14 +42,15 @@ def object_snr(df: DataFrame, keys: list[str], smooth: str, residual: str, detai
     The sky is the median of the lowest 40 %; the object is what stands 3 sigmas of `residual` above it and is no star.
     0 where fewer than `least` pixels do, or where there is no noise. Quantiles are exact and gather no group.
     """
-    noise = robust.mad_sigma(df, keys, detail).select(*keys, F.col("sigma").alias("__noise"))
-    spread = ranks.quantiles(df, keys, F.abs(F.col(residual)), {"__spread": 0.5}).drop("n")
-    dark = ranks.with_quantile(df, keys, smooth, 0.4, "__p40").filter(F.col(smooth) <= F.col("__p40"))
-    sky = ranks.quantiles(dark, keys, smooth, {"__sky": 0.5}).drop("n")
-    # One row a group, read by every pass of the last quantile: kept, so that the passes before it run once.
-    levels = ranks.by_group(ranks.by_group(sky, spread, keys), noise, keys).persist()
+    plain = ranks.small(df, keys)
+    noise = robust.mad_sigma(df, keys, detail, plain).select(*keys, F.col("sigma").alias("__noise"))
+    spread = ranks.quantiles(df, keys, F.abs(F.col(residual)), {"__spread": 0.5}, plain=plain).drop("n")
+    dark = ranks.with_quantile(df, keys, smooth, 0.4, "__p40", plain).filter(F.col(smooth) <= F.col("__p40"))
+    sky = ranks.quantiles(dark, keys, smooth, {"__sky": 0.5}, plain=plain).drop("n")
+    # One row a group, read by every pass of the last quantile: a table, so that the passes before it run once.
+    levels = shared.kept(ranks.by_group(ranks.by_group(sky, spread, keys), noise, keys), "levels")
     over = ranks.by_group(df, levels, keys).filter((F.col(smooth) > F.col("__sky") + 3 * 1.4826 * F.col("__spread")) & ~F.col(star))
-    top = ranks.quantiles(over, keys, (F.col(smooth) - F.col("__sky")) / F.nullif(F.col("__noise"), F.lit(0.0)), {"__snr": 0.9})
+    top = ranks.quantiles(over, keys, (F.col(smooth) - F.col("__sky")) / F.nullif(F.col("__noise"), F.lit(0.0)), {"__snr": 0.9}, plain=plain)
     out = ranks.by_group(levels, top, keys, "left").withColumn("pixels", F.coalesce("n", F.lit(0)))
     return out.select(*keys, F.when((F.col("pixels") >= least) & (F.col("__noise") > 0), F.col("__snr")).otherwise(0.0).alias("snr"), "pixels")
 

@@ -3,6 +3,9 @@
 A first aggregation gives every group's quantile sketch, which merges map-side and is small. Quantiles: only rows between two values of the sketch that
 must enclose the quantile are told apart, all others are counted, so that a second aggregation has it exactly. Ranks: the sketch cuts a group
 into buckets of near-equal counts; rows are numbered inside their bucket and moved by the counts of the buckets before it.
+
+All that costs passes. Where a count shows that no group has more than GROUP_ROWS rows, one plain aggregation or one window per group does the same;
+`plain` says so where the caller has counted already, as chains of these operators on the same groups do.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Relative accuracy of the sketch is 1 / ACCURACY; groups of fewer rows are told apart as a whole.
 ACCURACY = 10_000
+#: Rows of a group that one task may hold.
+GROUP_ROWS = 500_000
 #: Buckets of a large group, as a power of two.
 BUCKET_BITS = 8
 
@@ -32,10 +37,26 @@ def by_group(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inne
     return df.join(named, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))), how).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str | Column, wanted: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+def small(df: DataFrame, keys: list[str]) -> bool:
+    """Whether no group has more than GROUP_ROWS rows: one aggregation over the keys alone."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= GROUP_ROWS
+
+
+def with_aggregates(df: DataFrame, keys: list[str], wanted: dict[str, Column], plain: bool) -> DataFrame:
+    """Rows with aggregates of their group: over one window of each group if these are small, else from an aggregation that is joined."""
+    if plain and keys:
+        return df.withColumns({name: column.over(Window.partitionBy(*keys)) for name, column in wanted.items()})
+    return by_group(df, df.groupBy(*keys).agg(*(column.alias(name) for name, column in wanted.items())), keys)
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str | Column, wanted: dict[str, float], accuracy: int = ACCURACY, plain: bool | None = None) -> DataFrame:
     """(keys, n, the names of `wanted`...): exact quantiles, interpolated linearly, of the values that are not null."""
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     rows = df.select(*keys, v.alias("__v")).filter("__v is not null")
+    if small(df, keys) if plain is None else plain:
+        found = F.percentile("__v", F.array(*(F.lit(float(q)) for q in wanted.values()))).alias("__q")
+        out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), found).filter("n > 0")
+        return out.select(*keys, "n", *(F.col("__q")[i].alias(name) for i, name in enumerate(wanted)))
     slack = 4.0 / accuracy
     edges = F.array(*(F.lit(min(1.0, max(0.0, q + d))) for q in wanted.values() for d in (-slack, slack)))
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__low"), F.max("__v").alias("__top"), F.percentile_approx("__v", edges, accuracy).alias("__e"))
@@ -63,13 +84,16 @@ def quantiles(df: DataFrame, keys: list[str], value: str | Column, wanted: dict[
     return at.groupBy(*keys, "n", *bounds).agg(*found).select(*keys, "n", *out)
 
 
-def with_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+def with_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, plain: bool | None = None) -> DataFrame:
     """Rows with the quantile of their group."""
-    return by_group(df, quantiles(df, keys, value, {name: q}).select(*keys, name), keys)
+    return by_group(df, quantiles(df, keys, value, {name: q}, plain=plain).select(*keys, name), keys)
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, *ties: str, name: str = "rank", total: str = "n", bits: int = BUCKET_BITS) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str, *ties: str, name: str = "rank", total: str = "n", bits: int = BUCKET_BITS, plain: bool | None = None) -> DataFrame:
     """Rows with their rank (from 1, nulls first) in their group by `value` (a number), then `ties`, and the size of the group."""
+    if keys and (small(df, keys) if plain is None else plain):
+        part = Window.partitionBy(*keys)
+        return df.withColumn(total, F.count(F.lit(1)).over(part)).withColumn(name, F.row_number().over(part.orderBy(value, *ties)))
     v = F.col(value).cast("double")
     edges = F.percentile_approx(v, F.array(*(F.lit((i + 1) / (1 << bits)) for i in range((1 << bits) - 1))), ACCURACY)
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total), edges.alias("__e"))

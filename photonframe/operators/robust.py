@@ -17,10 +17,11 @@ def with_median(df: DataFrame, keys: list[str], value: str, name: str = "med") -
     return df.join(df.groupBy(*keys).agg(F.median(value).alias(name)), keys)
 
 
-def mad_sigma(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def mad_sigma(df: DataFrame, keys: list[str], value: str, plain: bool | None = None) -> DataFrame:
     """(keys, med, sigma): 1.4826 times the median absolute deviation."""
-    centred = ranks.with_quantile(df.select(*keys, value), keys, value, 0.5, "med")
-    spread = ranks.quantiles(centred, [*keys, "med"], F.abs(F.col(value) - F.col("med")), {"sigma": 0.5})
+    plain = ranks.small(df, keys) if plain is None else plain
+    centred = ranks.with_quantile(df.select(*keys, value), keys, value, 0.5, "med", plain)
+    spread = ranks.quantiles(centred, [*keys, "med"], F.abs(F.col(value) - F.col("med")), {"sigma": 0.5}, plain=plain)
     return spread.select(*keys, "med", (MAD_SCALE * F.col("sigma")).alias("sigma"))
 
 
@@ -77,13 +78,20 @@ def weighted_coadd(df: DataFrame, keys: list[str], value: Column, weight: Column
 
 def noise_model(df: DataFrame, keys: list[str], level: str, residual: str, bins: int = 24, least: int = 20) -> DataFrame:
     """(keys, a, b, bins): variance = a + b level, fitted over level bins weighted by their counts."""
-    binned = ranks.ranked(df.select(*keys, level, residual), keys, level, residual, name="__rank", total="__all")
+    plain = ranks.small(df, keys)
+    binned = ranks.ranked(df.select(*keys, level, residual), keys, level, residual, name="__rank", total="__all", plain=plain)
     own = [*keys, "__bin"]
     binned = binned.withColumn("__bin", ranks.ntile(F.col("__rank"), F.col("__all"), bins)).drop("__rank", "__all")
-    centred = ranks.with_quantile(binned, own, residual, 0.5, "__mr")
-    levels = ranks.quantiles(binned, own, level, {"__x": 0.5}).withColumnRenamed("n", "__n")
-    spread = ranks.quantiles(centred, own, F.abs(F.col(residual) - F.col("__mr")), {"__d": 0.5}).select(*own, F.pow(MAD_SCALE * F.col("__d"), 2).alias("__y"))
-    cells = ranks.by_group(levels, spread, own).filter(F.col("__n") >= least)
+    if plain:
+        # A bin lies in its group's window, so its medians are windows on the same exchange.
+        cells = binned.withColumn("__mr", F.median(residual).over(Window.partitionBy(*own)))
+        cells = cells.groupBy(*own).agg(F.count(level).alias("__n"), F.median(level).alias("__x"), F.pow(MAD_SCALE * F.median(F.abs(F.col(residual) - F.col("__mr"))), 2).alias("__y"))
+        cells = cells.filter((F.col("__n") >= least) & F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    else:
+        centred = ranks.with_quantile(binned, own, residual, 0.5, "__mr", plain)
+        levels = ranks.quantiles(binned, own, level, {"__x": 0.5}, plain=plain).withColumnRenamed("n", "__n")
+        spread = ranks.quantiles(centred, own, F.abs(F.col(residual) - F.col("__mr")), {"__d": 0.5}, plain=plain).select(*own, F.pow(MAD_SCALE * F.col("__d"), 2).alias("__y"))
+        cells = ranks.by_group(levels, spread, own).filter(F.col("__n") >= least)
     w = F.col("__n").cast("double")
     sums = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("bins"), F.sum(w).alias("sw"), F.sum(w * F.col("__x")).alias("sx"), F.sum(w * F.col("__y")).alias("sy"), F.sum(w * F.col("__x") * F.col("__x")).alias("sxx"), F.sum(w * F.col("__x") * F.col("__y")).alias("sxy"))
     slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
@@ -111,7 +119,7 @@ def plateau(df: DataFrame, keys: list[str], value: str, least: int = 20, times:
     spikes = spikes.withColumn("__up", F.when(F.lead("__bin").over(part) == F.col("__bin") + 1, F.lead("__c").over(part)).otherwise(0)).withColumn("__down", F.when(F.lag("__bin").over(part) == F.col("__bin") - 1, F.lag("__c").over(part)).otherwise(0))
     best = spikes.filter(peak & (F.col("__c") >= F.col("__up")) & (F.col("__c") >= F.col("__down"))).groupBy(*keys).agg(F.max("__bin").alias("__at"))
     near = inside.join(best, keys).filter(F.abs(F.col("__bin") - F.col("__at")) <= 1)
-    return df.select(*keys).distinct().join(ranks.quantiles(near, keys, value, {"plateau": 0.5}).drop("n"), keys, "left")
+    return df.select(*keys).distinct().join(ranks.quantiles(near, keys, value, {"plateau": 0.5}, plain=ranks.small(df, keys)).drop("n"), keys, "left")
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, *order: str) -> DataFrame:

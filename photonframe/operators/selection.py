@@ -29,12 +29,13 @@ def select_frames(frames: DataFrame, group: list[str], sensitivity: float = 1.0,
     df = frames.withColumn("__first", F.when(~F.col("registered"), "not registered").when(F.coalesce("nbstars", F.lit(0)) < 5, "few stars").when(~alive1, "undersampled"))
     live = F.col("__first").isNull()
     round_ = F.when(live, F.col("roundness"))
-    df = ranks.by_group(df, df.groupBy(*group).agg(F.count(round_).alias("__n"), F.avg(round_).alias("__mu"), F.stddev_pop(round_).alias("__sd")), group)
+    plain = ranks.small(frames, group)
+    df = ranks.with_aggregates(df, group, {"__n": F.count(round_), "__mu": F.avg(round_), "__sd": F.stddev_pop(round_)}, plain)
     df = df.withColumn("__long", F.coalesce(live & (F.col("__n") >= 10) & (F.col("roundness") < F.col("__mu") - 2.5 * F.col("__sd") - 1e-12), F.lit(False)))
     # Frames that are out, or have no wfwhm, come last.
     df = df.withColumn("__still", live & ~F.col("__long")).withColumn("__w", F.when(F.col("__still"), F.coalesce("wfwhm", F.lit(float("inf")))).otherwise(F.lit(float("nan"))))
-    df = ranks.by_group(df, df.groupBy(*group).agg(F.sum(F.col("__still").cast("int")).alias("__alive")), group)
-    df = ranks.ranked(df, group, "__w", order, name="__rank", total="__all")
+    df = ranks.with_aggregates(df, group, {"__alive": F.sum(F.col("__still").cast("int"))}, plain)
+    df = ranks.ranked(df, group, "__w", order, name="__rank", total="__all", plain=plain)
     percent = keep_percent(F.lit(float(sensitivity)))
     kept = F.greatest(F.lit(3), F.ceil(F.col("__alive") * percent / 100))
     df = df.withColumn("__worse", F.col("__still") & (F.col("__alive") >= 10) & (percent < 100) & (F.col("__rank") > kept))

@@ -109,11 +109,12 @@ def gain_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def background_equalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels brought to the lowest median."""
     s = samples(spark, sf_dir)
-    medians = ranks.quantiles(s, ["l_returnflag"], "v", {"m": 0.5})
+    plain = ranks.small(s, ["l_returnflag"])
+    medians = ranks.quantiles(s, ["l_returnflag"], "v", {"m": 0.5}, plain=plain)
     lowest = medians.agg(F.min("m").alias("low"))
     shift = medians.crossJoin(F.broadcast(lowest)).select("l_returnflag", (F.col("low") - F.col("m")).alias("shift"))
     shifted = ranks.by_group(s, shift, ["l_returnflag"])
-    return ranks.quantiles(shifted, ["l_returnflag", "shift"], F.col("v") + F.col("shift"), {"med": 0.5}).select("l_returnflag", r6("med").alias("med"), r6("shift").alias("shift"))
+    return ranks.quantiles(shifted, ["l_returnflag", "shift"], F.col("v") + F.col("shift"), {"med": 0.5}, plain=plain).select("l_returnflag", r6("med").alias("med"), r6("shift").alias("shift"))
 
 
 def channel_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

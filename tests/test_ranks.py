@@ -16,8 +16,9 @@ def table(spark, seed, n=3000):
     return rows, spark.createDataFrame(rows, "k string, v double, i long").repartition(5)
 
 
-@pytest.mark.parametrize("accuracy", [40, 400, 10_000])
-def test_quantiles_are_exact_whatever_the_accuracy(spark, accuracy):
+@pytest.mark.parametrize("accuracy, most", [(40, 0), (400, 0), (10_000, 0), (40, 500_000)])
+def test_quantiles_are_exact_whatever_the_accuracy(spark, monkeypatch, accuracy, most):
+    monkeypatch.setattr(ranks, "GROUP_ROWS", most)
     rows, df = table(spark, accuracy)
     wanted = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q999": 0.999, "q1": 1.0}
     got = {r.k: r for r in ranks.quantiles(df, ["k"], "v", wanted, accuracy).collect()}
@@ -39,8 +40,10 @@ def test_quantiles_are_exact_whatever_the_accuracy(spark, accuracy):
     assert ranks.quantiles(df.limit(0), ["k"], "v", {"m": 0.5}, accuracy).count() == 0
 
 
-def test_ranks_and_parts(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_ranks_and_parts(spark, monkeypatch, most):
     monkeypatch.setattr(ranks, "ACCURACY", 50)
+    monkeypatch.setattr(ranks, "GROUP_ROWS", most)
     rows, df = table(spark, 7)
     got = ranks.ranked(df, ["k"], "v", "i").withColumn("part", ranks.ntile(F.col("rank"), F.col("n"), 7)).collect()
     groups = {}
@@ -55,8 +58,10 @@ def test_ranks_and_parts(spark, monkeypatch):
         assert r.part == next(j for j in range(7) if r.rank <= sum(sizes[: j + 1])) + 1
 
 
-def test_moving_average_over_cells(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_moving_average_over_cells(spark, monkeypatch, most):
     monkeypatch.setattr(ranks, "ACCURACY", 50)
+    monkeypatch.setattr(ranks, "GROUP_ROWS", most)
     rng = random.Random(3)
     rows = [("ab"[i % 2], rng.random(), rng.randint(0, 900), i) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, v double, t long, i long")
@@ -69,3 +74,14 @@ def test_moving_average_over_cells(spark, monkeypatch):
         for at, (_, i, _) in enumerate(mine):
             near = [v for _, _, v in mine[max(0, at - 6) : at + 7]]
             assert math.isclose(got[i], sum(near) / len(near), rel_tol=1e-9)
+
+
+def test_large_and_small_groups_give_the_same(spark, monkeypatch, sf_dir):
+    from photonframe.plans import registry
+
+    for name in ("frame_selection", "noise_model_fit", "mad_sigma", "object_snr", "quantile_levels", "saturation_plateau"):
+        got = []
+        for most in (0, 500_000):
+            monkeypatch.setattr(ranks, "GROUP_ROWS", most)
+            got.append(sorted(map(str, registry.QUERIES[name](spark, sf_dir).collect())))
+        assert got[0] == got[1], name
