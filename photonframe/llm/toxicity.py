@@ -1,15 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols by a lexicon: insults and threats, targets, negations and words of reported speech. Four transducers rewrite
-the symbols of a clause (insults after a negation, insults in reported speech, insults near a target, threats near a target);
-they are composed into one machine whose outputs are kinds of matched clauses. A document's score is a logistic function of
-how many clauses of each kind it has (n clauses weigh n / (n + 1) of the most, so no count is cut off) and of how dense
-clauses with a doubtful word are in it, with weights fitted on labelled texts around a prior that stands for the grammar.
+Words become symbols by a lexicon: insults and threats, targets, negations and words of reported speech; commas are symbols, too. Transducers
+rewrite the symbols of a clause: insults and threats after a negation, or after a word of reported speech, up to the next comma (but for an
+insult that no more than its target precedes: "you idiot"), insults near a target before them, and threats that a target and a modal verb
+announce. They are composed into one machine. A second
+one, composed likewise, runs over the reversed clause: reported speech named behind it, and targets behind the word. What comes out are kinds
+of matched clauses. A document's score is a logistic function of how many clauses of each kind it has (n clauses weigh n / (n + 1) of the
+most, so no count is cut off) and of how dense clauses with a doubtful word are in it, with weights fitted on labelled texts around a
+prior that stands for the grammar. Weights are bounded so that the grammar holds whatever the labels: a target never makes an insult or a
+threat less toxic, a threat at someone counts at least as an insult, and negated or reported words weigh little.
 
 The insult lexicon is learned from labelled texts. Beginnings of several words of toxic texts come first, although clean texts hold such words
 at times: these are doubtful words, a kind of their own. Then words and word beginnings are chosen greedily by how many texts not yet explained
 they occur in, so that words which merely accompany insults are not taken. Training uses about `sample` labelled texts, by hash
-of the id, and at most `features` words and beginnings; scoring covers every whole text.
+of the id, and words and beginnings that occur in enough of its toxic texts (`least`, and one in a thousand), so what the driver sees is bounded
+by the sample; scoring covers every whole text.
 
 Null and empty texts have no clause and get the score of the intercept. A text with contradicting labels counts as toxic; null labels are not
 learned from. Repeated rows are scored each. Extra columns are ignored unless kept by name.
@@ -33,17 +38,27 @@ from .shared import per_text
 from .textscan import chunks
 
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:|\n…]+")
+CLAUSE = re.compile(r"[.!?;|\n…]+")
+#: A word, or a comma.
+TOKEN = re.compile(r"[^\W\d_]+|,")
 #: Fixed lists of common words.
 INSULTS = "idiot moron stupid scum trash loser clown worthless pathetic disgusting"
-THREATS = "kill hurt destroy murder strangle töten umbringen vernichten matar destruir golpear tuer frapper détruire"
+#: Stems of threats with their endings (a dash stands for none).
+THREATS = {
+    "kill hurt murder destroy": "- s ed ing", "strangl": "e es ed ing", "töt": "e en et est ete eten", "umbring": "e en t st", "vernicht": "e en et est ete eten", "mat": "ar o as a an aré ará aremos é ó",
+    "destru": "ir iré irá yo yes ye", "golpe": "ar o as a an aré ará", "tu": "er erai era ons ez", "frapp": "er e es erai era ons ez", "détrui": "re s t rai ra sons",
+}
+THREAT_FORMS = frozenset(stem + ("" if e == "-" else e) for stems, ends in THREATS.items() for stem in stems.split() for e in ends.split())
 TARGETS = "you your yours yourself u he him she her they them people du dich dir dein ihr euch sie tú te tu usted ustedes vous toi votre ils"
-NEGATIONS = "not never isn aren wasn don doesn without nicht kein keine niemals nunca jamás sin pas jamais sans"
+NEGATIONS = "no not never cannot isn aren wasn don doesn didn won wouldn without nobody nicht kein keine niemals nunca jamás sin pas jamais sans"
+MODALS = "will ll shall should must gonna going deserve deserves werde wirst wird werden sollte sollst musst voy vas va vamos debes deberías vais allons devrais dois"
 REPORTS = "said says told called wrote quoted claimed according sagte sagt schrieb nannte dijo dice escribió llamó dit écrit appelé selon"
 #: Prefix lengths that the lexicon may use.
 LENGTHS = (3, 4, 5, 6, 7, 8)
-#: Kinds of matched clauses, with the prior weight of one.
-KINDS = {"insult": 6.0, "targeted": 7.0, "negated": 0.5, "reported": 1.0, "threat": 0.5, "aimed": 3.0, "doubtful": 1.0}
+#: Kinds of matched clauses, with the prior weight of one, and the bounds of the weight. Insults count every attack, that is, targeted insults and
+#: aimed threats, too, and those for someone count again: so the weights of these are what a target adds.
+KINDS = {"insult": 6.0, "targeted": 2.0, "negated": 0.5, "reported": 0.5, "threat": 0.5, "aimed": 1.0, "doubtful": 1.0}
+BOUNDS = {"insult": (0.0, math.inf), "targeted": (0.0, math.inf), "negated": (0.0, 1.0), "reported": (0.0, 1.0), "threat": (0.0, 2.0), "aimed": (0.0, math.inf), "doubtful": (0.0, math.inf)}
 #: Prior weight of the share of doubtful clauses.
 SHARE = 4.0
 
@@ -84,31 +99,66 @@ def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
     return Transducer(arcs)
 
 
-#: Input symbols: I insult, W doubtful word, T threat, G target, N negation, R reported speech, o any other word.
-INPUT = "IWTGNRo"
+#: Input symbols: I insult, W doubtful word, T threat, G target, N negation, R reported speech, M modal verb, o any other word, c a comma.
+INPUT = "IWTGNRMoc"
+#: Symbols that transducers put out besides.
+MADE = "nrKJ"
 
 
 def _fading(mark: str, scope: int, changes: dict[str, str]) -> Transducer:
     """For `scope` words after a `mark`, the symbols `changes` are rewritten."""
     arcs: dict[int, dict[str, tuple[int, str]]] = {0: {mark: (scope, mark)}}
     for k in range(1, scope + 1):
-        arcs[k] = {s: (k - 1, changes.get(s, s)) for s in "IWTGNRonrK"}
+        arcs[k] = {s: (k - 1, changes.get(s, s)) for s in INPUT + MADE}
         arcs[k][mark] = (scope, changes.get(mark, mark))
     return Transducer(arcs)
 
 
-def grammar() -> Transducer:
-    """Negation, then reported speech, then threats, then targets, composed."""
-    negation = _fading("N", 3, {"I": "n", "T": "o"})
-    report = Transducer({0: {"R": (1, "R")}, 1: {"I": (1, "r"), "T": (1, "o")}})
-    threat = _fading("G", 4, {"T": "K"})
-    target = _fading("G", 5, {"I": "J"})
-    out = negation
-    for part in (report, threat, target):
-        out = compose(out, part, INPUT)
+def _until_comma(mark: str, changes: dict[str, str], but: str = "") -> Transducer:
+    """From a `mark` to the next comma the symbols `changes` are rewritten, save those of `but` that stand right behind a target."""
+    arcs: dict[int, dict[str, tuple[int, str]]] = {0: {mark: (1, mark)}}
+    arcs[1] = {s: (1, changes.get(s, s)) for s in INPUT + MADE} | {"c": (0, "c"), "G": (2, "G")}
+    arcs[2] = arcs[1] | {s: (1, s) for s in but}
+    return Transducer(arcs)
+
+
+def _announced() -> Transducer:
+    """A target and a modal verb within three words, in either order, and within four more a threat: the threat is aimed."""
+    every = INPUT + MADE
+    arcs = {0: {"G": (3, "G"), "M": (10, "M")}}
+    arcs |= {k: {s: (k - 1, s) for s in every} | {"G": (3, "G"), "M": (7, "M")} for k in (1, 2, 3)}
+    arcs |= {k: {s: (k - 1 if k > 4 else 0, s) for s in every} | {"G": (3, "G"), "T": (0, "K")} for k in (4, 5, 6, 7)}
+    arcs |= {k: {s: (k - 1 if k > 8 else 0, s) for s in every} | {"G": (7, "G"), "M": (10, "M")} for k in (8, 9, 10)}
+    return Transducer(arcs)
+
+
+def _composed(parts: list[Transducer]) -> Transducer:
+    out = parts[0]
+    for part in parts[1:]:
+        out = compose(out, part, INPUT + MADE)
     return out
 
 
+def forward_parts() -> list[Transducer]:
+    """Negation, reported speech, then threats and insults behind their target."""
+    return [_until_comma("N", {"I": "n", "T": "o", "W": "o"}, "I"), _until_comma("R", {"I": "r", "T": "o", "W": "o"}), _announced(), _fading("G", 5, {"I": "J"})]
+
+
+def backward_parts() -> list[Transducer]:
+    """Over the reversed clause: reported speech that is named behind what was said, and targets behind the word."""
+    return [_fading("R", 8, {"I": "r", "J": "r", "T": "o", "K": "o", "W": "o"}), _fading("G", 3, {"T": "K"}), _fading("G", 3, {"I": "J"})]
+
+
+class Grammar:
+    """The two composed machines."""
+
+    def __init__(self) -> None:
+        self.forward, self.backward = _composed(forward_parts()), _composed(backward_parts())
+
+    def run(self, symbols: str) -> str:
+        return self.backward.run(self.forward.run(symbols)[::-1])[::-1]
+
+
 #: The kind that an output symbol counts for.
 OUTPUT = {"I": "insult", "J": "targeted", "n": "negated", "r": "reported", "T": "threat", "K": "aimed", "W": "doubtful"}
 
@@ -123,11 +173,11 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [-3.0, *KINDS.values(), SHARE])
 
     def __post_init__(self):
-        self.machine = grammar()
+        self.machine = Grammar()
         self.begins = {k: self.prefixes.get(k, set()) | self.doubtful_prefixes.get(k, set()) for k in LENGTHS if k in self.prefixes or k in self.doubtful_prefixes}
-        self.fixed = {w: s for s, ws in (("R", REPORTS), ("N", NEGATIONS), ("G", TARGETS), ("T", THREATS)) for w in ws.split()}
+        self.fixed = {w: s for s, ws in (("M", MODALS), ("R", REPORTS), ("N", NEGATIONS), ("G", TARGETS)) for w in ws.split()} | dict.fromkeys(THREAT_FORMS, "T") | {",": "c"}
         self.fixed |= dict.fromkeys(self.words, "I")
-        self.sought = self.words | set(THREATS.split())
+        self.sought = self.words | THREAT_FORMS
 
     def symbol(self, word: str) -> str:
         if word in self.fixed:
@@ -144,10 +194,10 @@ class Model:
             low = text.lower()
             words = set(WORD.findall(low))
             if not words.isdisjoint(self.sought) or any(not p.isdisjoint({w[:k] for w in words}) for k, p in self.begins.items()):
-                known = {w: self.symbol(w) for w in words}
+                known = {w: self.symbol(w) for w in words} | {",": "c"}
                 for clause in CLAUSE.split(low):
-                    symbols = "".join([known[w] for w in WORD.findall(clause)])
-                    total += len(symbols)
+                    symbols = "".join([known[w] for w in TOKEN.findall(clause)])
+                    total += len(symbols) - symbols.count("c")
                     if "I" in symbols or "W" in symbols or "T" in symbols:
                         out.update({OUTPUT[o] for o in self.machine.run(symbols) if o in OUTPUT})
         return [*(out[k] for k in KINDS), total]
@@ -158,10 +208,13 @@ class Model:
 
 
 def evidence(counts: list[int]) -> list[float]:
-    """What `counts` weigh: n / (n + 1) for n clauses of a kind, and the share of doubtful ones, a clause
-    being taken as eight words (two more guard short texts), as tables and shouting have no clauses of their own."""
+    """What `counts` weigh: n / (n + 1) for n clauses of a kind, and the share of doubtful ones, a clause being taken as eight words (two more
+    guard short texts), as tables and shouting have no clauses of their own. Attacks on someone count as insults, and once more as targeted."""
     *kinds, total = counts
-    return [*(n / (n + 1) for n in kinds), kinds[-1] / (total / 8 + 2)]
+    of = dict(zip(KINDS, kinds, strict=True))
+    at_someone = of["targeted"] + of["aimed"]
+    of |= {"insult": of["insult"] + at_someone, "targeted": at_someone}
+    return [*(n / (n + 1) for n in of.values()), of["doubtful"] / (total / 8 + 2)]
 
 
 def _features(text: str | None) -> set[str]:
@@ -226,7 +279,7 @@ def _held(known: Broadcast):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3, features: int = 50_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3) -> Model:
     """A model from about `sample` labelled texts of docs (doc_id, text) and labels (doc_id, toxic)."""
     context = docs.sparkSession.sparkContext
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -240,10 +293,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int =
         seen = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         n_toxic, n_other = seen.get(1, 0), seen.get(0, 0)
         counts = texts.mapInArrow(_count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        least = max(least, n_toxic // 1000)
         several = F.col("feature").endswith("**")
         fair = (F.col("pos") >= least) & (F.col("neg") <= 0.004 * n_other) & (F.col("pos") > F.when(several, 2).otherwise(5) * F.col("neg"))
-        # What reaches the driver is bounded by `features`, and by the toxic texts of the sample as numbers of features.
-        rows = counts.filter(fair).orderBy((F.col("neg") * 5 - F.col("pos")), "feature").limit(features).collect()
+        # A feature that stays is in one of a thousand toxic texts of the sample at least: at most a thousand times what one text has.
+        rows = counts.filter(fair).collect()
         names = sorted(r.feature for r in rows)
         negatives = {r.feature: r.neg for r in rows}
         known = context.broadcast({f: i for i, f in enumerate(names)})
@@ -276,19 +330,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int =
 
 
 def fit(rows: list[tuple[int, list[float], int]], prior: list[float], strength: float = 0.1) -> list[float]:
-    """Logistic weights by Newton steps around `prior`."""
+    """Logistic weights by Newton steps around `prior`, each weight within its bounds: one that a step would take beyond stays there
+    while its slope points outwards."""
     if not rows:
         return prior
     x = np.array([[1.0, *c] for _, c, _ in rows])
     y, n = np.array([r[0] for r in rows], float), np.array([r[2] for r in rows], float)
+    limits = [(-math.inf, math.inf), *BOUNDS.values(), (0.0, math.inf)]
+    low, high = (np.array(side) for side in zip(*limits))
     mean, w = np.array(prior), np.array(prior)
-    for _ in range(40):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (n * (y - p)) - strength * (w - mean)
         hess = (x * (n * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        free = ~(((w <= low) & (grad < 0)) | ((w >= high) & (grad > 0)))
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
+        after = np.clip(w + np.clip(step, -2, 2), low, high)
+        done = np.abs(after - w).max() < 1e-9
+        w = after
+        if done:
             break
     return [float(v) for v in w]
 

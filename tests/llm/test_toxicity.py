@@ -16,25 +16,56 @@ def made(rng, toxic):
     return " ".join(w + (". " if rng.random() < 0.15 else "") for w in words)
 
 
+def in_turn(symbols):
+    for p in tx.forward_parts():
+        symbols = p.run(symbols)
+    symbols = symbols[::-1]
+    for p in tx.backward_parts():
+        symbols = p.run(symbols)
+    return symbols[::-1]
+
+
 def test_composition_equals_running_in_turn():
     rng = random.Random(1)
-    parts = [tx._fading("N", 3, {"I": "n", "T": "o"}), tx.Transducer({0: {"R": (1, "R")}, 1: {"I": (1, "r"), "T": (1, "o")}}), tx._fading("G", 4, {"T": "K"}), tx._fading("G", 5, {"I": "J"})]
-    whole = tx.grammar()
-    for _ in range(500):
-        text = want = "".join(rng.choice(tx.INPUT) for _ in range(rng.randint(0, 12)))
-        for p in parts:
-            want = p.run(want)
-        assert whole.run(text) == want
+    whole = tx.Grammar()
+    for _ in range(2000):
+        text = "".join(rng.choice(tx.INPUT) for _ in range(rng.randint(0, 12)))
+        assert whole.run(text) == in_turn(text)
+
+
+CASES = {
+    "insult": ["The idiot left.", "A GRUZAK came", "the stupid machine broke"],
+    "targeted": ["you are an idiot", "idiot, you are", "you idiot", "Idiots like the idiot beside you", "do not come here, you idiot", "never mind you idiot"],
+    "negated": ["he is not an idiot", "isn't he an idiot", "never call him an idiot", "no idiot here", "he is no idiot"],
+    "reported": ["she said idiot", "she said he is an idiot", "you are an idiot, he said", "he said: you idiot", "they called him an idiot"],
+    "aimed": ["they will kill it", "I will kill you", "you will be killed", "we are strangling them", "ich werde dich töten", "voy a matar a ustedes"],
+    "threat": ["kill time", "he killed the engine", "a killing frost"],
+}
 
 
 def test_grammar_kinds():
-    model = tx.Model({"idiot"}, {4: {"gruz"}})
+    model = tx.Model({"idiot", "stupid"}, {4: {"gruz"}})
     kinds = lambda text: {k for k, n in zip(tx.KINDS, model.counts(text)) if n}
-    assert kinds("The idiot left.") == {"insult"} and kinds("A GRUZAK came") == {"insult"}
-    assert kinds("you are an idiot") == {"targeted"} and kinds("he is not an idiot") == {"negated"}
-    assert kinds("she said idiot") == {"reported"} and kinds("they will kill it") == {"aimed"} and kinds("kill time") == {"threat"}
-    assert kinds("nothing here") == set() and model.counts(None) == model.counts("") == [0] * (len(tx.KINDS) + 1)
-    assert tx.Model(set(), {}, {4: {"gruz"}}).counts("gruzx gruzy gruzx. A gruza | b")[-2:] == [2, 6]
+    for kind, texts in CASES.items():
+        for text in texts:
+            assert kinds(text) == {kind}, text
+    assert kinds("you will not be killed") == kinds("he said he will kill you") == kinds("nothing here, you") == set() and model.counts(None) == model.counts("") == [0] * (len(tx.KINDS) + 1)
+    assert tx.Model(set(), {}, {4: {"gruz"}}).counts("gruzx, gruzy gruzx. A gruza | b")[-2:] == [2, 6]
+
+
+def test_the_trained_model_follows_the_grammar(spark, sf_dir):
+    """Weights learned on the table keep what the grammar says of each kind."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = tx.train(docs, labels)
+    score = lambda text: model.score(model.counts(text))
+    assert score("you idiot") >= score("idiot") >= 0.5 and score("idiot, you are") >= score("idiot")
+    assert all(score(t) >= 0.5 for t in CASES["aimed"])
+    assert all(score(t.replace("gruzak", "idiot")) < 0.5 for kind in ("negated", "reported", "threat") for t in CASES[kind])
+    for _, w in zip(tx.KINDS, model.weights[1:], strict=False):
+        assert w >= 0
+    # Labels that call every targeted insult clean cannot turn the grammar around.
+    w = tx.fit([(0, tx.evidence([0, 1, 0, 0, 0, 0, 0, 8]), 500), (1, tx.evidence([1, 0, 0, 0, 0, 0, 0, 8]), 500)], tx.Model(set(), {}).weights)
+    assert w[2] == 0
 
 
 def test_learns_unseen_endings_and_keeps_clean(spark):
@@ -55,9 +86,8 @@ def test_scores_by_plain_version(spark):
     """Every score again, clause by clause, transducer by transducer, without the composed machine; nothing is cut off."""
     rng = random.Random(3)
     model = tx.Model({"flork"}, {5: {"grumb"}}, {4: {"hous"}})
-    vocab = [*VOCAB, "flork", "grumbola", "you", "not", "said", "kill", "houses", "."]
+    vocab = [*VOCAB, "flork", "grumbola", "you", "not", "said", "kill", "will", "houses", "."]
     texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["flork. " * 5000, "you flork! " * 300, None]
-    parts = [tx._fading("N", 3, {"I": "n", "T": "o"}), tx.Transducer({0: {"R": (1, "R")}, 1: {"I": (1, "r"), "T": (1, "o")}}), tx._fading("G", 4, {"T": "K"}), tx._fading("G", 5, {"I": "J"})]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in tx.score(df, model, ["doc_id"]).collect()}
     for i, text in enumerate(texts):
@@ -66,12 +96,11 @@ def test_scores_by_plain_version(spark):
             for piece in clause.split("!"):
                 names = piece.split()
                 words += len(names)
-                symbols = "".join({"flork": "I", "grumbola": "I", "you": "G", "not": "N", "said": "R", "kill": "T", "house": "W", "houses": "W"}.get(w, "o") for w in names)
-                for p in parts:
-                    symbols = p.run(symbols)
-                for kind in {tx.OUTPUT[s] for s in symbols if s in tx.OUTPUT}:
+                symbols = "".join({"flork": "I", "grumbola": "I", "you": "G", "not": "N", "said": "R", "kill": "T", "will": "M", "house": "W", "houses": "W"}.get(w, "o") for w in names)
+                for kind in {tx.OUTPUT[s] for s in in_turn(symbols) if s in tx.OUTPUT}:
                     kinds[kind] += 1
-        z = model.weights[0] + sum(w * n / (n + 1) for w, n in zip(model.weights[1:], kinds.values())) + model.weights[-1] * kinds["doubtful"] / (words / 8 + 2)
+        seen = kinds | {"targeted": kinds["targeted"] + kinds["aimed"], "insult": kinds["insult"] + kinds["targeted"] + kinds["aimed"]}
+        z = model.weights[0] + sum(w * n / (n + 1) for w, n in zip(model.weights[1:], seen.values())) + model.weights[-1] * kinds["doubtful"] / (words / 8 + 2)
         assert got[i].clauses == sum(kinds.values()) and abs(got[i].score - 1 / (1 + 2.718281828459045 ** -max(-50, min(50, z)))) < 1e-9
     assert got[200].clauses == 5000
 
