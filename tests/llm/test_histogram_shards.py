@@ -4,6 +4,7 @@ from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from photonframe.llm import histogram_shards as hs
 
@@ -33,13 +34,48 @@ def test_near_equal_and_rerun(spark, copies):
     assert got == sorted(hs.histogram_shards(df.repartition(5), 24).collect())
 
 
+@pytest.mark.parametrize("same", [(7, "a text of many rows"), (None, None), (3, "")])
+def test_rows_equal_in_id_and_text_part_by_bytes(spark, same):
+    """Against a plain deal: half of all rows are one row; shards stay equal, all others stay with their like."""
+    rng = random.Random(4)
+    rows = [(i + 10, "y" * rng.choice([3, 40, 200]) + str(i // 3)) for i in range(3000)] + [same] * 3000
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = hs.histogram_shards(df, 24, tolerance=0.05).collect()
+    sizes, slots, where = Counter(), {}, {}
+    for r in got:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        where.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    mean = sum(sizes.values()) / 24
+    assert len(sizes) == 24 and all(abs(b - mean) <= 2 * (0.05 * mean + 211) for b in sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    apart = [g for g, shards in where.items() if len(shards) > 1]
+    assert len(apart) <= 24 and all(g == (zlib.crc32((same[1] or "").encode()), len((same[1] or "").encode()) + 8) for g in apart)
+    again = hs.histogram_shards(df.repartition(3), 24, tolerance=0.05).collect()
+    assert Counter(again) == Counter(got)
+    kept = hs.histogram_shards(df.withColumn("extra", F.lit("e")), 24, keep=("extra",), tolerance=0.05).drop("extra").collect()
+    assert Counter(kept) == Counter(got)
+
+
+def test_equal_texts_stay_together_while_they_fit(spark):
+    rows = [(i, f"text {i // 4}") for i in range(4000)]
+    where = {}
+    for r in hs.histogram_shards(spark.createDataFrame(rows, "doc_id long, text string"), 24, tolerance=0.05).collect():
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert hs.histogram_shards(empty, 4).count() == 0
     one = hs.histogram_shards(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 4).collect()
     assert [(r.slot, r.size) for r in one] == [(0, 9)]
     same = hs.histogram_shards(spark.createDataFrame([(None, "a")] * 10, "doc_id long, text string"), 4).collect()
-    assert sorted(r.slot for r in same) == list(range(10))
+    # Equal rows part, so that shards stay equal.
+    assert sorted(Counter(r.shard for r in same).values()) == [2, 2, 3, 3] and sorted(r.slot for r in same) == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
 
 
 def test_files(spark, tmp_path):
