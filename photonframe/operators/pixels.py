@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Panels that a field may be planned in.
-MAX_PANELS = 10_000
+from photonframe.operators import matching
+from photonframe.sources import shared
 
 
 def calibrated(raw: Column, bias: Column, dark: Column, flat: Column, k: Column | float = 1.0) -> Column:
@@ -106,12 +105,35 @@ def gain_offset(both: DataFrame, keys: list[str], reference: str, value: str) ->
 
 
 def covered_area(samples: DataFrame, panels: DataFrame, panel_id: str) -> DataFrame:
-    """Samples (sid, x, y) with `covered` and `nearest_panel` of uncovered ones. Panels (x0, x1, y0, y1, cx, cy) are a plan
-    of at most MAX_PANELS, each of which meets every sample; more raise an error."""
-    if panels.limit(MAX_PANELS + 1).count() > MAX_PANELS:
-        raise ValueError(f"more than {MAX_PANELS} panels")
+    """Samples (sid, x, y) with `covered` and `nearest_panel` of uncovered ones, by the centre, ties to the smaller id; panels are (x0, x1, y0, y1, cx, cy).
+
+    A sample meets only the panels in its grid cell, cells being as large as the largest panel. Those left without one look for centres in
+    cells that double in every round: a centre within a cell's width is in one of nine cells, so what is found that near is the nearest.
+    Rounds end when all have one, at the latest when a cell is as wide as everything; no sample meets every panel before."""
+    box = panels.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("size"), *(f(c).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in ("cx", "cy"))).first()
+    if box["size"] is None:
+        return samples.select("sid", F.lit(False).alias("covered"), F.lit(None).cast(panels.schema[panel_id].dataType).alias("nearest_panel")).distinct()
+    size = max(float(box["size"]), 1e-9)
+    points = samples.select("sid", "x", "y")
+    cells = lambda a, b: F.sequence(F.floor(F.col(a) / size).cast("long"), F.floor(F.col(b) / size).cast("long"))
+    spread = panels.select("x0", "x1", "y0", "y1", F.explode(cells("x0", "x1")).alias("gx"), "cx").select("*", F.explode(cells("y0", "y1")).alias("gy"))
+    placed = points.withColumn("gx", F.floor(F.col("x") / size).cast("long")).withColumn("gy", F.floor(F.col("y") / size).cast("long"))
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
-    both = samples.join(F.broadcast(panels), F.lit(True))
-    out = both.groupBy("sid").agg(F.bool_or(inside).alias("covered"), F.min(F.struct(d.alias("d"), panel_id)).alias("__n"))
-    return out.select("sid", "covered", F.when(~F.col("covered"), F.col(f"__n.{panel_id}")).alias("nearest_panel"))
+    covered = placed.join(spread, ["gx", "gy"]).filter(inside).select("sid").distinct().withColumn("covered", F.lit(True))
+    marked = shared.kept(points.join(covered, "sid", "left").withColumn("covered", F.coalesce("covered", F.lit(False))), "samples")
+    reach = marked.agg(*(f(c).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in ("x", "y"))).first()
+    left, out = marked.filter("not covered and x is not null and y is not null").select("sid", "x", "y"), marked.filter("covered or x is null or y is null").select("sid", "covered", F.lit(None).cast(panels.schema[panel_id].dataType).alias("nearest_panel"))
+    if reach["lx"] is None:
+        return out
+    widest = 2 * max(max(box["hcx"], reach["hx"]) - min(box["lcx"], reach["lx"]), max(box["hcy"], reach["hy"]) - min(box["lcy"], reach["ly"])) + size
+    while not left.isEmpty():
+        around = matching.with_cells(panels.select(F.col(panel_id).alias("__p"), F.col("cx").alias("__x"), F.col("cy").alias("__y")), "__x", "__y", size, True)
+        d = F.pow(F.col("x") - F.col("__x"), 2) + F.pow(F.col("y") - F.col("__y"), 2)
+        met = matching.with_cells(left, "x", "y", size).join(around, ["cx", "cy"]).withColumn("__d", d).filter(F.col("__d") <= size * size)
+        near = shared.kept(met.groupBy("sid").agg(F.min(F.struct("__d", "__p")).alias("n")).select("sid", F.lit(False).alias("covered"), F.col("n.__p").alias("nearest_panel")), "nearest")
+        out = out.unionByName(near)
+        if size > widest:
+            break
+        left = shared.kept(left.join(near.select("sid"), "sid", "left_anti"), "samples")
+        size *= 2
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonframe.operators import images, psf_field, starlight, tiles
+from photonframe.operators import images, psf_field, restoration, starlight, tiles
 from photonframe.plans.tables import r6, table
 from photonframe.streaming import stack
 
@@ -67,6 +67,18 @@ def psf_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return psf_field.node_kernels(coefs, [], 100, 100, 60.0, 1, 3.5).select("iy", "ix", "dy", "dx", r6("v").alias("v"))
 
 
+def saturated_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Light and sky of stars from what a clipping level leaves of their stamps."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    offsets = {"dy": (F.col("l_linenumber") - 4).cast("int"), "dx": F.col("l_quantity").cast("int") % 7 - 3}
+    weight = F.exp(-(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / 8.0)
+    stamps = l.groupBy(F.col("l_suppkey").alias("star_id"), *(c.alias(n) for n, c in offsets.items())).agg(F.avg("l_extendedprice").alias("v"))
+    kernel = l.select(*(c.alias(n) for n, c in offsets.items())).distinct().withColumn("p", weight)
+    kernel = kernel.crossJoin(F.broadcast(kernel.agg(F.sum("p").alias("total")))).select("dy", "dx", (F.col("p") / F.col("total")).alias("p"))
+    out = restoration.saturated_light(stamps, kernel, [], 45_000.0, 100.0)
+    return out.select("star_id", F.round(F.col("light"), 2).alias("light"), F.round(F.col("sky"), 2).alias("sky"), "clipped", "used")
+
+
 def star_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stars whose light is scaled by six tenths to seven fifths, though their footprints overlap."""
     s = table(spark, sf_dir, "supplier")
@@ -128,6 +140,14 @@ _PSF = """WITH s AS (SELECT l_linenumber - 4 AS dy, CAST(l_quantity AS INT) % 7
   k AS (SELECT iy, ix, dy, dx, CASE WHEN dy * dy + dx * dx <= 12.25::DOUBLE THEN greatest(0, c0 + cb * (iy - 1) + ca * (ix - 1)) ELSE 0 END AS v FROM c, range(0, 3) p(iy), range(0, 3) q(ix))
   SELECT iy, ix, dy, dx, round(v / sum(v) OVER (PARTITION BY iy, ix), 6) AS v FROM k"""
 
+_CLIPPED = """WITH s AS (SELECT l_suppkey AS star_id, l_linenumber - 4 AS dy, CAST(l_quantity AS INT) % 7 - 3 AS dx, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+  k AS (SELECT dy, dx, exp(-(dy * dy + dx * dx) / 8.0::DOUBLE) AS e FROM (SELECT DISTINCT dy, dx FROM s)), m AS (SELECT s.*, e / (SELECT sum(e) FROM k) AS p FROM s JOIN k USING (dy, dx)),
+  t AS (SELECT star_id, count(*) FILTER (WHERE v < 45000) AS used, count(*) FILTER (WHERE v >= 45000) AS clipped, sum(p) FILTER (WHERE v < 45000) AS sp, sum(v) FILTER (WHERE v < 45000) AS sv,
+    sum(p * p) FILTER (WHERE v < 45000) AS pp, sum(p * v) FILTER (WHERE v < 45000) AS pv FROM m GROUP BY star_id),
+  f AS (SELECT star_id, used, clipped, sp, sv, CASE WHEN used >= 10 AND used * pp - sp * sp > 1e-12::DOUBLE * used * pp THEN (used * pv - sp * sv) / (used * pp - sp * sp) END AS f FROM t),
+  y AS (SELECT *, (sv - f * sp) / used AS sky FROM f), b AS (SELECT star_id, max((45000 - 300 - sky) / p) AS least FROM m JOIN y USING (star_id) WHERE v >= 45000 GROUP BY star_id)
+  SELECT star_id, round(CASE WHEN f IS NOT NULL THEN greatest(f, least) END, 2) AS light, round(sky, 2) AS sky, clipped, used FROM y LEFT JOIN b USING (star_id)"""
+
 _LIGHT = f"""WITH {PLANE}, s AS (SELECT s_suppkey AS star_id, s_suppkey * 149 // {_AREA} AS img, s_suppkey * 149 % {_AREA} // {_SIDE} AS y, s_suppkey * 149 % {_SIDE} AS x FROM supplier),
   e AS (SELECT star_id, img, y + dy AS y, x + dx AS x, exp(-(dy * dy + dx * dx) / 8.0::DOUBLE) AS w FROM s, range(-4, 5) a(dy), range(-4, 5) b(dx) WHERE dy * dy + dx * dx <= 16),
   h AS (SELECT star_id, img, y, x, w / sum(w) OVER (PARTITION BY img, y, x) AS share FROM e),
@@ -136,7 +156,7 @@ _LIGHT = f"""WITH {PLANE}, s AS (SELECT s_suppkey AS star_id, s_suppkey * 149 //
 
 QUERIES = {
     "local_contrast": local_contrast, "local_plane_fit": local_plane_fit, "starlet_planes": starlet_planes, "starlet_denoised": starlet_denoised, "nearest_valid": nearest_valid,
-    "image_regions": image_regions, "psf_nodes": psf_nodes, "star_light": star_light, "incremental_stack": incremental_stack,
+    "image_regions": image_regions, "psf_nodes": psf_nodes, "saturated_stars": saturated_stars, "star_light": star_light, "incremental_stack": incremental_stack,
 }
 
 ORACLES = {
@@ -153,6 +173,7 @@ ORACLES = {
       r AS (SELECT img, p, p AS q FROM m UNION SELECT r.img, r.p, n.q FROM r JOIN n ON n.img = r.img AND n.p = r.q), l AS (SELECT img, p, min(q) AS region FROM r GROUP BY img, p)
       SELECT img, region, count(*) AS pixels, sum(v) AS light FROM l JOIN m USING (img, p) GROUP BY img, region""",
     "psf_nodes": _PSF,
+    "saturated_stars": _CLIPPED,
     "star_light": _LIGHT,
     "incremental_stack": """WITH p AS (SELECT l_returnflag, l_orderkey // 500 AS frame, l_suppkey % 32 AS y, l_partkey % 32 AS x, floor(max(l_extendedprice) / 10) AS v FROM lineitem GROUP BY ALL)
       SELECT l_returnflag, y, x, round(avg(v), 6) AS mean, round(var_pop(v), 3) AS variance FROM p GROUP BY l_returnflag, y, x""",
