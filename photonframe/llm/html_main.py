@@ -29,7 +29,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text of the page; all else, formulas and fallbacks too, is left to the field.
-DROPPED = ("script", "style", "template", "iframe", "svg", "title", "textarea", "canvas", "audio", "video")
+DROPPED = ("script", "style", "template", "iframe", "title", "textarea")
+#: Inline elements whose text is a block of its own, as it belongs to a form wherever it stands.
+APART = frozenset(("button", "label"))
 #: An opening tag ends an open element of its kind, unless one of the others was opened since.
 _ENDS_OWN = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",))}
 #: Names in class, id and role attributes, by the kind of thing that they speak of.
@@ -198,6 +200,8 @@ def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
                 if tag in BLOCK:
                     flush()
                     stack.opens(tag)
+                elif tag in APART:
+                    flush()
                 if tag not in VOID and not (itself and tag not in BLOCK):
                     stack.push(tag, _kinds(tag, attributes))
         elif closed:
@@ -205,7 +209,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
                 at = len(page)
                 break
             tag = closed.lower()
-            if tag in BLOCK:
+            if tag in BLOCK or tag in APART:
                 flush()
             stack.closes(tag)
         elif not other_ends:

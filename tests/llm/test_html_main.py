@@ -147,3 +147,13 @@ def test_query_on_its_table(spark, sf_dir):
         inside = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: "" if re.fullmatch(r"</?(b|a|i)>", m[0]) else " ", inside)).split())
         assert (r.text, r.n_chars) == (want, len(want))
+
+
+def test_figures_and_fallbacks_stay_and_forms_go():
+    chain = hm.default_chain()
+    one = "The harbour was quiet before dawn, and the boats that had come in the night lay side by side along the long stone wall, their lamps still lit."
+    two = "By noon the market had filled with people from the hills, who brought cheese, wool and news of the road that the flood had taken in spring."
+    inside = f"<article><h1>Harbour life</h1><p>{one}</p><figure><svg><text>Chart of boats by month</text></svg></figure><p>{two} <canvas>drawn here</canvas><video>no film</video></p></article>"
+    assert hm.extract(f"<body>{inside}</body>", chain) == f"Harbour life {one} Chart of boats by month {two} drawn hereno film"
+    form = f"<article><p>{one}</p><button>Send it</button><p>{two}</p><label>Your name</label></article>"
+    assert hm.extract(f"<body>{form}</body>", chain) == f"{one} {two}"
