@@ -92,7 +92,7 @@ def local_linear(cut: DataFrame, keys: list[str], sigma: float) -> DataFrame:
     """(keys, y, x, v) of local linear regression with Gaussian weights on tiles. Beyond the image and where pixels are missing nothing weighs,
     so that edges keep their slope; places with nothing near have no row."""
     out = _planes(cut, keys, kernels.gaussian_reach(sigma), lambda a: [kernels.local_linear(a, sigma)], "missing")
-    return out.filter("not isnan(v)").drop("scale")
+    return out.filter("v is not null and not isnan(v)").drop("scale")
 
 
 def starlet(cut: DataFrame, keys: list[str], scales: int) -> DataFrame:

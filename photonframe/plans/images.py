@@ -99,7 +99,7 @@ def incremental_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = l.groupBy("l_returnflag", F.floor(F.col("l_orderkey") / 500).cast("int").alias("frame"), (F.col("l_suppkey") % 32).cast("int").alias("y"), (F.col("l_partkey") % 32).cast("int").alias("x"))
     p = p.agg(F.floor(F.max("l_extendedprice") / 10).cast("double").alias("v"))
     out = stack.integrate(tiles.from_pixels(p, ["l_returnflag", "frame"], 16, ["l_returnflag"]), ["l_returnflag"])
-    return stack.pixels_of(out, ["l_returnflag"]).filter("not isnan(mean)").select("l_returnflag", "y", "x", r6("mean").alias("mean"), F.round(F.col("variance"), 3).alias("variance"))
+    return stack.pixels_of(out, ["l_returnflag"]).select("l_returnflag", "y", "x", r6("mean").alias("mean"), F.round(F.col("variance"), 3).alias("variance"))
 
 
 _GAUSS = "exp(-0.5::DOUBLE * {d} * {d})"

@@ -176,14 +176,16 @@ def integrate(frames: DataFrame, keys: list[str], frame: str = "frame", low: flo
 
 
 def pixels_of(stack: DataFrame, keys: list[str]) -> DataFrame:
-    """The long table (keys, y, x, frames, mean, variance, clipped, kept, error) of an integration."""
+    """The long table (keys, y, x, mean, variance, clipped, kept, error) of an integration, without the pixels that no frame has."""
     columns = ("mean", "variance", "clipped", "kept", "error")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 y, x = np.mgrid[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w]
-                yield pd.DataFrame({**{k: [getattr(r, k)] * y.size for k in keys}, "y": y.ravel(), "x": x.ravel(), **{c: np.frombuffer(getattr(r, c)) for c in columns}})
+                values = {c: np.frombuffer(getattr(r, c)) for c in columns}
+                seen = np.isfinite(values["mean"])
+                yield pd.DataFrame({**{k: [getattr(r, k)] * int(seen.sum()) for k in keys}, "y": y.ravel()[seen], "x": x.ravel()[seen], **{c: v[seen] for c, v in values.items()}})
 
     types = ", ".join(f"{k} {stack.schema[k].dataType.simpleString()}" for k in keys)
     return stack.mapInPandas(run, f"{types}, y int, x int, mean double, variance double, clipped double, kept double, error double")
