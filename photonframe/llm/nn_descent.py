@@ -4,7 +4,7 @@ Equal vectors are one node (that of the smallest id, with the few smallest ids t
 The graph starts from exact neighbours inside blocks of random projections. Each round gives every node the lists of its
 neighbours and of the nodes that hold it as a neighbour, compares the members of a list among themselves, and keeps the nearest
 `degree` of every node. Queries search the graph greedily: the best nodes not yet expanded bring their neighbours, until no
-unexpanded node is among the best `width`. All rounds are Spark joins over tables in the shared folder; lists are bounded by `degree`,
+unexpanded node is among the best `width`; nodes met before are not measured again. All rounds are Spark joins over tables in the shared folder; lists are bounded by `degree`,
 and rounds end early when fewer than `settled` of the edges are new. Vectors travel as 32-bit floats to steer by; the distances of the
 results are computed from the vectors themselves.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -170,39 +171,57 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(np.sqrt((gap * gap).sum(axis=1)))], [*kept, "d"])
 
 
-def search(graph: Graph, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, width: int = 400, expand: int = 50, hops: int = 20, entries: int = 8) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each valid query, its own id left out."""
-    rows, dim = valid_vectors(queries, id_col, vec_col, graph.dim)
-    rows = saved(rows, "queries")
-    if not dim or rows.isEmpty():
-        return graph.nodes.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+def walk(graph: Graph, asked: DataFrame, width: int, expand: int, entries: int) -> tuple[DataFrame, DataFrame]:
+    """Greedy walks of `asked` (q, qv): best (q, node, d), the `width` nearest met of each, and met (q, node, d), all that were measured.
+
+    Each hop expands the `expand` nearest nodes among the best that are not yet expanded. No node is measured twice for one query: those met
+    are rows of tables, one a hop. A walk ends when all of its best are expanded; each hop expands a node, so every walk ends."""
     points = graph.nodes.select("node", _steering("vec").alias("vec"))
-    # Equal queries are searched once, whatever their number; their ids stay rows of their own.
-    asked = saved(rows.groupBy("vec").agg(F.min("id").alias("q")).select("q", F.col("vec").alias("qv")), "asked")
     vectors = asked.select("q", _steering("qv").alias("qv"))
     # Entries: the query's own node, if it is in the graph, nodes chosen by a hash of the query, and a few nodes that are the same for all.
     own = asked.join(graph.nodes.select(F.col("vec").alias("qv"), "node"), "qv").select("q", "node")
-    total = points.count()
-    numbered = points.select("node", F.pmod(F.xxhash64("node"), F.lit(max(1, total // entries))).alias("slot"))
-    others = vectors.select("q", F.pmod(F.xxhash64("q"), F.lit(max(1, total // entries))).alias("slot")).join(numbered, "slot").select("q", "node")
-    common = vectors.select("q").crossJoin(F.broadcast(points.select("node").orderBy(F.xxhash64("node"), "node").limit(entries)))
-    fresh, seen, turn = own.unionAll(others).unionAll(common).distinct(), None, None
-    for _ in range(hops):
-        fresh = fresh.join(points, "node").join(vectors, "q").mapInArrow(_distances, "q long, node long, d double").withColumn("open", F.lit(True))
-        table = saved(_nearest(fresh if seen is None else seen.unionAll(fresh), "q", width, "node"), "search", tuple(t for t in (turn, table if seen is not None else None) if t is not None))
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
-        turn = saved(table.filter("open").withColumn("r", rank).filter(F.col("r") <= expand).select("q", "node"), "turn")
-        seen = table
+    slots = F.lit(max(1, points.count() // entries))
+    numbered = points.select("node", F.pmod(F.xxhash64("node"), slots).alias("slot"))
+    others = vectors.select("q", F.pmod(F.xxhash64("q"), slots).alias("slot")).join(numbered, "slot").select("q", "node")
+    first = [r.node for r in points.select("node").orderBy(F.xxhash64("node"), "node").limit(entries).collect()]
+    common = vectors.select("q", F.explode(F.array(*map(F.lit, first)).cast("array<long>")).alias("node"))
+    fresh, hops, best = own.unionAll(others).unionAll(common).distinct(), [], None
+    near = Window.partitionBy("q").orderBy("d", "node")
+    waiting = F.sum(F.when(F.col("open"), 1).otherwise(0)).over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    while True:
+        hops.append(saved(fresh.join(points, "node").join(vectors, "q").mapInArrow(_distances, "q long, node long, d double"), "met"))
+        rows = hops[-1].withColumn("open", F.lit(True))
+        if best is not None:
+            rows = best.select("q", "node", "d", (F.col("open") & ~F.col("turn")).alias("open")).unionAll(rows)
+        ranked = _nearest(rows, "q", width, "node").withColumn("turn", F.col("open") & (waiting <= expand))
+        best = saved(ranked, "best", () if best is None else (best,))
+        turn = best.filter("turn")
         if turn.isEmpty():
-            break
-        seen = seen.join(turn.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("open") & F.col("now").isNull()).alias("open"))
-        reached = turn.join(graph.edges, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
-        fresh = reached.join(seen.select("q", "node"), ["q", "node"], "left_anti")
+            return best.select("q", "node", "d"), reduce(DataFrame.unionAll, hops)
+        reached = turn.select("q", F.col("node").alias("u")).join(graph.edges, "u").select("q", F.col("v").alias("node")).distinct()
+        fresh = reached.join(reduce(DataFrame.unionAll, hops).select("q", "node"), ["q", "node"], "left_anti")
+
+
+def search(graph: Graph, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, width: int = 200, expand: int = 24, entries: int = 8) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each valid query, its own id left out. `width` is what recall and cost hang on."""
+    rows, dim = valid_vectors(queries, id_col, vec_col, graph.dim)
+    rows = saved(rows, "queries")
+    total = rows.count()
+    if not dim or not total:
+        return graph.nodes.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # Equal queries are searched once, whatever their number; their ids stay rows of their own.
+    asked = saved(rows.groupBy("vec").agg(F.min("id").alias("q"), F.count(F.lit(1)).alias("n")).select("q", F.col("vec").alias("qv"), "n"), "asked")
+    best, _ = walk(graph, asked.select("q", "qv"), max(width, 2 * (k + 1)), expand, entries)
     # Twice as many as are asked for, so that steering never decides between near ties.
-    found = _nearest(seen, "q", 2 * (k + 1), "node").select("q", "node")
+    found = _nearest(best, "q", 2 * (k + 1), "node").select("q", "node")
     found = found.join(graph.nodes.select("node", "vec", "ids"), "node").join(asked, "q").mapInArrow(_distances, "q long, node long, ids array<long>, d double")
     near = found.groupBy("q").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("id")))))).alias("near"))
-    near = near.select("q", F.slice("near", 1, k + 1).alias("near")).join(asked, "q").select("qv", "near")
+    near = saved(near.select("q", F.slice("near", 1, k + 1).alias("near")).join(asked, "q").select("qv", "n", "near"), "lists")
+    # Vectors that more than a thousandth of the queries share are fewer than a thousand: broadcast, so that no task gathers their queries.
+    common = F.col("n") > total // 1000
+    often, seldom = near.filter(common).drop("n"), near.filter(~common).drop("n")
+    rest = rows.join(F.broadcast(often.select("qv")), F.col("vec") == F.col("qv"), "left_anti")
+    lists = rows.join(F.broadcast(often), F.col("vec") == F.col("qv")).unionAll(rest.join(seldom, F.col("vec") == F.col("qv")))
     # A list of k + 1 holds the k nearest of each of its queries, whose own id, if it is there, is left out.
-    mine = rows.join(near, rows.vec == near.qv).select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("at", "x"))
+    mine = lists.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("at", "x"))
     return mine.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"))
