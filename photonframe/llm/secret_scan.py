@@ -3,8 +3,8 @@
 From each rule's regular expression a Boolean query over trigrams is derived: what must occur in any text that matches (Cox, 2012).
 The index maps each trigram that some query uses to the documents whose lower-cased text holds it (postings); the postings of a clause
 hold the documents with its rarest trigram only, as others cannot satisfy it. Each query's clauses intersect postings as bits of the trigrams
-that a document brings. Documents that satisfy a query are candidates: their ids, counted and then broadcast (joined by shuffling beyond
-`BROADCAST_ROWS`), meet the texts where these lie, and the rule's regular expression verifies them. Rules without a mandatory trigram scan every text.
+that a document brings. Documents that satisfy a query are candidates: their ids, counted and then broadcast (beyond `BROADCAST_ROWS` as
+bits of their hashes, at most `FILTER_WORDS` words), meet the texts where these lie, and the rule's regular expression verifies them. Rules without a mandatory trigram scan every text.
 
 Spans are in code points, end exclusive. Matches of a rule are leftmost and do not overlap; rules do not shadow one another.
 Null and empty texts have no spans. Rows that repeat an id are scanned each (a candidate id is verified in all of its rows);
@@ -58,6 +58,8 @@ MORE = (
     Rule("url_login", r"://[A-Za-z0-9._~-]+:[A-Za-z0-9._~%!*-]{3,}@"),
 )
 BROADCAST_ROWS = 500_000
+#: Words of 64 bits that stand for any larger number of candidates (16 MB). Other ids with a candidate's bit are verified, too, and fail.
+FILTER_WORDS = 1 << 20
 #: Letters from common to rare; other characters count like the rare ones.
 _COMMON = "etaoinsrhdlucmfywgpbvkxqjz"
 #: Sets of exact strings and clauses stay below this many while a pattern is analysed; beyond, what is known is made weaker.
@@ -228,6 +230,16 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.filter(spans, lambda s: s["good"])
 
 
+def _word(name: str) -> Column:
+    """The word of the filter that holds an id's bit."""
+    return F.pmod(F.xxhash64(name), F.lit(FILTER_WORDS))
+
+
+def _bit(name: str) -> Column:
+    """An id's bit in its word, from another hash."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(name), F.lit(64)))
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, keep..., spans) of every row; spans: array<struct<start, ord, kind, end, good>> by start, then the rules' order."""
     if len(rules) > 60:
@@ -239,8 +251,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
     if indexed:
         index = postings(rows, sorted({c for q in indexed.values() for c in q}, key=sorted), "id", "text")
         found = saved(candidates(index, indexed), "candidates").withColumnRenamed("id", "cid")
-        rows = rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, F.expr("id = cid"), "left").drop("cid")
-        rows = rows.withColumn("kinds", F.when(F.col("id").isNull(), F.lit((1 << len(rules)) - 1).cast("long")).otherwise(F.coalesce("kinds", F.lit(0).cast("long"))))
+        every = F.lit((1 << len(rules)) - 1).cast("long")
+        if found.count() <= BROADCAST_ROWS:
+            rows = rows.join(F.broadcast(found), F.expr("id = cid"), "left").drop("cid")
+        else:
+            bits = found.groupBy(_word("cid").alias("word")).agg(F.bit_or(_bit("cid")).alias("bits"))
+            rows = rows.join(F.broadcast(bits), _word("id") == F.col("word"), "left").drop("word")
+            rows = rows.withColumn("kinds", F.when(F.col("bits").bitwiseAND(_bit("id")) != 0, every)).drop("bits")
+        rows = rows.withColumn("kinds", F.when(F.col("id").isNull(), every).otherwise(F.coalesce("kinds", F.lit(0).cast("long"))))
     none = F.array().cast("array<struct<start:long,ord:int,kind:string,end:long,good:boolean>>")
     parts = []
     for order, rule in enumerate(rules):

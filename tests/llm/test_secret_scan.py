@@ -81,12 +81,18 @@ def test_candidates_are_those_that_hold_a_clause(spark):
     assert all(ss.rarest(c) in c for c in clauses)
 
 
-def test_shuffled_candidates_give_the_same(spark, monkeypatch):
-    rows = [(i % 7 if i % 5 else None, f"n {i} token=abcdef{i}" if i % 3 else "none") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+def test_candidates_as_bits_give_the_same_and_no_text_is_shuffled(spark, monkeypatch):
+    """Few words of bits as well, in which ids without a secret share a candidate's bit."""
+    rows = [(i % 7 if i % 5 else None, f"n {i} token=abcdef{i}" if i % 3 else "none") for i in range(60)] + [(i, "none") for i in range(100, 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = sorted(map(str, ss.scan(df).collect()))
     monkeypatch.setattr(ss, "BROADCAST_ROWS", 0)
-    assert sorted(map(str, ss.scan(df).collect())) == want
+    for words in (ss.FILTER_WORDS, 2):
+        monkeypatch.setattr(ss, "FILTER_WORDS", words)
+        out = ss.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(map(str, out.collect())) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
 
 
 def test_redaction_and_plan(spark):
