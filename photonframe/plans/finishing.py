@@ -38,12 +38,19 @@ def part_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assembled_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    method = F.when(F.col("o_orderstatus") == "O", "imagemm").otherwise(F.lower("o_orderstatus"))
-    given = F.create_map(F.lit("mosaic"), F.lit("2x2"), F.lit("deconv_method"), method, F.lit("priority"), F.col("o_orderpriority"))
-    out = table(spark, sf_dir, "orders").select("o_orderkey", finishing.assembled_parameters(given).alias("p"))
-    return out.select("o_orderkey", F.size("p").cast("long").alias("n"), F.col("p")["mosaic"].alias("mosaic"), F.col("p")["deconv_method"].alias("method"), F.col("p")["priority"].alias("priority"))
+    """Each user's parameters after the assembly; events set parameters one by one, and the last value of each name holds."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (k % len(_NAMES) + 1).cast("int"))
+    value = F.when(F.col("value") < 20, "imagemm").otherwise(F.col("event_type"))
+    last = F.max(F.struct("ts", "event_id", value.alias("value")))["value"]
+    held = table(spark, sf_dir, "events").groupBy("user_id", name.alias("name")).agg(last.alias("value"))
+    maps = held.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("given"))
+    out = maps.select("user_id", F.size("given").cast("long").alias("given"), finishing.assembled_parameters(F.col("given")).alias("p"))
+    return out.select("user_id", "given", F.size("p").cast("long").alias("n"), *(F.try_element_at("p", F.lit(c)).alias(c) for c in _NAMES))
 
 
+_NAMES = ("mosaic", "deconv_method", "priority", "deconv_stars_method", "hypertune", "palette", "roi_crop_percent")
+
 QUERIES = {f.__name__: f for f in (centroid_offsets, black_point, finishing_decisions, object_snr, part_stacks, assembled_parameters)}
 
 ORACLES = {
@@ -67,5 +74,10 @@ ORACLES = {
     "part_stacks": """WITH g AS (SELECT l_orderkey AS px, count(*) FILTER (l_linenumber % 2 = 0) AS n0, count(*) FILTER (l_linenumber % 2 = 1) AS n1,
         sum(l_extendedprice * l_quantity) FILTER (l_linenumber % 2 = 0) / sum(l_quantity) FILTER (l_linenumber % 2 = 0) AS a, sum(l_extendedprice * l_quantity) FILTER (l_linenumber % 2 = 1) / sum(l_quantity) FILTER (l_linenumber % 2 = 1) AS b FROM lineitem GROUP BY l_orderkey)
       SELECT px, n0, n1, round(a, 6) AS mean0, round(b, 6) AS mean1, round((a - b) / 2, 6) AS noise FROM g""",
-    "assembled_parameters": """SELECT o_orderkey, 2 AS n, CAST(NULL AS VARCHAR) AS mosaic, CASE WHEN o_orderstatus = 'O' THEN 'auto' ELSE lower(o_orderstatus) END AS method, o_orderpriority AS priority FROM orders""",
+    "assembled_parameters": """WITH e AS (SELECT user_id, ts, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS j, CASE WHEN value < 20 THEN 'imagemm' ELSE event_type END AS value FROM events),
+      h AS (SELECT user_id, j, value FROM e QUALIFY row_number() OVER (PARTITION BY user_id, j ORDER BY ts DESC, event_id DESC) = 1)
+      SELECT user_id, count(*) AS given, count(*) FILTER (j IN (1, 2, 3, 5)) AS n, CAST(NULL AS VARCHAR) AS mosaic, CAST(NULL AS VARCHAR) AS hypertune, CAST(NULL AS VARCHAR) AS roi_crop_percent,
+        max(CASE WHEN j = 2 THEN value END) AS priority, max(CASE WHEN j = 5 THEN value END) AS palette,
+        max(CASE WHEN j = 1 THEN CASE value WHEN 'imagemm' THEN 'auto' ELSE value END END) AS deconv_method, max(CASE WHEN j = 3 THEN CASE value WHEN 'imagemm' THEN 'auto' ELSE value END END) AS deconv_stars_method
+      FROM h GROUP BY user_id""",
 }
