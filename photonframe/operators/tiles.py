@@ -17,9 +17,10 @@ from photonframe.operators import kernels
 COLUMNS = ("ty", "tx", "y0", "x0", "h", "w", "data")
 
 
-def from_pixels(pixels: DataFrame, keys: list[str], size: int, extent_of: list[str] | None = None) -> DataFrame:
+def from_pixels(pixels: DataFrame, keys: list[str], size: int, extent_of: list[str] | None = None, second: str | None = None) -> DataFrame:
     """Tiles of a long table (keys, y, x, v); missing pixels are not-a-number. An image reaches as far as its pixels do, or, with `extent_of`, as
-    far as those of all images that agree in these keys."""
+    far as those of all images that agree in these keys. With `second`, a column of another image of the same place, tiles hold complex64: `v`
+    as the real part, `second` as the imaginary one; `map_tiles` takes them with dtype complex64."""
     shared = keys if extent_of is None else extent_of
     df = pixels.withColumn("ty", F.floor(F.col("y") / size).cast("int")).withColumn("tx", F.floor(F.col("x") / size).cast("int"))
     extent = df.groupBy(*shared).agg(F.max("y").alias("__my"), F.max("x").alias("__mx"))
@@ -28,12 +29,13 @@ def from_pixels(pixels: DataFrame, keys: list[str], size: int, extent_of: list[s
         ty, tx = key[-2:]
         y0, x0 = ty * size, tx * size
         h, w = min(size, int(rows["__my"].iloc[0]) + 1 - y0), min(size, int(rows["__mx"].iloc[0]) + 1 - x0)
-        a = np.full((h, w), np.nan, np.float32)
-        a[rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0] = rows["v"]
+        a = np.full((h, w), np.nan, np.float32 if second is None else np.complex64)
+        v = rows["v"].to_numpy(float)
+        a[rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0] = v if second is None else v + 1j * rows[second].to_numpy(float)
         return pd.DataFrame([[*key, y0, x0, h, w, a.tobytes()]], columns=[*keys, *COLUMNS])
 
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "ty int, tx int, y0 int, x0 int, h int, w int, data binary"])
-    return df.join(extent, shared).select(*keys, "ty", "tx", "y", "x", "v", "__my", "__mx").groupBy(*keys, "ty", "tx").applyInPandas(build, schema)
+    return df.join(extent, shared).select(*keys, "ty", "tx", "y", "x", "v", *([second] if second else []), "__my", "__mx").groupBy(*keys, "ty", "tx").applyInPandas(build, schema)
 
 
 def to_pixels(tiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,14 +51,14 @@ def to_pixels(tiles: DataFrame, keys: list[str]) -> DataFrame:
     return tiles.select(*keys, *COLUMNS).mapInPandas(run, schema)
 
 
-def _pieces(keys: list[str], halo: int):
+def _pieces(keys: list[str], halo: int, dtype: type = np.float32):
     """Each tile itself, and for its neighbours the strips that they need."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                a = np.frombuffer(r.data, np.float32).reshape(r.h, r.w)
+                a = np.frombuffer(r.data, dtype).reshape(r.h, r.w)
                 for dy in (-1, 0, 1):
                     for dx in (-1, 0, 1):
                         ys = slice(0, r.h) if dy == 0 else slice(0, min(halo, r.h)) if dy < 0 else slice(max(0, r.h - halo), r.h)
@@ -68,12 +70,12 @@ def _pieces(keys: list[str], halo: int):
     return run
 
 
-def map_tiles(tiles: DataFrame, keys: list[str], halo: int, fn: Callable[[np.ndarray, dict], object], schema: str, rows: bool = False, border: str = "reflect") -> DataFrame:
+def map_tiles(tiles: DataFrame, keys: list[str], halo: int, fn: Callable[[np.ndarray, dict], object], schema: str, rows: bool = False, border: str = "reflect", dtype: type = np.float32) -> DataFrame:
     """fn(padded tile, its row) over all tiles: by default an array of the tile's own size, which becomes its data; with `rows`
     a list of tuples, which become rows (keys, schema). Beyond the image pixels reflect, or, with border "missing", are not-a-number.
     Only the eight neighbours send borders, so a halo is at most a tile wide."""
     types = ", ".join(f"{k} {tiles.schema[k].dataType.simpleString()}" for k in keys)
-    strips = tiles.select(*keys, *COLUMNS).mapInPandas(_pieces(keys, halo), f"{types}, ty int, tx int, y0 int, x0 int, h int, w int, data binary, own boolean")
+    strips = tiles.select(*keys, *COLUMNS).mapInPandas(_pieces(keys, halo, dtype), f"{types}, ty int, tx int, y0 int, x0 int, h int, w int, data binary, own boolean")
     names = [x.split()[0] for x in schema.split(", ")] if schema else []
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -83,11 +85,11 @@ def map_tiles(tiles: DataFrame, keys: list[str], halo: int, fn: Callable[[np.nda
         r = own.iloc[0]
         if len(group) > 1 and halo > max(group["h"].max(), group["w"].max()):
             raise ValueError(f"a halo of {halo} pixels needs larger tiles")
-        a = np.full((r.h + 2 * halo, r.w + 2 * halo), np.nan)
+        a = np.full((r.h + 2 * halo, r.w + 2 * halo), np.nan, np.result_type(dtype, float))
         known = np.zeros(a.shape, bool)
         for s in group.itertuples(index=False):
             y, x = s.y0 - r.y0 + halo, s.x0 - r.x0 + halo
-            part = np.frombuffer(s.data, np.float32).reshape(s.h, s.w)
+            part = np.frombuffer(s.data, dtype).reshape(s.h, s.w)
             ya, xa = max(0, y), max(0, x)
             yb, xb = min(a.shape[0], y + s.h), min(a.shape[1], x + s.w)
             if yb > ya and xb > xa:
@@ -103,7 +105,7 @@ def map_tiles(tiles: DataFrame, keys: list[str], halo: int, fn: Callable[[np.nda
         got = fn(padded, info)
         if rows:
             return pd.DataFrame([[*key[: len(keys)], *x] for x in got], columns=[*keys, *names])
-        return pd.DataFrame([[*key, r.y0, r.x0, r.h, r.w, np.ascontiguousarray(got, np.float32).tobytes()]], columns=[*keys, *COLUMNS])
+        return pd.DataFrame([[*key, r.y0, r.x0, r.h, r.w, np.ascontiguousarray(got, dtype).tobytes()]], columns=[*keys, *COLUMNS])
 
     out = f"{types}, {schema}" if rows else f"{types}, ty int, tx int, y0 int, x0 int, h int, w int, data binary"
     return strips.groupBy(*keys, "ty", "tx").applyInPandas(build, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonframe.operators import images, psf_field, restoration, starlight, tiles
+from photonframe.operators import fidelity, images, psf_field, restoration, starlight, tiles
 from photonframe.plans.tables import r6, table
 from photonframe.streaming import stack
 
@@ -58,6 +58,14 @@ def image_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(p, ["img", "y", "x"]).groupBy("img", "region").agg(F.count(F.lit(1)).alias("pixels"), F.sum("v").alias("light"))
 
 
+def structural_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a square-root stretch keeps the structure of the images, at four scales and in all."""
+    p = plane(spark, sf_dir).withColumn("f", F.floor(F.sqrt(F.col("v") / 5000) * 1024) / 1024)
+    levels = fidelity.fidelity(tiles.from_pixels(p, ["img"], 64, second="f"), ["img"], 4)
+    whole = fidelity.score(levels, ["img"])
+    return levels.join(whole, "img").select("img", "scale", *(F.round(c, 5).alias(c) for c in ("hits", "tmqi", "youden", "score")))
+
+
 def psf_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernels at the nodes of a field of 100 x 100 pixels, linear in the star's place."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -154,12 +162,34 @@ _LIGHT = f"""WITH {PLANE}, s AS (SELECT s_suppkey AS star_id, s_suppkey * 149 //
   l AS (SELECT img, star_id, count(*) FILTER (WHERE v > 0) AS pixels, sum(share * v) * (0.6::DOUBLE + 0.2::DOUBLE * (star_id % 5)) AS wanted FROM h JOIN plane USING (img, y, x) GROUP BY img, star_id)
   SELECT img, star_id, pixels, round(wanted, 3) AS wanted, 1.0::DOUBLE AS ratio FROM l WHERE wanted > 0"""
 
+_CDF = "CASE WHEN abs({0}) >= 6 THEN (sign({0}) + 1) / 2 ELSE 0.5 + sign({0}) / sqrt(2 * pi()) * exp(-({0}) * ({0}) / 2) * list_sum([exp((2 * k + 1) * ln(greatest(abs({0}), 1e-9)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)) for k in range(0, 100)]) END"
+_DOWN = """l{1} AS (SELECT img, (y + 1) // 2 AS y, (x + 1) // 2 AS x, avg(a) AS a, avg(b) AS b FROM l{0} JOIN (SELECT img, max(y) AS my, max(x) AS mx FROM l{0} GROUP BY img) USING (img)
+    WHERE (y + 1) // 2 * 2 <= my AND (x + 1) // 2 * 2 <= mx GROUP BY img, (y + 1) // 2, (x + 1) // 2)"""
+_FIDELITY = f"""WITH plane AS (SELECT o_orderkey // {_AREA} AS img, o_orderkey % {_AREA} // {_SIDE} AS y, o_orderkey % {_SIDE} AS x, floor(o_totalprice / 100) AS v FROM orders),
+  l0 AS (SELECT img, y, x, v AS a, floor(sqrt(v / 5000) * 1024) / 1024 AS b FROM plane), {_DOWN.format(0, 1)}, {_DOWN.format(1, 2)}, {_DOWN.format(2, 3)},
+  l AS (SELECT 0 AS scale, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3),
+  u AS (SELECT img, 4294967295.0::DOUBLE / (max(v) - min(v)) AS unit FROM plane GROUP BY img),
+  d AS (SELECT img, scale, sqrt(pi() / 2) / 6 * avg(abs(r)) AS sigma FROM (SELECT l.img, l.scale, sum(l.a * (CASE i WHEN 0 THEN -2 ELSE 1 END) * (CASE j WHEN 0 THEN -2 ELSE 1 END)) AS r
+    FROM l, range(-1, 2) s(i), range(-1, 2) t(j) GROUP BY l.img, l.scale, y + i, x + j HAVING count(*) = 9) GROUP BY img, scale),
+  g AS (SELECT k, exp(-k * k / 4.5::DOUBLE) / sum(exp(-k * k / 4.5::DOUBLE)) OVER () AS w FROM (SELECT unnest(range(-5, 6)) AS k)),
+  h AS (SELECT img, scale, y, x + k AS x, sum(w * a) AS a, sum(w * b) AS b, sum(w * a * a) AS aa, sum(w * b * b) AS bb, sum(w * a * b) AS ab FROM l, g GROUP BY img, scale, y, x + k HAVING count(*) = 11),
+  m AS (SELECT img, scale, y + k AS y, x, sum(w * a) AS a, sum(w * b) AS b, sum(w * aa) AS aa, sum(w * bb) AS bb, sum(w * ab) AS ab FROM h, g GROUP BY img, scale, y + k, x HAVING count(*) = 11),
+  e AS (SELECT img, scale, sqrt(greatest(aa - a * a, 0)) * unit AS s, sqrt(greatest(bb - b * b, 0)) * 255 AS f, (ab - a * b) * unit * 255 AS c, sigma * unit * (1 + 3 / sqrt(2 / (SELECT sum(w * w) ** 2 FROM g))) AS u1,
+    128 / (1.4 * 260 * (0.0192 + 0.114 * 16 / 2 ** scale) * exp(-((0.114 * 16 / 2 ** scale) ** 1.1::DOUBLE))) AS u2 FROM m JOIN u USING (img) JOIN d USING (img, scale)),
+  z AS (SELECT img, scale, (c + 10) / (s * f + 10) AS r, least(6, greatest(-6, (s - u1) / (u1 / 3))) AS zs, least(6, greatest(-6, (f - u2) / (u2 / 3))) AS zf FROM e),
+  p AS (SELECT img, scale, r, {_CDF.format("zs")} AS p, {_CDF.format("zf")} AS q FROM z),
+  t AS (SELECT img, scale, sum(p * q * greatest(0, least(1, r))) / sum(p) AS hits, avg((2 * p * q + 0.01) / (p * p + q * q + 0.01) * r) AS tmqi, sum((1 - p) * q) / greatest(sum(1 - p), 1e-9) AS alarms FROM p GROUP BY img, scale),
+  o AS (SELECT img, scale, hits, tmqi, hits - alarms AS youden, CASE scale WHEN 0 THEN 0.0448 WHEN 1 THEN 0.2856 WHEN 2 THEN 0.3001 ELSE 0.2363 END::DOUBLE AS w FROM (SELECT DISTINCT img, unnest(range(0, 4)) AS scale FROM plane) LEFT JOIN t USING (img, scale))
+  SELECT img, scale, round(hits, 5) AS hits, round(tmqi, 5) AS tmqi, round(youden, 5) AS youden,
+    round(sum(w * hits) OVER (PARTITION BY img) / sum(CASE WHEN hits IS NOT NULL THEN w END) OVER (PARTITION BY img) * 1.0001::DOUBLE, 5) AS score FROM o"""
+
 QUERIES = {
-    "local_contrast": local_contrast, "local_plane_fit": local_plane_fit, "starlet_planes": starlet_planes, "starlet_denoised": starlet_denoised, "nearest_valid": nearest_valid,
+    "structural_fidelity": structural_fidelity, "local_contrast": local_contrast, "local_plane_fit": local_plane_fit, "starlet_planes": starlet_planes, "starlet_denoised": starlet_denoised, "nearest_valid": nearest_valid,
     "image_regions": image_regions, "psf_nodes": psf_nodes, "saturated_stars": saturated_stars, "star_light": star_light, "incremental_stack": incremental_stack,
 }
 
 ORACLES = {
+    "structural_fidelity": _FIDELITY,
     "local_contrast": _CONTRAST,
     "local_plane_fit": _LOCAL,
     "starlet_planes": f"WITH {_STARLET} SELECT img, scale, y, x, round(v, 6) AS v FROM planes",
