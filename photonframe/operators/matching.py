@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonframe.sources import shared
+
 #: Rows of a dictionary or library up to which it is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -79,16 +81,46 @@ def with_cells(df: DataFrame, x: str, y: str, size: float, spread: bool = False)
     return df.withColumn("__c", F.explode(around)).withColumn("cx", F.col("__c.cx")).withColumn("cy", F.col("__c.cy")).drop("__c")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Left points (id, x, y) with the nearest right point (rid, rx, ry) within `radius`, ties to the smaller rid; null where none.
+#: Pairs of one cell that `nearest_within` compares before it looks in smaller cells first.
+CELL_PAIRS = 1_000_000
 
-    An equi-join on grid cells: a cell holds what lies within it, so dense fields want small radii.
-    """
+
+def _nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """(id, rid, dist) of the left points (id, x, y) that have right points within `radius`: an equi-join on cells of that size."""
     own, near = with_cells(left, "x", "y", radius), with_cells(right, "rx", "ry", radius, True)
     d = F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2))
     hits = own.join(near, ["cx", "cy"]).withColumn("dist", d).filter(F.col("dist") <= radius)
-    best = hits.groupBy("id").agg(F.min(F.struct("dist", "rid")).alias("b")).select("id", "b.rid", "b.dist")
-    return left.join(best, "id", "left")
+    return hits.groupBy("id").agg(F.min(F.struct("dist", "rid")).alias("b")).select("id", "b.rid", "b.dist")
+
+
+def _pairs(left: DataFrame, right: DataFrame, size: float) -> int:
+    """The most pairs that a cell of this size would compare: two aggregations over cells."""
+    own = with_cells(left, "x", "y", size).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    near = with_cells(right, "rx", "ry", size, True).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m"))
+    return own.join(near, ["cx", "cy"]).agg(F.max(F.col("n") * F.col("m"))).first()[0] or 0
+
+
+def nearest_within(left: DataFrame, right: DataFrame, radius: float, cell_pairs: int = CELL_PAIRS, halvings: int = 12) -> DataFrame:
+    """Left points (id, x, y) with the nearest right point (rid, rx, ry) within `radius`, ties to the smaller rid; null where none, or without a place.
+
+    One equi-join on cells of `radius` where no cell compares more than `cell_pairs` pairs. In a crowded field cells start smaller, halved until none
+    does (at most `halvings` times), and double from round to round up to `radius`: what is found within a cell's width is the nearest there is, so that
+    only points without anything so near go on. Right points at one place are one, that of the smallest rid. Ids may repeat; of rows with an id in common
+    the nearest right point of any counts, as it does without crowding."""
+    sites = right.filter("rx is not null and ry is not null").groupBy("rx", "ry").agg(F.min("rid").alias("rid"))
+    size, steps = radius, 0
+    while steps < halvings and _pairs(left, sites, size) > cell_pairs:
+        size, steps = size / 2, steps + 1
+    if not steps:
+        return left.join(_nearest(left, sites, radius), "id", "left")
+    sites = shared.kept(sites, "sites")
+    open_, found = left.filter("id is not null").select("id", "x", "y").distinct(), None
+    for step in range(steps, -1, -1):
+        got = shared.kept(_nearest(open_, sites, radius / 2**step), "nearest")
+        found = got if found is None else found.unionByName(got)
+        if step:
+            open_ = shared.kept(open_.join(got.select("id"), "id", "left_anti"), "open")
+    return left.join(found, "id", "left")
 
 
 def one_to_one(matches: DataFrame) -> DataFrame:
@@ -98,11 +130,22 @@ def one_to_one(matches: DataFrame) -> DataFrame:
 
 
 def isolated(points: DataFrame, radius: float) -> DataFrame:
-    """Points (id, x, y) without another within `radius`: an anti-join on grid cells."""
-    other = with_cells(points.select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy")), "ox", "oy", radius, True)
-    own = with_cells(points, "x", "y", radius)
-    close = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)) <= radius
-    return own.alias("p").join(other.alias("o"), (F.col("p.cx") == F.col("o.cx")) & (F.col("p.cy") == F.col("o.cy")) & (F.col("id") != F.col("oid")) & close, "left_anti").drop("cx", "cy")
+    """Points (id, x, y) without another id within `radius`; those without a place or an id are isolated, and those without an id crowd nobody.
+
+    Points of one cell of half the radius crowd each other, so that only a cell's single id is compared with the points of the cells around: the
+    work grows with the points, however crowded a cell."""
+    size = radius / 2
+    placed = with_cells(points.withColumn("__row", F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()), "x", "y", size)
+    cells = placed.filter("__row").groupBy("cx", "cy").agg(F.min("id").alias("__least"), F.max("id").alias("__most"))
+    single = cells.filter(F.col("__least") == F.col("__most")).select(F.col("__least").alias("id"), "cx", "cy")
+    lone = placed.filter("__row").join(single, ["id", "cx", "cy"], "left_semi").select("id", "x", "y", "cx", "cy").distinct()
+    steps = F.sequence(F.lit(-2), F.lit(2))
+    around = lone.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps)).withColumn("cy", F.col("cy") + F.col("__dy")).withColumn("cx", F.col("cx") + F.col("__dx"))
+    other = placed.filter("__row").select(F.col("id").alias("__oid"), F.col("x").alias("__ox"), F.col("y").alias("__oy"), "cx", "cy")
+    close = F.sqrt(F.pow(F.col("x") - F.col("__ox"), 2) + F.pow(F.col("y") - F.col("__oy"), 2)) <= radius
+    crowded = around.join(other, ["cx", "cy"]).filter((F.col("id") != F.col("__oid")) & close).select("id", "x", "y").distinct()
+    kept = lone.select("id", "x", "y").join(crowded, ["id", "x", "y"], "left_anti")
+    return points.filter("id is null or x is null or y is null").unionByName(points.join(kept, ["id", "x", "y"], "left_semi").select(*points.columns))
 
 
 def completeness(stars: DataFrame, keys: list[str], magnitude: str, found: str, step: float = 0.25, least: int = 10, rate: float = 0.5) -> DataFrame:

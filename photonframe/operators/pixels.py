@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonframe.operators import matching
+from photonframe.operators import matching, ranks, tiles
 from photonframe.sources import shared
 
 
@@ -86,14 +87,41 @@ def histogram_mode(pixels: DataFrame, keys: list[str], value: Column, bins: int,
     return peak.join(left, keys, "left").select(*keys, ((F.col("__at") + 0.5) / bins).alias("mode"), ((F.col("__half") + 0.5) / bins).alias("left_half"))
 
 
-def integer_shift(reference: DataFrame, image: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """(keys, dy, dx, corr): the whole-pixel shift of greatest correlation. Tables hold (keys, y, x, v); shifts are generated on one side
-    of an equi-join on pixels, so each pixel meets (2 reach + 1) squared others."""
-    shifts = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1))))
-    moved = image.withColumn("__s", shifts).select(*keys, (F.col("y") - F.col("__s.dy")).alias("y"), (F.col("x") - F.col("__s.dx")).alias("x"), F.col("v").alias("__v"), "__s.dy", "__s.dx")
-    both = reference.join(moved, [*keys, "y", "x"])
-    found = both.groupBy(*keys, "dy", "dx").agg(F.corr("v", "__v").alias("corr"), F.count(F.lit(1)).alias("n")).filter(F.col("corr").isNotNull())
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("corr"), "dy", "dx"))
+def integer_shift(reference: DataFrame, image: DataFrame, keys: list[str], reach: int, size: int = 256) -> DataFrame:
+    """(keys, dy, dx, corr): the whole-pixel shift of greatest correlation, at most `reach` each way, ties to the smaller one. Tables hold (keys, y, x, v).
+
+    Both images lie in one table of tiles (`reach` at most their `size`). Each tile correlates its part of the reference with the image and its halo by
+    Fourier transforms, for all shifts at once, and gives the sums that a correlation needs; they are added over tiles. Pixels missing on either side
+    have no say, of repeated ones the greatest value counts; a shift under which a side does not vary, or fewer than two pixels meet, has no correlation."""
+    both = reference.select(*keys, "y", "x", "v").unionByName(image.select(*keys, "y", "x", F.lit(None).cast("double").alias("v"), F.col("v").alias("__w")), allowMissingColumns=True)
+    both = both.groupBy(*keys, "y", "x").agg(F.max("v").cast("double").alias("v"), F.max("__w").cast("double").alias("__w"))
+    # Sums keep their digits around the images' means.
+    level = both.groupBy(*keys).agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("__mv"), F.coalesce(F.avg("__w"), F.lit(0.0)).alias("__mw"))
+    pairs = ranks.by_group(both, level, keys).select(*keys, "y", "x", (F.col("v") - F.col("__mv")).alias("v"), (F.col("__w") - F.col("__mw")).alias("__w"))
+    side = 2 * reach + 1
+
+    def sums(padded: np.ndarray, at: dict) -> list[tuple]:
+        a, b = padded.real.copy(), padded.imag
+        inside = np.zeros(a.shape, bool)
+        inside[reach : reach + at["h"], reach : reach + at["w"]] = True
+        ma, mb = inside & ~np.isnan(a), ~np.isnan(b)
+        a, b = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
+        shape = [n + 2 * reach for n in a.shape]
+        left = [np.conj(np.fft.rfft2(p, shape)) for p in (ma.astype(float), a, a * a)]
+        right = [np.fft.rfft2(p, shape) for p in (mb.astype(float), b, b * b)]
+        shifts = np.arange(-reach, reach + 1)
+        of = lambda i, j: np.fft.irfft2(left[i] * right[j], shape)[np.ix_(shifts, shifts)]
+        got = [np.rint(of(0, 0)), of(1, 0), of(0, 1), of(2, 0), of(0, 2), of(1, 1)]
+        return [(int(shifts[i]), int(shifts[j]), *(float(g[i, j]) for g in got)) for i in range(side) for j in range(side) if got[0][i, j] > 0]
+
+    schema = "dy int, dx int, n double, a double, b double, aa double, bb double, ab double"
+    part = tiles.map_tiles(tiles.from_pixels(pairs, keys, size, second="__w"), keys, reach, sums, schema, rows=True, border="missing", dtype=np.complex64)
+    total = part.groupBy(*keys, "dy", "dx").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")))
+    va, vb = (F.col(c * 2) - F.col(c) * F.col(c) / F.col("n") for c in ("a", "b"))
+    # What the transforms leave of an even image is rounding.
+    varies = (F.col("n") >= 2) & (va > 1e-9 * F.col("aa")) & (vb > 1e-9 * F.col("bb"))
+    found = total.filter(varies).withColumn("corr", (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.sqrt(va * vb))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("corr", 9).desc(), "dy", "dx"))
     return found.withColumn("__r", rank).filter(F.col("__r") == 1).select(*keys, "dy", "dx", "corr")
 
 

@@ -29,9 +29,11 @@ def from_pixels(pixels: DataFrame, keys: list[str], size: int, extent_of: list[s
         ty, tx = key[-2:]
         y0, x0 = ty * size, tx * size
         h, w = min(size, int(rows["__my"].iloc[0]) + 1 - y0), min(size, int(rows["__mx"].iloc[0]) + 1 - x0)
-        a = np.full((h, w), np.nan, np.float32 if second is None else np.complex64)
-        v = rows["v"].to_numpy(float)
-        a[rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0] = v if second is None else v + 1j * rows[second].to_numpy(float)
+        a = np.full((h, w), np.nan, np.float32) if second is None else np.full((h, w), complex(np.nan, np.nan), np.complex64)
+        place = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0
+        a.real[place] = rows["v"]
+        if second is not None:
+            a.imag[place] = rows[second]
         return pd.DataFrame([[*key, y0, x0, h, w, a.tobytes()]], columns=[*keys, *COLUMNS])
 
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "ty int, tx int, y0 int, x0 int, h int, w int, data binary"])
@@ -85,7 +87,7 @@ def map_tiles(tiles: DataFrame, keys: list[str], halo: int, fn: Callable[[np.nda
         r = own.iloc[0]
         if len(group) > 1 and halo > max(group["h"].max(), group["w"].max()):
             raise ValueError(f"a halo of {halo} pixels needs larger tiles")
-        a = np.full((r.h + 2 * halo, r.w + 2 * halo), np.nan, np.result_type(dtype, float))
+        a = np.full((r.h + 2 * halo, r.w + 2 * halo), complex(np.nan, np.nan) if dtype is np.complex64 else np.nan)
         known = np.zeros(a.shape, bool)
         for s in group.itertuples(index=False):
             y, x = s.y0 - r.y0 + halo, s.x0 - r.x0 + halo

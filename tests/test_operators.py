@@ -1,7 +1,9 @@
 """Boundary cases of the operators on small tables."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,29 @@ def test_priority_and_nearest(spark):
     assert [r.id for r in matching.isolated(left, 1.0).collect()] == [1]
 
 
+def test_crowded_fields(spark):
+    """One cell holds most points; answers are those of every pair."""
+    rng = random.Random(3)
+    spot = lambda: (50 + rng.gauss(0, 0.05), 50 + rng.gauss(0, 0.05))
+    wide = lambda: (rng.uniform(0, 100), rng.uniform(0, 100))
+    ls = [(i, *(spot() if i % 3 else wide())) for i in range(400)] + [(400, None, 1.0), (401, 50.0, 50.0), (401, 90.0, 3.0), (None, 50.0, 50.0)]
+    rs = [(i, *(spot() if i % 2 else wide())) for i in range(300)] + [(300, 50.0, 50.0), (301, 50.0, 50.0), (302, None, None)]
+    left, right = spark.createDataFrame(ls, "id int, x double, y double"), spark.createDataFrame(rs, "rid int, rx double, ry double")
+    far = lambda a, b: math.dist(a[1:], b[1:]) if None not in (*a[1:], *b[1:]) else math.inf
+    want = {}
+    for a in ls:
+        near = [(d, b[0]) for b in rs if (d := far(a, b)) <= 2.0]
+        want[a[0]] = min([*near, *([want[a[0]]] if want.get(a[0]) else [])], default=None) if a[0] is not None else None
+    for limit in (1_000_000, 500):
+        got = matching.nearest_within(left, right, 2.0, cell_pairs=limit).collect()
+        assert len(got) == len(ls)
+        for r in got:
+            assert (want[r.id] is None and r.rid is None) or (r.rid == want[r.id][1] and r.dist == pytest.approx(want[r.id][0])), (limit, r)
+    alone = sorted((str(a) for a in ls if a[0] is None or not any(b[0] is not None and b[0] != a[0] and far(a, b) <= 2.0 for b in ls)))
+    assert sorted(str(tuple(r)) for r in matching.isolated(left, 2.0).collect()) == alone and len(alone) > 20
+    assert matching.isolated(left.limit(0), 2.0).count() == matching.nearest_within(left.limit(0), right, 2.0).count() == 0
+
+
 def test_curves(spark):
     x = F.lit(0.3)
     got = one(spark, curves.mtf(F.lit(0.2), 0.2), curves.mtf(x, 0.5), curves.star_midtone(5), curves.ghs(F.lit(0.0), 4.0, 2.0, 0.2), curves.ghs(F.lit(1.0), 4.0, 2.0, 0.2), curves.unscreen(curves.screen(x, F.lit(0.4)), F.lit(0.4)), curves.snr_ladder(F.lit(3.0), 0.2, 0.8), curves.snr_ladder(F.lit(99.0), 0.2, 0.8))
@@ -153,6 +178,15 @@ def test_shift_and_hue(spark):
     b = a.select("k", (F.col("y") + 2).alias("y"), (F.col("x") - 1).alias("x"), (F.col("v") * 3 + 1).alias("v"))
     r = pixels.integer_shift(a, b, ["k"], 3).first()
     assert (r.dy, r.dx) == (2, -1) and r.corr == pytest.approx(1.0)
+    # Several tiles, gaps on both sides, an image of another key that does not vary.
+    rng_ = random.Random(5)
+    field = {(y, x): rng_.random() for y in range(44) for x in range(50)}
+    a = spark.createDataFrame([("p", y, x, v) for (y, x), v in field.items() if (y * 50 + x) % 11] + [("q", y, x, 1.0) for y in range(4) for x in range(4)], "k string, y int, x int, v double")
+    b = spark.createDataFrame([("p", y - 4, x + 3, 5000 - v) if (y + x) % 2 else ("p", y - 4, x + 3, 5000 + 9 * v) for (y, x), v in field.items() if y >= 4 and (y * 50 + x) % 7] + [("q", y, x, 1.0 * y) for y in range(4) for x in range(4)], "k string, y int, x int, v double")
+    got = pixels.integer_shift(a, b, ["k"], 5, 16).collect()
+    both = {r[1:3]: r[3] for r in b.filter("k = 'p'").collect()}
+    pairs = [(v, both[y - 4, x + 3]) for (y, x), v in field.items() if (y * 50 + x) % 11 and (y - 4, x + 3) in both]
+    assert [(r.k, r.dy, r.dx) for r in got] == [("p", -4, 3)] and got[0].corr == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1], abs=1e-6)
     h = lambda b_: spark.createDataFrame([("k", b_, 1.0)], "k string, bin int, share double")
     assert pixels.hue_distance(h(0), h(17), ["k"]).first().distance == pytest.approx(1 / 9)
     assert pixels.hue_distance(h(0), h(9), ["k"]).first().distance == pytest.approx(1.0)
