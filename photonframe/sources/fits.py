@@ -1,17 +1,22 @@
 """FITS headers and pixels as tables, and a writer.
 
-`read_headers` and `read_tiles` go through Spark's binaryFile reader, so they take any path that Spark can read. Where files lie on a
-mounted file system, the data source "fits_header" reads only the header blocks of each file.
+Files are listed by Spark's binaryFile reader. Headers are read block by block through streams (pyarrow's file systems: local, HDFS, object stores), so
+that a header costs a few kilobytes whatever the file's size; paths of other schemes, and pixels, come through Spark's reader whole. The image sink writes
+under the attempt's own folder and moves files into place when the whole job commits.
 """
 
 from __future__ import annotations
 
-import os
+import posixpath
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -80,15 +85,77 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", SUFFIXES).option("recursiveFileLookup", "true").load(path)
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """A row of HEADER_SCHEMA for every FITS file under `path`."""
+#: Schemes that pyarrow opens as streams; a path without one, or with "file", is local.
+STREAMS = ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss")
+#: Files whose headers one task reads.
+FILES_PER_TASK = 256
+#: Blocks of the longest header that is looked for (28 MB): a file without an END card is unreadable, not read whole.
+LONGEST = 10_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def scheme(path: str) -> str:
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+    return m[1].lower() if m else "file"
+
+
+def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path, and the path there. Spark writes local paths as "file:/a" or "file:///a", with plain names."""
+    if scheme(path) == "file":
+        return pyarrow.fs.LocalFileSystem(), re.sub("^file:(//(?=/))?", "", path)
+    return pyarrow.fs.FileSystem.from_uri(path)
+
+
+def header_blocks(path: str) -> bytes:
+    """The blocks of a file up to the one with the END card; all there is, where there is none within `LONGEST` blocks."""
+    return _blocks(*opened(path))
+
+
+def _blocks(system: pyarrow.fs.FileSystem, name: str) -> bytes:
+    data = bytearray()
+    with system.open_input_stream(name, buffer_size=4 * BLOCK) as f:
+        while len(data) < LONGEST * BLOCK and (block := f.read(BLOCK)):
+            data += block
+            if any(block[i : i + CARD].rstrip() == b"END" for i in range(0, len(block), CARD)):
+                break
+    return bytes(data)
+
+
+def streamed_row(path: str) -> dict:
+    """The header's row; a file that cannot be opened has a skip_reason."""
+    system, name = opened(path)
+    try:
+        return header_row(path, _blocks(system, name))
+    except OSError as e:
+        return header_row(path, b"") | {"skip_reason": f"unreadable: {e}"}
+
+
+def _listed(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{**r, "cards": list(r["cards"].items()) if r["cards"] is not None else None} for r in rows], schema=_HEADER_ARROW)
+
+
+def read_headers(spark: SparkSession, path: str, streamed: bool | None = None) -> DataFrame:
+    """A row of HEADER_SCHEMA for every FITS file under `path`. Where the scheme can be streamed only the header's blocks are read: the listing holds
+    no content, and its paths are dealt evenly over tasks; elsewhere, or with `streamed` false, files come whole. A file that cannot be opened has a
+    skip_reason; a file system that pyarrow lacks a library for is an error."""
+    listed = _files(spark, path)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [header_row(p.as_py(), c.as_py()) for p, c in zip(batch.column(0), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_pylist([{**r, "cards": list((r["cards"] or {}).items()) if r["cards"] is not None else None} for r in rows], schema=_HEADER_ARROW)
+            yield _listed([header_row(p.as_py(), c.as_py()) for p, c in zip(batch.column(0), batch.column(1), strict=True)])
 
-    return _files(spark, path).select("path", "content").mapInArrow(run, HEADER_SCHEMA)
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _listed([streamed_row(p.as_py()) for p in batch.column(0)])
+
+    if streamed is None:
+        # A path without a scheme lies where Hadoop's default says.
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        streamed = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() in STREAMS
+    if not streamed:
+        return listed.select("path", "content").mapInArrow(whole, HEADER_SCHEMA)
+    paths = listed.select("path")
+    # The reader packs files into tasks by their bytes; headers cost alike whatever the size.
+    return paths.repartition(max(1, -(-paths.count() // FILES_PER_TASK)), "path").mapInArrow(streams, HEADER_SCHEMA)
 
 
 _HEADER_ARROW = pa.schema(
@@ -138,7 +205,7 @@ def pixels_of(tiles: DataFrame) -> DataFrame:
 
 
 class HeaderSource(DataSource):
-    """spark.read.format("fits_header").option("path", folder): reads header blocks only, by open()."""
+    """spark.read.format("fits_header").option("path", folder): header blocks only, through streams of any scheme of `STREAMS`."""
 
     @classmethod
     def name(cls) -> str:
@@ -158,28 +225,25 @@ class _Files(InputPartition):
 
 class HeaderReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root, self.batch = options["path"], int(options.get("filesPerPartition", 256))
+        self.root, self.batch = options["path"], int(options.get("filesPerPartition", FILES_PER_TASK))
 
     def partitions(self) -> list[InputPartition]:
+        system, folder = opened(self.root)
         ends = tuple(s.lower() for s in (".fit", ".fits", ".fts"))
-        found = sorted(os.path.join(d, f) for d, _, names in os.walk(self.root) for f in names if f.lower().endswith(ends))
-        return [_Files(found[i : i + self.batch]) for i in range(0, len(found), self.batch)] or [_Files([])]
+        found = sorted(i.path for i in system.get_file_info(pyarrow.fs.FileSelector(folder, recursive=True)) if i.is_file and i.path.lower().endswith(ends))
+        # Other schemes' paths come without scheme and host.
+        base = "" if scheme(self.root) == "file" else self.root[: len(self.root.rstrip("/")) - len(folder.rstrip("/"))]
+        return [_Files([base + p for p in found[i : i + self.batch]]) for i in range(0, len(found), self.batch)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         for path in partition.paths:
-            data = b""
-            with open(path, "rb") as f:
-                while block := f.read(BLOCK):
-                    data += block
-                    if any(data[i : i + CARD].rstrip() == b"END" for i in range(len(data) - BLOCK, len(data), CARD)):
-                        break
-            r = header_row(path, data)
+            r = streamed_row(path)
             yield tuple(r[k] for k in ("path", "cards", "bitpix", "naxis", "naxis1", "naxis2", "naxis3", "bzero", "bscale", "skip_reason"))
 
 
 class ImageSink(DataSource):
-    """df.write.format("fits_image").mode("append").save(folder): rows (name, cards, shape, data float32) become files,
-    written under a temporary name and renamed when whole."""
+    """df.write.format("fits_image").mode("append").save(folder): rows (name, cards, shape, data float32) become files. Tasks write below a folder of
+    the job; its commit moves the files of the attempts that succeeded into place, so that failed and repeated attempts leave nothing behind."""
 
     @classmethod
     def name(cls) -> str:
@@ -189,18 +253,42 @@ class ImageSink(DataSource):
         return ImageWriter(self.options["path"])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """What an attempt wrote: its folder and the names in it."""
+
+    folder: str
+    names: list[str]
+
+
 class ImageWriter(DataSourceWriter):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file:")
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        self.path, self.job = path.rstrip("/"), f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, rows: Iterator) -> Written:
+        system, root = opened(self.path)
+        task = TaskContext.get()
+        folder = f"{root}/{self.job}/{task.partitionId() if task else 0}-{task.taskAttemptId() if task else 0}"
+        system.create_dir(folder, recursive=True)
+        names = []
         for r in rows:
-            target = os.path.join(self.path, os.path.basename(r.name))
-            with open(f"{target}.{os.getpid()}.part", "wb") as f:
+            name = posixpath.basename(r.name)
+            with system.open_output_stream(f"{folder}/{name}") as f:
                 f.write(encode(np.frombuffer(r.data, np.float32).reshape(tuple(r.shape)), dict(r.cards or {})))
-            os.replace(f"{target}.{os.getpid()}.part", target)
-        return WriterCommitMessage()
+            names.append(name)
+        return Written(folder, sorted(set(names)))
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, root = opened(self.path)
+        for m in messages:
+            for name in m.names if m else ():
+                system.move(f"{m.folder}/{name}", f"{root}/{name}")
+        system.delete_dir(f"{root}/{self.job}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, root = opened(self.path)
+        if system.get_file_info(f"{root}/{self.job}").type == pyarrow.fs.FileType.Directory:
+            system.delete_dir(f"{root}/{self.job}")
 
 
 def register(spark: SparkSession) -> None:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from photonframe.sources import fits, sequences
@@ -23,6 +24,8 @@ def test_headers_tiles_and_round_trip(spark, tmp_path):
     root = files(tmp_path)
     heads = fits.read_headers(spark, str(root))
     assert heads.count() == 6
+    by_path = lambda df: {r.path: r.asDict() for r in df.collect()}
+    assert by_path(heads) == by_path(fits.read_headers(spark, str(root), streamed=False))
     rows = {r.name: r for r in fits.frame_rows(heads).collect()}
     assert rows["frame_0.fits"].exptime == 300 and rows["frame_0.fits"].object == "m31" and rows["frame_0.fits"].skip_reason is None
     assert rows["dark_1.fit"].skip_reason == "calibration file" and rows["broken.fts"].skip_reason.startswith("unreadable")
@@ -53,6 +56,40 @@ def test_data_sources(spark, tmp_path):
     assert np.array_equal(fits.decode((out / "a.fits").read_bytes())[0], image(7))
 
 
+def test_headers_cost_no_pixels(spark, tmp_path):
+    """A file whose pixels cannot be read whole (a hole of 3 GB) gives its header; one without END is not read to its end."""
+    head = fits.encode(np.zeros((2, 2), np.float32), {"OBJECT": "x"})[: 2 * fits.BLOCK][: fits.BLOCK]
+    with open(tmp_path / "big one.fits", "wb") as f:
+        f.write(head)
+        f.truncate(3 << 30)
+    with open(tmp_path / "endless.fits", "wb") as f:
+        f.truncate(1 << 30)
+    rows = {r.path.split("/")[-1]: r for r in fits.read_headers(spark, str(tmp_path)).collect()}
+    big = next(r for n, r in rows.items() if n.startswith("big"))
+    assert big.cards["OBJECT"] == "x" and big.skip_reason is None and rows["endless.fits"].skip_reason.startswith("unreadable")
+    assert len(fits.header_blocks(f"file:{tmp_path}/big one.fits")) == fits.BLOCK
+    assert fits.streamed_row(f"file://{tmp_path}/none.fits")["skip_reason"].startswith("unreadable")
+    (tmp_path / "empty").mkdir()
+    fits.register(spark)
+    assert spark.read.format("fits_header").option("path", str(tmp_path / "empty")).load().count() == 0
+
+
+def test_sink_commits_or_leaves_nothing(spark, tmp_path):
+    fits.register(spark)
+    schema = "name string, cards map<string,string>, shape array<int>, data binary"
+    out = tmp_path / "out"
+    good = [(f"{i}.fits", {}, [40, 60], image(i).tobytes()) for i in range(6)]
+    spark.createDataFrame(good, schema).repartition(3).write.format("fits_image").mode("append").save(f"file://{out}")
+    assert sorted(p.name for p in out.iterdir()) == [f"{i}.fits" for i in range(6)]
+    bad = [("7.fits", {}, [40, 60], image(7).tobytes()), ("8.fits", {}, [41, 60], image(8).tobytes())]
+    with pytest.raises(Exception, match="reshape"):
+        spark.createDataFrame(bad, schema).coalesce(1).write.format("fits_image").mode("append").save(str(out))
+    assert sorted(p.name for p in out.iterdir()) == [f"{i}.fits" for i in range(6)]
+    # A file of the same name is replaced when the job commits.
+    spark.createDataFrame([("0.fits", {}, [40, 60], image(9).tobytes())], schema).write.format("fits_image").mode("append").save(str(out))
+    assert np.array_equal(fits.decode((out / "0.fits").read_bytes())[0], image(9))
+
+
 def test_sequences(spark, tmp_path):
     h = "H 1 0 0.5 0 1 -0.5 0 0 1"
     (tmp_path / "a.seq").write_text(f"#comment\nS 'r_' 1 3 2 5 -1 4 0 0\nL 2\nI 1 1 100,80\nI 2 0\nI 3 1\nR0 0 0 0 0 0 0 {h}\nR0 0 0 0 0 0 0 {h}\nR0 2 2 1 0 0 1 {h}\nR1 3.1 3.5 0.9 0.5 100 44 {h}\nR1 nan inf 0.8 0 0 10 {h}\nR1 2.9 3.0 0.9 0 0 50 H 1 0\nM0-1 1 2 3\nX ?\n")
