@@ -93,11 +93,15 @@ def _nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return hits.groupBy("id").agg(F.min(F.struct("dist", "rid")).alias("b")).select("id", "b.rid", "b.dist")
 
 
-def _pairs(left: DataFrame, right: DataFrame, size: float) -> int:
-    """The most pairs that a cell of this size would compare: two aggregations over cells."""
+def _crowded(left: DataFrame, right: DataFrame, size: float, cell_pairs: int) -> bool:
+    """Whether a cell of this size would compare more than `cell_pairs` pairs; cells are joined only where the fullest ones of both sides leave that open."""
     own = with_cells(left, "x", "y", size).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    fullest = own.agg(F.max("n").alias("n")).unionAll(with_cells(right, "rx", "ry", size).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")))
+    n, m = (r.n or 0 for r in fullest.collect())
+    if n * 9 * m <= cell_pairs:
+        return False
     near = with_cells(right, "rx", "ry", size, True).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m"))
-    return own.join(near, ["cx", "cy"]).agg(F.max(F.col("n") * F.col("m"))).first()[0] or 0
+    return (own.join(near, ["cx", "cy"]).agg(F.max(F.col("n") * F.col("m"))).first()[0] or 0) > cell_pairs
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, cell_pairs: int = CELL_PAIRS, halvings: int = 12) -> DataFrame:
@@ -105,15 +109,14 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, cell_pairs:
 
     One equi-join on cells of `radius` where no cell compares more than `cell_pairs` pairs. In a crowded field cells start smaller, halved until none
     does (at most `halvings` times), and double from round to round up to `radius`: what is found within a cell's width is the nearest there is, so that
-    only points without anything so near go on. Right points at one place are one, that of the smallest rid. Ids may repeat; of rows with an id in common
+    only points without anything so near go on. There, right points at one place are one, that of the smallest rid. Ids may repeat; of rows with an id in common
     the nearest right point of any counts, as it does without crowding."""
-    sites = right.filter("rx is not null and ry is not null").groupBy("rx", "ry").agg(F.min("rid").alias("rid"))
+    if not _crowded(left, right, radius, cell_pairs):
+        return left.join(_nearest(left, right, radius), "id", "left")
+    sites = shared.kept(right.filter("rx is not null and ry is not null").groupBy("rx", "ry").agg(F.min("rid").alias("rid")), "sites")
     size, steps = radius, 0
-    while steps < halvings and _pairs(left, sites, size) > cell_pairs:
+    while steps < halvings and _crowded(left, sites, size, cell_pairs):
         size, steps = size / 2, steps + 1
-    if not steps:
-        return left.join(_nearest(left, sites, radius), "id", "left")
-    sites = shared.kept(sites, "sites")
     open_, found = left.filter("id is not null").select("id", "x", "y").distinct(), None
     for step in range(steps, -1, -1):
         got = shared.kept(_nearest(open_, sites, radius / 2**step), "nearest")
