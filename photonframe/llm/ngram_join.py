@@ -33,6 +33,8 @@ BROADCAST_ROWS = 1_000_000
 SEEDS = 3
 #: A key is hot if it has more than 1 / HOT_SHARE of the sampled rows of repeated keys, so that there are fewer than HOT_SHARE hot keys.
 SAMPLE, HOT_SHARE = 64, 20_000
+#: Rows (key, set) that a task sorts at once, about; more of them are dealt over more tasks than the session's number of partitions.
+TASK_KEYS = 500_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -145,7 +147,7 @@ def tile_forest(sizes: np.ndarray, maps: np.ndarray, num: int, den: int, sets: l
 
 
 def _features(n: int, num: int, den: int):
-    """Size, two sums that name the set, bitmap and packed tile keys of each text."""
+    """Size, two sums that name the set, bitmap, packed tile keys and their number, of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows, highs = bands(num, den)
@@ -156,8 +158,8 @@ def _features(n: int, num: int, den: int):
                 links = [len(s) >= lows[0] for s in sets]
                 bits = [bitmap(s, width(len(s), 4)).tobytes() if ok else None for s, ok in zip(sets, links, strict=True)]
                 keys = [keys_of(s, num, den, lows, highs).tobytes() if ok else None for s, ok in zip(sets, links, strict=True)]
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), part.column(part.schema.get_field_index("h")), *columns], ["id", "h", "n", "s1", "s2", "bits", "keys"])
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(bits, pa.binary()), pa.array(keys, pa.binary()), pa.array([len(k) // 8 if k else 0 for k in keys], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), part.column(part.schema.get_field_index("h")), *columns], ["id", "h", "n", "s1", "s2", "bits", "keys", "count"])
 
     return run
 
@@ -215,6 +217,12 @@ def _tiled(members: DataFrame, rows: DataFrame, num: int, den: int, exact: bool)
     return rows.mapInArrow(_tiles(num, den, exact), "a long, b long")
 
 
+def _dealt(rows: DataFrame, count: int, *keys: str) -> DataFrame:
+    """`rows`, of which there are `count`, by `keys` over as many tasks as give each TASK_KEYS; a session of enough partitions deals them itself."""
+    tasks = -(-count // TASK_KEYS)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def ngram_classes(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row: set size, and smallest id reachable by links of Jaccard
     similarity at least similarity[0] / similarity[1]."""
@@ -247,13 +255,13 @@ def _groups(docs: DataFrame, n: int, similarity: tuple[int, int], id_col: str, t
     if not 0 < num <= den:
         raise ValueError("similarity is a fraction above 0, at most 1")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    feats = base.mapInArrow(_features(n, num, den), "id long, h long, n long, s1 long, s2 long, bits binary, keys binary")
+    feats = base.mapInArrow(_features(n, num, den), "id long, h long, n long, s1 long, s2 long, bits binary, keys binary, count long")
     feats = saved(feats.withColumn("row", F.monotonically_increasing_id()), "shingles")
-    classes = saved(feats.groupBy("n", "s1", "s2").agg(F.min("row").alias("class"), F.min("id").alias("low")), "classes")
+    classes = saved(feats.groupBy("n", "s1", "s2").agg(F.min("row").alias("class"), F.min("id").alias("low"), F.max("count").alias("count")), "classes")
     # Rows that do not stand for their class leave before any key is spread out.
-    copies = saved(feats.filter("keys is not null").select("row").join(classes.select(F.col("class").alias("row")), "row", "left_anti"), "copies")
+    copies = saved(feats.filter("count > 0").select("row").join(classes.select(F.col("class").alias("row")), "row", "left_anti"), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    unique = feats.filter("keys is not null").join(copies, "row", "left_anti")
+    unique = feats.filter("count > 0").join(copies, "row", "left_anti")
     make = lambda rows: rows.select(F.col("row").alias("id"), "keys").mapInArrow(_keys, "id long, key long")
     # Keys that more than one in HOT_SHARE rows has are found on every SAMPLE-th class by hash. Any set with the key can be its
     # pivot, so theirs is fixed beforehand and their rows are spread over tasks; no window gathers them. Others take the smallest set.
@@ -263,7 +271,8 @@ def _groups(docs: DataFrame, n: int, similarity: tuple[int, int], id_col: str, t
     hot = saved(counted.crossJoin(F.broadcast(total)).filter(F.col("c") * HOT_SHARE > F.col("total")).select("key", "pivot"), "hot", (counted,))
     keyed = make(unique).join(F.broadcast(hot), "key", "left")
     salt = F.when(F.col("pivot").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(4096)).cast("int") + 1)
-    keyed = keyed.withColumn("g", F.coalesce("pivot", F.min("id").over(Window.partitionBy("key", salt)))).filter("g <> id")
+    keyed = _dealt(keyed.withColumn("salt", salt), classes.agg(F.sum("count")).first()[0] or 0, "key", "salt")
+    keyed = keyed.withColumn("g", F.coalesce("pivot", F.min("id").over(Window.partitionBy("key", "salt")))).filter("g <> id")
     stars = saved(keyed.select("g", "id").distinct(), "stars", (hot,))
     stars = stars.unionAll(stars.select("g", F.col("g").alias("id")).distinct())
     maps = unique.select(F.col("row").alias("id"), "n", "bits").join(stars.select("id").distinct(), "id", "left_semi")

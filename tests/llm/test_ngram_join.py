@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -32,6 +35,30 @@ def test_blocks_and_seeds_change_nothing(spark, monkeypatch):
     assert {i: c for i, (_, c) in run(spark, texts, 4, (85, 100)).items()} == want
 
 
+def test_many_keys_are_sorted_in_small_tasks_and_read_no_more_than_needed(spark, monkeypatch):
+    """More keys than the session's partitions hold are dealt over more tasks; only steps that spread keys out read them."""
+    texts = near_copies(5, families=2, members=20, words=40)
+    sets = {i: shingles(t, 4) for i, t in enumerate(texts)}
+    plans, plain = {}, nj.saved
+
+    def saved(df, name="stage", replaces=()):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, replaces)
+
+    monkeypatch.setattr(nj, "saved", saved)
+    few = run(spark, texts, 4, (85, 100))
+    assert "REPARTITION_BY_NUM" not in plans["stars"]
+    assert {name for name, plan in plans.items() if "keys:binary" in plan} <= {"shingles", "counts", "stars"}
+    plans.clear()
+    lows, highs = nj.bands(85, 100)
+    distinct = {frozenset(s): t for s, t in zip(sets.values(), texts, strict=True)}.values()
+    keys = sum(len(nj.keys_of(s, 85, 100, lows, highs)) for s in nj.shingle_sets(pa.array(list(distinct)), 4))
+    monkeypatch.setattr(nj, "TASK_KEYS", 20)
+    assert run(spark, texts, 4, (85, 100)) == few == {i: (len(sets[i]), c) for i, c in components(list(sets), sets, 85, 100).items()}
+    parts = [int(n) for n in re.findall(r"hashpartitioning\(key#\d+L?, salt#\d+, (\d+)\)", plans["stars"])]
+    assert parts == [-(-keys // 20)] and parts[0] > 4
+
+
 def test_every_linked_pair_shares_a_key():
     rng = np.random.default_rng(3)
     for num, den in ((85, 100), (80, 100), (60, 100)):
