@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonframe.operators import ranks
 from photonframe.operators.robust import MAD_SCALE
 
 
@@ -121,13 +122,12 @@ def best_overlap(cells: DataFrame, keys: list[str], choice: str, a: str, b: str)
     return ious.withColumn("__r", rank).filter(F.col("__r") == 1).drop("__r")
 
 
-def fill_nearest(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Rows with `filled`: missing values take that of the nearest row in order, the earlier one on ties."""
-    part = Window.partitionBy(*keys).orderBy(order)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    df = rows.withColumn("__b", F.last(known, True).over(part.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__a", F.first(known, True).over(part.rowsBetween(0, Window.unboundedFollowing)))
-    nearer = F.col("__b").isNotNull() & (F.col("__a").isNull() | (F.col(order) - F.col("__b.o") <= F.col("__a.o") - F.col(order)))
-    return df.withColumn("filled", F.when(nearer, F.col("__b.v")).otherwise(F.col("__a.v"))).drop("__a", "__b")
+def fill_nearest(rows: DataFrame, keys: list[str], order: str, value: str, plain: bool | None = None) -> DataFrame:
+    """Rows with `filled`: missing values take that of the nearest row in order (a number), the earlier one on ties."""
+    known = F.when(F.col(value).isNotNull() & F.col(order).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
+    df = ranks.around(rows, keys, order, known, "__before", "__after", plain=plain)
+    nearer = F.col("__before").isNotNull() & (F.col("__after").isNull() | (F.col(order) - F.col("__before.o") <= F.col("__after.o") - F.col(order)))
+    return df.withColumn("filled", F.when(nearer, F.col("__before.v")).otherwise(F.col("__after.v"))).drop("__before", "__after")
 
 
 def largest_passing(low: Column | float, high: Column | float, passes: Callable[[Column], Column], steps: int = 5) -> Column:

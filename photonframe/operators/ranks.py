@@ -89,12 +89,8 @@ def with_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: st
     return by_group(df, quantiles(df, keys, value, {name: q}, plain=plain).select(*keys, name), keys)
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, *ties: str, name: str = "rank", total: str = "n", bits: int = BUCKET_BITS, plain: bool | None = None) -> DataFrame:
-    """Rows with their rank (from 1, nulls first) in their group by `value` (a number), then `ties`, and the size of the group."""
-    if keys and (small(df, keys) if plain is None else plain):
-        part = Window.partitionBy(*keys)
-        return df.withColumn(total, F.count(F.lit(1)).over(part)).withColumn(name, F.row_number().over(part.orderBy(value, *ties)))
-    v = F.col(value).cast("double")
+def _bucketed(df: DataFrame, keys: list[str], v: Column, nulls: int, total: str, bits: int) -> DataFrame:
+    """Rows with `__b`, the bucket of `v` in their group by its sketch (`nulls` where it is null), and the size of the group."""
     edges = F.percentile_approx(v, F.array(*(F.lit((i + 1) / (1 << bits)) for i in range((1 << bits) - 1))), ACCURACY)
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total), edges.alias("__e"))
     inside = by_group(df, groups, keys)
@@ -102,7 +98,16 @@ def ranked(df: DataFrame, keys: list[str], value: str, *ties: str, name: str = "
     inside = inside.withColumn("__b", F.lit(0))
     for bit in reversed(range(bits)):
         inside = inside.withColumn("__b", F.col("__b") + F.when(F.get("__e", F.col("__b") + (1 << bit) - 1) < v, 1 << bit).otherwise(0))
-    inside = inside.withColumn("__b", F.when(v.isNull(), -1).when(F.col(total) <= ACCURACY, 0).otherwise(F.col("__b"))).drop("__e")
+    return inside.withColumn("__b", F.when(v.isNull(), nulls).when(F.col(total) <= ACCURACY, 0).otherwise(F.col("__b"))).drop("__e")
+
+
+def ranked(df: DataFrame, keys: list[str], value: str, *ties: str, name: str = "rank", total: str = "n", bits: int = BUCKET_BITS, plain: bool | None = None) -> DataFrame:
+    """Rows with their rank (from 1, nulls first) in their group by `value` (a number), then `ties`, and the size of the group."""
+    if keys and (small(df, keys) if plain is None else plain):
+        part = Window.partitionBy(*keys)
+        return df.withColumn(total, F.count(F.lit(1)).over(part)).withColumn(name, F.row_number().over(part.orderBy(value, *ties)))
+    v = F.col(value).cast("double")
+    inside = _bucketed(df, keys, v, -1, total, bits)
     counts = inside.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = F.sum("__c").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(*keys, "__b", F.coalesce(before, F.lit(0)).alias("__o"))
@@ -111,6 +116,28 @@ def ranked(df: DataFrame, keys: list[str], value: str, *ties: str, name: str = "
     return out.withColumn(name, F.col("__o") + number).drop("__b", "__o")
 
 
+def around(df: DataFrame, keys: list[str], order: str, known: Column, before: str, after: str, bits: int = BUCKET_BITS, plain: bool | None = None) -> DataFrame:
+    """Rows with the last `known` value at or before them in their group's order (a number, nulls last), and the first at or after them.
+
+    `known` is null, or a struct that begins with the order. Rows of one order are taken by it. In a large group windows end with a bucket; what lies
+    before and after it comes from the buckets' first and last values. Either way a row costs one step each way."""
+    up, down = (F.col(order).asc_nulls_last(), known.asc_nulls_first()), (F.col(order).desc_nulls_first(), known.desc_nulls_last())
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    if keys and (small(df, keys) if plain is None else plain):
+        part = Window.partitionBy(*keys)
+        return df.withColumns({before: F.last(known, True).over(part.orderBy(*up).rowsBetween(*so_far)), after: F.last(known, True).over(part.orderBy(*down).rowsBetween(*so_far))})
+    inside = _bucketed(df, keys, F.col(order).cast("double"), 1 << bits, "__t", bits).drop("__t")
+    ends = inside.withColumn("__k", known).filter("__k is not null").groupBy(*keys, "__b").agg(F.min("__k").alias("__first"), F.max("__k").alias("__last"))
+    ends = by_group(inside.select(*keys, "__b").distinct(), ends, [*keys, "__b"], "left")
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    others = (Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "__b", F.last("__last", True).over(part.orderBy("__b").rowsBetween(*others)).alias("__low"), F.last("__first", True).over(part.orderBy(F.desc("__b")).rowsBetween(*others)).alias("__high"))
+    own = Window.partitionBy(*keys, "__b")
+    out = by_group(inside, ends, [*keys, "__b"])
+    found = {before: (up, "__low"), after: (down, "__high")}
+    return out.withColumns({name: F.coalesce(F.last(known, True).over(own.orderBy(*way).rowsBetween(*so_far)), beyond) for name, (way, beyond) in found.items()}).drop("__b", "__low", "__high")
+
+
 def ntile(rank: Column, n: Column, parts: int) -> Column:
     """The part (from 1) of a rank among n rows: equal counts, the first parts larger."""
     small, larger = F.floor(n / parts), n % parts
