@@ -60,23 +60,52 @@ def _windowed(a: np.ndarray) -> np.ndarray:
 
 
 def _halved(a: np.ndarray, first_y: int | None, first_x: int | None) -> np.ndarray:
-    """Means of pixels 2i - 1 and 2i each way; the image's first row and column stand for the one before, `first_*` being where they lie in `a`."""
+    """Means of pixels 2i - 1 and 2i each way, of those that are not missing; the image's first row and column stand for the one before, `first_*`
+    being where they lie in `a`."""
     if first_y:
         a[first_y - 1] = a[first_y]
     if first_x:
         a[:, first_x - 1] = a[:, first_x]
-    out = np.full(((a.shape[0] + 1) // 2, (a.shape[1] + 1) // 2), np.nan + 0j)
+    there = ~np.isnan(a)
+    out = np.full(((a.shape[0] + 1) // 2, (a.shape[1] + 1) // 2), np.nan + 1j * np.nan)
     y, x = slice(2, None, 2), slice(2, None, 2)
     before_y, before_x = slice(1, a.shape[0] - 1, 2), slice(1, a.shape[1] - 1, 2)
     ny, nx = len(range(*y.indices(a.shape[0]))), len(range(*x.indices(a.shape[1])))
-    out[1 : 1 + ny, 1 : 1 + nx] = (a[y, x] + a[before_y, x][:ny] + a[y, before_x][:, :nx] + a[before_y, before_x][:ny, :nx]) / 4
+    four = lambda a: a[y, x] + a[before_y, x][:ny] + a[y, before_x][:, :nx] + a[before_y, before_x][:ny, :nx]
+    n, total = four(there.astype(int)), four(np.where(there, a, 0))
+    out[1 : 1 + ny, 1 : 1 + nx][n > 0] = total[n > 0] / n[n > 0]
+    return out
+
+
+def _last(data: pd.Series, y0: pd.Series, x0: pd.Series, h: pd.Series, w: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """The last row and column that a tile's pixels reach one level below those whose last ones are given; -1 without any."""
+    out = []
+    for d, top, left, rows, columns, end in zip(data, y0, x0, h, w, ends):
+        y, x = np.nonzero(~np.isnan(np.frombuffer(d, np.complex64).reshape(rows, columns)))
+        y, x, end = y + top, x + left, [int(e) for e in end.split()]
+        for my, mx in zip(end[::2], end[1::2]):
+            y, x = (y + 1) // 2, (x + 1) // 2
+            inside = (2 * y <= my) & (2 * x <= mx)
+            y, x = y[inside], x[inside]
+        out.append((y.max(), x.max()) if len(y) else (-1, -1))
+    return pd.DataFrame(out, columns=["y", "x"])
+
+
+def extents(pairs: DataFrame, keys: list[str], scales: int) -> DataFrame:
+    """(keys, ends): the last row and column of all levels but the last, as text. A level's pixel stands for up to four of the level before, the last
+    of which may be missing but must not lie beyond that level's last row and column; with gaps these move."""
+    out = pairs.groupBy(*keys).agg(F.concat_ws(" ", F.max(F.col("y0") + F.col("h")) - 1, F.max(F.col("x0") + F.col("w")) - 1).alias("ends"))
+    last = F.pandas_udf(_last, "y int, x int")
+    for _ in range(1, scales - 1):
+        at = ranks.by_group(pairs, out, keys).select(*keys, "ends", last("data", "y0", "x0", "h", "w", "ends").alias("__at"))
+        out = at.groupBy(*keys, "ends").agg(F.max("__at.y").alias("__y"), F.max("__at.x").alias("__x")).select(*keys, F.concat_ws(" ", "ends", "__y", "__x").alias("ends"))
     return out
 
 
 def measures(pairs: DataFrame, keys: list[str], scales: int = len(WEIGHTS)) -> DataFrame:
     """(keys, scale, noise_sum, noise_n, low, high, n, sd_source, sd_finished, cov) of each tile and scale of complex tiles (`tiles.from_pixels` with
     `second`): sums of the absolute second differences of the source, the tile's range of it, and the packed local measures of the n windows that hold
-    no missing pixel. Tile sides must be multiples of 2 ** (scales - 1), and, where an image has several tiles, at least 6 times that."""
+    no missing pixel; one of a coarser scale is the mean of its pixels that are not. Tile sides must be multiples of 2 ** (scales - 1), and, where an image has several tiles, at least 6 times that."""
     if not 1 <= scales <= len(WEIGHTS):
         raise ValueError(f"one to {len(WEIGHTS)} scales")
     unit = 2 ** (scales - 1)
@@ -85,6 +114,8 @@ def measures(pairs: DataFrame, keys: list[str], scales: int = len(WEIGHTS)) -> D
     def run(padded: np.ndarray, at: dict) -> list[tuple]:
         if at["y0"] % unit or at["x0"] % unit:
             raise ValueError(f"sides of tiles must be multiples of {unit}")
+        numbers = [int(e) for e in at["ends"].split()]
+        ends = list(zip(numbers[::2], numbers[1::2]))
         own = padded[halo : halo + at["h"], halo : halo + at["w"]].real
         low, high = (float(f(own[~np.isnan(own)])) if not np.isnan(own).all() else None for f in (np.min, np.max))
         middle = np.nan_to_num(np.nanmean(padded.real)) + 1j * np.nan_to_num(np.nanmean(padded.imag)) if not np.isnan(padded).all() else 0j
@@ -94,6 +125,10 @@ def measures(pairs: DataFrame, keys: list[str], scales: int = len(WEIGHTS)) -> D
             if scale:
                 h = halo >> (scale - 1)
                 a = _halved(a, h if at["y0"] == 0 else None, h if at["x0"] == 0 else None)
+                # Beyond the last row and column of the level before, there is none.
+                my, mx = ends[scale - 1]
+                a[max(0, my // 2 + 1 - (at["y0"] >> scale) + (halo >> scale)) :] = np.nan + 1j * np.nan
+                a[:, max(0, mx // 2 + 1 - (at["x0"] >> scale) + (halo >> scale)) :] = np.nan + 1j * np.nan
             edge = halo >> scale
             ny, nx = ((at[c] - 1 >> scale) + 1 for c in ("h", "w"))
             part = a[edge - reach : edge + ny + reach, edge - reach : edge + nx + reach]
@@ -109,7 +144,9 @@ def measures(pairs: DataFrame, keys: list[str], scales: int = len(WEIGHTS)) -> D
         return rows
 
     schema = "scale int, noise_sum double, noise_n long, low double, high double, n long, sd_source binary, sd_finished binary, cov binary"
-    return tiles.map_tiles(pairs, keys, halo, run, schema, rows=True, border="missing", dtype=np.complex64)
+    pairs = shared.kept(pairs, "pairs")
+    placed = ranks.by_group(pairs, extents(pairs, keys, scales), keys)
+    return tiles.map_tiles(placed, [*keys, "ends"], halo, run, schema, rows=True, border="missing", dtype=np.complex64).drop("ends")
 
 
 def noise(measured: DataFrame, keys: list[str]) -> DataFrame:

@@ -103,3 +103,21 @@ def test_gaps_flat_images_and_noise_of_others(spark):
 def test_normal_cdf():
     x = np.linspace(-6.5, 6.5, 131)
     assert np.abs(fidelity.normal_cdf(x) - cdf(x)).max() < 1e-11
+
+
+def test_ragged_images_equal_sql(spark, tmp_path):
+    """A last row of half the columns, and rows and columns apart from the rest, move the last row and column of coarser scales."""
+    import duckdb
+
+    from photonframe.plans import registry
+
+    from .oracle import compare
+
+    place = lambda i, y, x: i * 128 * 128 + y * 128 + x
+    keys = [place(0, y, x) for y in range(41) for x in range(128) if y < 40 or x < 64]
+    keys += [place(1, y, x) for y in range(95) for x in range(128) if y <= 49 or (y == 94 and x < 50) or (y == 93 and x == 127)]
+    df = spark.createDataFrame([(k, 1000.0 + (k * 7919 % 4990) * 100.0 % 400_000) for k in keys], "o_orderkey long, o_totalprice double")
+    df.write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert compare(spark, con, str(tmp_path), registry.QUERIES["structural_fidelity"], registry.ORACLES["structural_fidelity"]) == 8
