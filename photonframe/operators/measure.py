@@ -31,24 +31,55 @@ def frame_groups(frames: DataFrame, scope: list[str], ratio: float = 2.0, least:
     return groups.withColumn("role", role).withColumn("reason", reason).drop("__r", "__m")
 
 
-def stamps(stars: DataFrame, pixels: DataFrame, half: int, cell: int) -> DataFrame:
-    """(star_id, dy, dx, v): pixels (y, x, v) within `half` of stars (star_id, y, x). An equi-join on cells of at least `half` pixels; a star
+def stamps(stars: DataFrame, pixels: DataFrame, half: int, cell: int, keep: tuple[str, ...] = ("star_id",), values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(keep, dy, dx, values): pixels (y, x, values) within `half` of stars (keep, y, x). An equi-join on cells of at least `half` pixels; a star
     is repeated for the cells that its box touches."""
     low = lambda c: F.floor((F.col(c) - half) / cell).cast("long")
     high = lambda c: F.floor((F.col(c) + half) / cell).cast("long")
-    s = stars.select("star_id", F.col("y").alias("sy"), F.col("x").alias("sx"), F.explode(F.sequence(low("y"), high("y"))).alias("cy"), F.sequence(low("x"), high("x")).alias("__cx"))
-    s = s.select("star_id", "sy", "sx", "cy", F.explode("__cx").alias("cx"))
+    s = stars.select(*keep, F.col("y").alias("sy"), F.col("x").alias("sx"), F.explode(F.sequence(low("y"), high("y"))).alias("cy"), F.sequence(low("x"), high("x")).alias("__cx"))
+    s = s.select(*keep, "sy", "sx", "cy", F.explode("__cx").alias("cx"))
     p = pixels.withColumn("cy", F.floor(F.col("y") / cell).cast("long")).withColumn("cx", F.floor(F.col("x") / cell).cast("long"))
     box = (F.abs(F.col("y") - F.col("sy")) <= half) & (F.abs(F.col("x") - F.col("sx")) <= half)
-    return s.join(p, ["cy", "cx"]).filter(box).select("star_id", (F.col("y") - F.col("sy")).alias("dy"), (F.col("x") - F.col("sx")).alias("dx"), "v")
+    return s.join(p, ["cy", "cx"]).filter(box).select(*keep, (F.col("y") - F.col("sy")).alias("dy"), (F.col("x") - F.col("sx")).alias("dx"), *values)
 
 
-def aperture_flux(cut: DataFrame, radius: float, inner: float, outer: float) -> DataFrame:
-    """(star_id, flux, sky): light within a radius above the median of a ring."""
+#: What tells the sites of `sites` apart, each of which may be null.
+SITE = ("__y", "__x", "__id")
+
+
+def sites(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(SITE, y, x, times) and (star_id, SITE): stars of one place see the same pixels, so they are one site, which is measured once. A star
+    with several places is a site of its own; a place counts as often as the star has it. Stars without a place have no site."""
+    placed = stars.filter("y is not null and x is not null").select("star_id", "y", "x")
+    known = placed.groupBy("star_id").agg(F.count(F.lit(1)).alias("__n"), F.min("y").alias("y"), F.min("x").alias("x"))
+    one, none = F.col("__n") == 1, F.lit(None)
+    of = known.select("star_id", F.when(one, F.col("y")).alias("__y"), F.when(one, F.col("x")).alias("__x"), F.when(~one, F.col("star_id")).alias("__id"))
+    single = known.filter(one).select("y", "x").distinct()
+    kind = stars.schema["star_id"].dataType
+    single = single.select(F.col("y").alias("__y"), F.col("x").alias("__x"), none.cast(kind).alias("__id"), "y", "x", F.lit(1).cast("long").alias("times"))
+    several = ranks.by_group(placed, known.filter(~one).select("star_id"), ["star_id"]).groupBy("star_id", "y", "x").agg(F.count(F.lit(1)).alias("times"))
+    several = several.select(*(none.cast(stars.schema[c].dataType).alias(f"__{c}") for c in "yx"), F.col("star_id").alias("__id"), "y", "x", "times")
+    return single.unionByName(several), of
+
+
+def counted(pixels: DataFrame, *values: str) -> DataFrame:
+    """(y, x, values, n): how often each value occurs at a place."""
+    return pixels.filter("y is not null and x is not null").groupBy("y", "x", *values).agg(F.count(F.lit(1)).alias("n"))
+
+
+def aperture_flux(stars: DataFrame, pixels: DataFrame, half: int, cell: int, radius: float, inner: float, outer: float) -> DataFrame:
+    """(star_id, flux, sky) of stars (star_id, y, x) with pixels (y, x, v) within `half`: light within a radius above the median of a ring.
+
+    The work grows with the distinct places of stars times the distinct values near them, not with stars times pixels."""
+    at, of = sites(stars)
     r2 = F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-    ring, core = F.when((r2 >= inner**2) & (r2 <= outer**2), F.col("v")), F.when(r2 <= radius**2, F.col("v"))
-    out = cut.groupBy("star_id").agg(F.sum(core).alias("__s"), F.count(core).alias("__n"), F.median(ring).alias("sky"))
-    return out.select("star_id", (F.col("__s") - F.col("__n") * F.coalesce("sky", F.lit(0.0))).alias("flux"), "sky")
+    cut = stamps(at, counted(pixels, "v"), half, cell, (*SITE, "times"), ("v", "n"))
+    cut = cut.groupBy(*SITE, "v", (r2 <= radius**2).alias("__core"), ((r2 >= inner**2) & (r2 <= outer**2)).alias("__ring")).agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    lit = F.col("__core") & F.col("v").isNotNull()
+    sky = F.percentile(F.when(F.col("__ring"), F.col("v")), F.lit(0.5), F.col("n"))
+    out = cut.groupBy(*SITE).agg(F.sum(F.when(lit, F.col("v") * F.col("n"))).alias("__s"), F.sum(F.when(lit, F.col("n")).otherwise(0)).alias("__n"), sky.alias("sky"))
+    out = out.select(*SITE, (F.col("__s") - F.col("__n") * F.coalesce("sky", F.lit(0.0))).alias("flux"), "sky")
+    return ranks.by_group(of, out, list(SITE)).select("star_id", "flux", "sky")
 
 
 def centroid_offsets(cut: DataFrame, sigma: float = 3.0, saturation: float | None = None) -> DataFrame:

@@ -32,13 +32,12 @@ def star_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aperture_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p = _stars_pixels(spark, sf_dir)
-    return measure.aperture_flux(measure.stamps(s, p, 12, 16), 6, 8, 12).select("star_id", r6("flux").alias("flux"), r6("sky").alias("sky"))
+    return measure.aperture_flux(s, p, 12, 16, 6, 8, 12).select("star_id", r6("flux").alias("flux"), r6("sky").alias("sky"))
 
 
 def ring_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p = _stars_pixels(spark, sf_dir)
-    cut = measure.stamps(s, p, 12, 16).withColumn("grp", F.col("star_id") % 5)
-    return measure.ring_profile(cut, ["grp"], 2.0).select("grp", "ring", r6("level").alias("level"), r6("error").alias("error"), "n")
+    return measure.ring_profile(measure.stamps(s, p, 12, 16).withColumn("grp", F.col("star_id") % 5), ["grp"], 2.0).select("grp", "ring", r6("level").alias("level"), r6("error").alias("error"), "n")
 
 
 def detected_radius(spark: SparkSession, sf_dir: str) -> DataFrame:

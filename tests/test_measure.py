@@ -1,6 +1,12 @@
 import random
 
+import duckdb
+import pytest
+
 from photonframe.operators import measure
+from photonframe.plans import registry
+
+from .oracle import compare
 
 UNENDING = "unboundedfollowing"
 
@@ -29,3 +35,24 @@ def test_nearest_value_in_order_of_large_groups(spark):
         known = sorted((o, v) for k, o, v in rows if k == "many" and v is not None)
         for o in rng.sample([o for k, o, _ in rows if k == "many"], 300):
             assert got["many", o] == min((abs(o - p), p, v) for p, v in known)[2]
+
+
+@pytest.mark.parametrize("name", ["aperture_flux"])
+def test_stars_and_pixels_of_one_place_equal_sql_without_pairs(spark, tmp_path, name):
+    """Stars that share a place, have several or none, have no id; pixels that share a place or have none."""
+    rng = random.Random(5)
+    stars = [(i, rng.choice([3, 4, 5, 20]), rng.choice([1000.0, 1049.0, 1730.0, 9000.0])) for i in range(40)]
+    stars += [(2, 5, 1100.0), (2, 5, 1100.0), (3, 3, 1730.0), (None, 4, 1000.0), (None, 5, 1300.0), (50, None, 1000.0), (51, 4, None), (51, 4, 1000.0)]
+    pixels = [(k, k % 25, rng.uniform(600, 2400)) for k in rng.sample([k for k in range(40_000) if 20 <= k % 200 <= 52 and k % 97 < 94], 600)] * 3 + [(None, 1, 1000.0), (24, 1, None)]
+    spark.createDataFrame(stars, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(pixels, "c_custkey long, c_nationkey int, c_acctbal double").repartition(3).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert compare(spark, con, str(tmp_path), registry.QUERIES[name], registry.ORACLES[name]) > 10
+
+
+def test_stars_of_one_place_are_one_site(spark):
+    stars = spark.createDataFrame([(i, i % 2, 0) for i in range(1000)] + [(2000, 0, 0), (2000, 1, 0)], "star_id long, y int, x int")
+    at, of = measure.sites(stars)
+    assert at.count() == 4 and at.agg({"times": "sum"}).first()[0] == 4 and of.count() == 1001
