@@ -95,13 +95,21 @@ def centroid_offsets(cut: DataFrame, sigma: float = 3.0, saturation: float | Non
     return out.select("star_id", "n", *((F.col(f"__b{d}") / F.col("__b") - F.col(f"__a{d}") / F.col("__a")).alias(d) for d in ("dy", "dx")))
 
 
-def ring_profile(cut: DataFrame, keys: list[str], width: float = 1.0) -> DataFrame:
-    """(keys, ring, level, error, n): medians of rings and their standard errors."""
+def ring_profile(stars: DataFrame, pixels: DataFrame, half: int, cell: int, keys: list[str], width: float = 1.0) -> DataFrame:
+    """(keys, ring, level, error, n) of the pixels (y, x, v) within `half` of stars (keys, y, x): medians of rings and their standard errors.
+
+    How often a place lies in a ring of the stars of a group is counted first; its values are then counted as often. No pairs of stars and pixels are made."""
     ring = F.floor(F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / width).cast("int")
-    df = cut.withColumn("ring", ring)
-    df = df.join(df.groupBy(*keys, "ring").agg(F.median("v").alias("level")), [*keys, "ring"])
-    out = df.groupBy(*keys, "ring", "level").agg(F.median(F.abs(F.col("v") - F.col("level"))).alias("__m"), F.count(F.lit(1)).alias("n"))
-    return out.select(*keys, "ring", "level", (1.2533 * MAD_SCALE * F.col("__m") / F.sqrt("n")).alias("error"), "n")
+    values = counted(pixels, "v")
+    at = stars.groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("times"))
+    places = values.select("y", "x").distinct().withColumns({"__py": F.col("y"), "__px": F.col("x")})
+    seen = stamps(at, places, half, cell, (*keys, "times"), ("__py", "__px")).groupBy(*keys, ring.alias("ring"), F.col("__py").alias("y"), F.col("__px").alias("x")).agg(F.sum("times").alias("times"))
+    group = [*keys, "ring"]
+    points = seen.join(values, ["y", "x"]).groupBy(*group, "v").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
+    levels = ranks.by_group(points.groupBy(*group).agg(F.sum("n").alias("__n")), ranks.counted_medians(points, group, "v", "n", "level"), group, "left")
+    apart = ranks.by_group(points, levels.drop("__n"), group).withColumn("__d", F.abs(F.col("v") - F.col("level")))
+    out = ranks.by_group(levels, ranks.counted_medians(apart, group, "__d", "n", "__m"), group, "left")
+    return out.select(*group, "level", (1.2533 * MAD_SCALE * F.col("__m") / F.sqrt("__n")).alias("error"), F.col("__n").alias("n"))
 
 
 def detected_radius(profile: DataFrame, keys: list[str], k: float = 3.0, run: int = 3) -> DataFrame:

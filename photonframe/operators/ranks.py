@@ -89,6 +89,16 @@ def with_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: st
     return by_group(df, quantiles(df, keys, value, {name: q}, plain=plain).select(*keys, name), keys)
 
 
+def counted_medians(df: DataFrame, keys: list[str], value: str, count: str, name: str) -> DataFrame:
+    """(keys, name): medians of values that stand for `count` rows each; a group's distinct values are read in order, not held."""
+    points = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.sum(count).alias("__c"))
+    total = points.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    so_far = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = by_group(points.withColumn("__run", F.sum("__c").over(so_far)), total, keys)
+    low, high = (F.min(F.when(F.col("__run") > F.floor(place / 2), F.col("__v"))) for place in (F.col("__n") - 1, F.col("__n")))
+    return at.groupBy(*keys).agg(((low + high) / 2).alias(name))
+
+
 def _bucketed(df: DataFrame, keys: list[str], v: Column, nulls: int, total: str, bits: int) -> DataFrame:
     """Rows with `__b`, the bucket of `v` in their group by its sketch (`nulls` where it is null), and the size of the group."""
     edges = F.percentile_approx(v, F.array(*(F.lit((i + 1) / (1 << bits)) for i in range((1 << bits) - 1))), ACCURACY)

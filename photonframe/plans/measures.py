@@ -37,7 +37,7 @@ def aperture_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ring_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p = _stars_pixels(spark, sf_dir)
-    return measure.ring_profile(measure.stamps(s, p, 12, 16).withColumn("grp", F.col("star_id") % 5), ["grp"], 2.0).select("grp", "ring", r6("level").alias("level"), r6("error").alias("error"), "n")
+    return measure.ring_profile(s.withColumn("grp", F.col("star_id") % 5), p, 12, 16, ["grp"], 2.0).select("grp", "ring", r6("level").alias("level"), r6("error").alias("error"), "n")
 
 
 def detected_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
