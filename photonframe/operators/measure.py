@@ -85,14 +85,46 @@ def aperture_flux(stars: DataFrame, pixels: DataFrame, half: int, cell: int, rad
 def centroid_offsets(cut: DataFrame, sigma: float = 3.0, saturation: float | None = None) -> DataFrame:
     """(star_id, n, dy, dx): how far stars lie in an image from where they lie in the reference. The stamps' v is a struct (a: reference, b: image);
     centroids are weighted by a Gaussian, above the stamp's median. Stars without light in either, or saturated in either, are left out."""
-    part = Window.partitionBy("star_id")
-    planes = cut.select("star_id", "dy", "dx", *((F.col(f"v.{c}") - F.median(f"v.{c}").over(part)).alias(c) for c in "ab"), F.greatest("v.a", "v.b").alias("__top"))
-    w = F.exp(-(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / (2 * sigma**2))
-    sums = [F.sum(F.col(c) * w * (F.lit(1.0) if d is None else F.col(d))).alias(f"__{c}{d or ''}") for c in "ab" for d in (None, "dy", "dx")]
-    out = planes.groupBy("star_id").agg(F.count(F.lit(1)).alias("n"), F.max("__top").alias("__top"), *sums).filter("__a > 0 and __b > 0")
+    once = F.lit(1).cast("long")
+    light, values = cut.groupBy("star_id", "dy", "dx").agg(*_light()), _values(cut, "star_id").withColumn("n", once)
+    return _offsets(light.withColumn("times", once), values.withColumn("times", once), ["star_id"], sigma, saturation)
+
+
+def field_offsets(stars: DataFrame, pixels: DataFrame, half: int, cell: int, sigma: float = 3.0, saturation: float | None = None) -> DataFrame:
+    """`centroid_offsets` of stars (star_id, y, x) with pixels (y, x, v) within `half`. A site's pixels are summed by place and its medians taken of
+    counted values, so that stars at one place, and pixels at one place, cost no pairs."""
+    at, of = sites(stars)
+    pixels = pixels.filter("y is not null and x is not null")
+    light = stamps(at, pixels.groupBy("y", "x").agg(*_light()), half, cell, (*SITE, "times"), _SUMS)
+    values = stamps(at, counted(_values(pixels, "y", "x"), "plane", "value"), half, cell, (*SITE, "times"), ("plane", "value", "n"))
+    return ranks.by_group(of, _offsets(light, values, list(SITE), sigma, saturation), list(SITE)).select("star_id", "n", "dy", "dx")
+
+
+_SUMS = ("__n", "__na", "__nb", "__sa", "__sb", "__top")
+
+
+def _light() -> list[Column]:
+    """Of the pixels at one place: their number, the numbers and sums of both planes' values, and the greatest value."""
+    each = [f(f"v.{c}").alias(f"__{n}{c}") for n, f in (("n", F.count), ("s", F.sum)) for c in "ab"]
+    return [F.count(F.lit(1)).alias("__n"), *each, F.max(F.greatest("v.a", "v.b")).alias("__top")]
+
+
+def _values(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep, plane, value): the values of both planes, one below the other."""
+    return df.select(*keep, F.explode(F.array(*(F.struct(F.lit(c).alias("plane"), F.col(f"v.{c}").cast("double").alias("value")) for c in "ab"))).alias("__v")).select(*keep, "__v.plane", "__v.value")
+
+
+def _offsets(light: DataFrame, values: DataFrame, keys: list[str], sigma: float, saturation: float | None) -> DataFrame:
+    """(keys, n, dy, dx) of what each place of a stamp holds (keys, dy, dx, times and the sums of it) and of its values (keys, plane, value, n, times)."""
+    found = values.groupBy(*keys, "plane", "value").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    medians = found.groupBy(*keys).agg(*(F.percentile(F.when(F.col("plane") == c, F.col("value")), F.lit(0.5), F.col("n")).alias(f"__m{c}") for c in "ab"))
+    w = F.exp(-(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / (2 * sigma**2)) * F.col("times")
+    above = {c: (F.col(f"__s{c}") - F.col(f"__m{c}") * F.col(f"__n{c}")) * w for c in "ab"}
+    sums = [F.sum(above[c] * (F.lit(1.0) if d is None else F.col(d))).alias(f"__{c}{d or ''}") for c in "ab" for d in (None, "dy", "dx")]
+    out = ranks.by_group(light, medians, keys).groupBy(*keys).agg(F.sum(F.col("__n") * F.col("times")).alias("n"), F.max("__top").alias("__top"), *sums).filter("__a > 0 and __b > 0")
     if saturation is not None:
         out = out.filter(F.col("__top") < 0.8 * saturation)
-    return out.select("star_id", "n", *((F.col(f"__b{d}") / F.col("__b") - F.col(f"__a{d}") / F.col("__a")).alias(d) for d in ("dy", "dx")))
+    return out.select(*keys, "n", *((F.col(f"__b{d}") / F.col("__b") - F.col(f"__a{d}") / F.col("__a")).alias(d) for d in ("dy", "dx")))
 
 
 def ring_profile(stars: DataFrame, pixels: DataFrame, half: int, cell: int, keys: list[str], width: float = 1.0) -> DataFrame:

@@ -13,7 +13,7 @@ def centroid_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("star_id"), F.floor(F.col("s_acctbal") / 50).cast("long").alias("y"), (F.col("s_nationkey") * 8).cast("long").alias("x"))
     planes = F.struct((F.col("c_custkey") % 97 * 1.0).alias("a"), (F.col("c_custkey") % 89 * 1.0).alias("b"))
     p = table(spark, sf_dir, "customer").select(F.floor(F.col("c_acctbal") / 50).cast("long").alias("y"), (F.col("c_custkey") % 200).alias("x"), planes.alias("v"))
-    out = measure.centroid_offsets(measure.stamps(stars, p, 6, 16), 3.0, 118.0)
+    out = measure.field_offsets(stars, p, 6, 16, 3.0, 118.0)
     return out.select("star_id", "n", r6("dy").alias("dy"), r6("dx").alias("dx"))
 
 

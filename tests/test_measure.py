@@ -37,7 +37,7 @@ def test_nearest_value_in_order_of_large_groups(spark):
             assert got["many", o] == min((abs(o - p), p, v) for p, v in known)[2]
 
 
-@pytest.mark.parametrize("name", ["aperture_flux", "ring_profile"])
+@pytest.mark.parametrize("name", ["aperture_flux", "ring_profile", "centroid_offsets"])
 def test_stars_and_pixels_of_one_place_equal_sql_without_pairs(spark, tmp_path, name):
     """Stars that share a place, have several or none, have no id; pixels that share a place or have none."""
     rng = random.Random(5)
