@@ -10,16 +10,20 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonframe.functions import sky
+from photonframe.sources import shared
 
 #: Order of the cells that a catalogue stores (about 13 arc seconds), and that of its folders (48 chunks).
 ORDER, CHUNK_ORDER = 14, 1
-#: Ranges of cells in a reader's filter at most, and parts of a crowded cell.
-PUSHED, SALT = 32, 16
+#: Ranges of cells in a reader's filter at most.
+PUSHED = 32
+#: A cone's radius is at most so many times its cells' reach; pairs that a cell compares in one part; cosines apart that rounding cannot turn.
+FINER, PAIRS, RIM = 3.5, 5_000_000, 1e-12
 
 
 def _spread(bits: Column) -> Column:
@@ -156,35 +160,93 @@ def read_cone(spark: SparkSession, path: str, at: float, dec: float, radius: flo
     return stars.withColumn("sep", sky.separation(F.col(names[0]), F.col(names[1]), F.lit(at), F.lit(dec))).filter(F.col("sep") <= radius).drop("cell", "chunk")
 
 
-def cone_cells(cones: DataFrame, order: int, ra: str = "cra", dec: str = "cdec", radius: str = "radius", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep, ra, dec, radius, cell): a row for each cell of `order` that a cone meets."""
-    own = [*keep, ra, dec, radius]
+def _centres(order: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`centre` of many cells, in radians."""
+    side = 1 << order
+    face, rest = number // (side * side), number % (side * side)
+    x, y = (sum(((rest >> 2 * i + j) & 1) << i for i in range(order)) + 0 * rest for j in (0, 1))
+    ring, around = face // 4, face % 4
+    i = (ring + 2) * side - x - y - 1
+    length = np.minimum(np.minimum(i, 4 * side - i), side)
+    cap = 1 - length * length / (3.0 * side * side)
+    z = np.where(i < side, cap, np.where(i > 3 * side, -cap, (2 * side - i) * 2 / (3.0 * side)))
+    return np.radians(45.0 * (2 * around + (ring != 1) + (x - y) / length)), np.arcsin(np.clip(z, -1, 1))
+
+
+def _covers(ra: np.ndarray, dec: np.ndarray, radius: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which cone, cell of `order`): all cells that the cones may meet, level by level for all cones at once."""
+    a, d, r = np.radians(ra), np.radians(dec), np.radians(radius)
+    who, cells = np.repeat(np.arange(len(ra)), 12), np.tile(np.arange(12), len(ra))
+    for k in range(order + 1):
+        if k:
+            who, cells = np.repeat(who, 4), (4 * cells[:, None] + np.arange(4)).ravel()
+        ca, cd = _centres(k, cells)
+        h = np.sin((cd - d[who]) / 2) ** 2 + np.cos(d[who]) * np.cos(cd) * np.sin((ca - a[who]) / 2) ** 2
+        near = 2 * np.arcsin(np.sqrt(np.minimum(1.0, h))) <= r[who] + math.radians(reach(k))
+        who, cells = who[near], cells[near]
+    return who, cells
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows of a few files dealt to all cores, where what follows takes long beside their few bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def cone_cells(cones: DataFrame, order: int | str, ra: str = "cra", dec: str = "cdec", radius: str = "radius", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, ra, dec, radius, cell): a row for each cell that a cone meets, of one order or of that in a column (which is kept)."""
+    own = [*keep, *([order] if isinstance(order, str) else []), ra, dec, radius]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [(i, n) for i, (a, d, r) in enumerate(zip(frame[ra], frame[dec], frame[radius])) if a == a and d == d and r == r for x, y in cone_ranges(a, d, r, order, order) for n in range(x, y)]
-            yield frame.iloc[[i for i, _ in found]].assign(cell=[n for _, n in found])
-
-    rows = cones.select(*keep, *(F.col(c).cast("double").alias(c) for c in (ra, dec, radius)))
+            for begin in range(0, max(1, len(frame)), 2000):
+                part = frame.iloc[begin : begin + 2000]
+                part = part[part[[ra, dec, radius]].notna().all(axis=1)]
+                for k in sorted(set(part[order])) if isinstance(order, str) else [order]:
+                    mine = part[part[order] == k] if isinstance(order, str) else part
+                    who, cells = _covers(*(mine[c].to_numpy(float) for c in (ra, dec, radius)), int(k))
+                    yield mine.iloc[who].assign(cell=cells)
+
+    rows = cones.select(*own[:-3], *(F.col(c).cast("double").alias(c) for c in (ra, dec, radius)))
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own), "cell long"])
-    return rows.mapInPandas(run, schema)
+    return _dealt(rows).mapInPandas(run, schema)
 
 
 def in_cones(stars: DataFrame, cones: DataFrame, keep: tuple[str, ...], ra: str = "ra", dec: str = "dec") -> DataFrame:
-    """Stars within cones (keep, cra, cdec, radius), with `sep`, by an equi-join on cells about as large as the largest cone: a cone meets a
-    bounded number of them, and a star is in one. Stars of a crowded cell are spread by a salt, against as many copies of its cones."""
-    widest = cones.agg(F.max("radius")).first()[0]
-    if widest is None:
-        widest = 1.0
-    order = max((k for k in range(ORDER + 1) if reach(k) >= widest), default=0)
-    # Crowded cells: those with more than a thousandth of all stars, so at most a thousand; their stars are dealt over SALT parts.
-    placed = stars.withColumn("cell", cell(F.col(ra), F.col(dec), order)).filter("cell is not null")
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    crowded = F.broadcast(sizes.filter(F.col("n") > max(100_000, total // 1000)).select("cell", F.lit(SALT).alias("parts")))
-    placed = placed.join(crowded, "cell", "left").withColumn("__s", F.pmod(F.xxhash64(ra, dec), F.coalesce("parts", F.lit(1)))).drop("parts")
-    near = cone_cells(cones, order, keep=keep).join(crowded, "cell", "left")
-    near = near.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("parts", F.lit(1)) - 1).cast("long")))).drop("parts")
-    met = placed.join(near, ["cell", "__s"]).withColumn("sep", sky.separation(F.col(ra), F.col(dec), F.col("cra"), F.col("cdec")))
-    return met.filter("sep <= radius").drop("cell", "__s", "cra", "cdec", "radius")
-
+    """Stars within cones (keep, cra, cdec, radius), with `sep`, by an equi-join on cells a few times smaller than the cone: a cone meets a
+    bounded number of them, and a star is in one of each order that the radii ask for. Where a cell would compare many pairs, the side with more rows is
+    dealt over parts, against copies of the other."""
+    radius = F.col("radius").cast("double")
+    fits = F.lit(0)
+    for k in range(1, ORDER + 1):
+        fits = F.when(radius <= FINER * reach(k), k).otherwise(fits)
+    sized = cones.withColumn("__order", fits).filter("cra is not null and cdec is not null and radius is not null")
+    orders = sorted(r[0] for r in sized.select("__order").distinct().collect()) or [0]
+    key = F.col("cell") + F.call_function("shiftleft", F.lit(4).cast("long"), 2 * F.col("__order"))
+    near = shared.kept(cone_cells(sized, "__order", keep=keep).withColumn("cell", key).drop("__order"), "cones")
+    # A cell's number in a coarser order is that without its last bits.
+    vector = lambda a, d: [F.cos(F.radians(d)) * F.cos(F.radians(a)), F.cos(F.radians(d)) * F.sin(F.radians(a)), F.sin(F.radians(d))]
+    placed = _dealt(stars).withColumns({"cell": cell(F.col(ra), F.col(dec), orders[-1])} | dict(zip(("__x", "__y", "__z"), vector(ra, dec))))
+    placed = shared.kept(placed, "stars").filter("cell is not null").withColumn("__order", F.explode(F.array(*map(F.lit, orders))))
+    placed = placed.withColumn("cell", F.call_function("shiftright", F.col("cell"), 2 * (orders[-1] - F.col("__order")))).withColumn("cell", key).drop("__order")
+    n, m = F.col("n"), F.col("m")
+    counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(near.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell")
+    parts = F.ceil(n * m / PAIRS)
+    crowded = shared.kept(counts.filter(n * m > PAIRS).select("cell", F.when(n >= m, parts).alias("__stars"), F.when(n < m, parts).alias("__cones")), "crowded")
+    on = ["cell"]
+    if crowded.first() is not None:
+        on = ["cell", "__s"]
+        none = F.array(F.lit(0).cast("long"))
+
+        def dealt(df: DataFrame, columns: list[str], mine: str, other: str) -> DataFrame:
+            out = df.join(F.broadcast(crowded), "cell", "left")
+            part = F.when(F.col(mine).isNotNull(), F.array(F.pmod(F.xxhash64(*columns), F.col(mine)))).when(F.col(other).isNotNull(), F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+            return out.withColumn("__s", F.explode(F.coalesce(part, none))).drop("__stars", "__cones")
+
+        placed, near = dealt(placed, stars.columns, "__stars", "__cones"), dealt(near, [c for c in near.columns if c != "cell"], "__cones", "__stars")
+    # The product of unit vectors settles all but what lies within rounding of a cone's rim; only that, and what is returned, is measured.
+    near = near.withColumns(dict(zip(("__u", "__v", "__w"), vector("cra", "cdec"))) | {"__rim": F.cos(F.radians(F.greatest(F.lit(0.0), F.least(F.lit(180.0), "radius"))))})
+    sep = sky.separation(F.col(ra), F.col(dec), F.col("cra"), F.col("cdec"))
+    dot = F.col("__x") * F.col("__u") + F.col("__y") * F.col("__v") + F.col("__z") * F.col("__w") - F.col("__rim")
+    met = placed.join(near, on).filter((dot >= -RIM) & ((dot > RIM) & (F.col("radius") >= 0) | (sep <= F.col("radius"))))
+    return met.withColumn("sep", sep).drop("cell", "__s", "cra", "cdec", "radius", *(f"__{c}" for c in "xyzuvw"), "__rim")

@@ -82,3 +82,25 @@ def test_join_of_many_cones(spark, monkeypatch):
     want = sorted((k, r.id) for r in stars.collect() for k, a, d, radius in cones if a is not None and skycells._distance(r.ra, r.dec, a, d) <= radius)
     assert got == want
     assert skycells.in_cones(stars, cdf.limit(0), ("k",)).count() == 0 == skycells.in_cones(stars.limit(0), cdf, ("k",)).count()
+
+
+def test_cones_of_all_sizes_in_parts(spark, monkeypatch):
+    """Covers of many cones at once hold those of one cone; few pairs a part, radii from zero to the whole sky, and rims that stars lie on."""
+    rng = random.Random(11)
+    for order in (0, 2, 6):
+        some = [(rng.uniform(-400, 400), rng.choice([90.0, -90.0, rng.uniform(-90, 90)]), rng.choice([0.0, 0.3, 5.0, 60.0, 180.0]) / 2**order) for _ in range(30)]
+        who, cells = skycells._covers(*(np.array(c) for c in zip(*some)), order)
+        for i, one in enumerate(some):
+            assert sorted(cells[who == i]) == [n for a, b in skycells.cone_ranges(*one, order, order) for n in range(a, b)]
+    monkeypatch.setattr(skycells, "PAIRS", 40)
+    stars = frame(spark, places(1500, 6) + [(10.0, 10.0)] * 200 + [(float(i), 90.0) for i in range(50)])
+    cones = [(i, rng.uniform(-360, 720), rng.uniform(-90, 90), rng.choice([0.01, 0.5, 4.0, 30.0])) for i in range(40)] + [(100 + i, 10.0, 10.0, 0.0) for i in range(30)]
+    cones += [(200, 0.0, 0.0, 180.0), (201, 5.0, 80.0, 10.0), (202, 1.0, 1.0, -1.0), (203, 1.0, None, 1.0)]
+    got = sorted((r.k, r.id) for r in skycells.in_cones(stars, spark.createDataFrame(cones, "k int, cra double, cdec double, radius double"), ("k",)).collect())
+
+    def sep(a, d, b, e):
+        h = math.sin(math.radians(e - d) / 2) ** 2 + math.cos(math.radians(d)) * math.cos(math.radians(e)) * math.sin(math.radians(b - a) / 2) ** 2
+        return math.degrees(2 * math.asin(math.sqrt(min(1.0, h))))
+
+    want = sorted((k, r.id) for r in stars.collect() for k, a, d, radius in cones if d is not None and sep(r.ra, r.dec, a, d) <= radius)
+    assert got == want
