@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonframe.operators import ranks
 from photonframe.sources import shared
 
 #: Rows of a dictionary or library up to which it is broadcast; beyond, joins shuffle.
@@ -54,20 +58,41 @@ def permissive(a: Column, b: Column, tolerance: float) -> Column:
 def dark_masters(lights: DataFrame, darks: DataFrame) -> DataFrame:
     """Lights with the dark of equal gain and exposure (0.05 s or 2 %), nearest in temperature (unknown: 99), then of most frames.
 
-    Needs light_id, l_exp, l_gain, l_bin, l_temp and dark_id, d_exp, d_gain, d_bin, d_temp, d_stack.
+    Needs light_id, l_exp, l_gain, l_bin, l_temp and dark_id, d_exp, d_gain, d_bin, d_temp, d_stack (a number). Lights of equal exposure, gain and
+    binning are one kind; its darks and its lights' temperatures are put in order once, so that no pairs are made.
     """
     same = (
         permissive(F.col("l_gain"), F.col("d_gain"), 0.5)
         & (F.abs(F.col("l_exp") - F.col("d_exp")) <= F.greatest(F.lit(0.05), 0.02 * F.col("l_exp")))
         & (F.col("l_bin").isNull() | F.col("d_bin").isNull() | (F.col("l_bin") == F.col("d_bin")))
     )
-    # Exposures within 2 % lie in neighbouring cells of 3 % in the logarithm, which makes this an equi-join.
+    # Exposures within 2 % lie in neighbouring cells of 3 % in the logarithm, which makes this an equi-join, of the kinds of lights and darks only.
     cell = lambda c: F.floor(F.ln(F.greatest(F.col(c), F.lit(2.5))) / 0.03)
-    near = darks.withColumn("__c", F.explode(F.array(*(cell("d_exp") + d for d in (-1, 0, 1)))))
-    own = lights.withColumn("__c", cell("l_exp"))
-    apart = F.coalesce(F.abs(F.col("l_temp") - F.col("d_temp")), F.lit(99.0))
-    joined = own.join(near, (own["__c"] == near["__c"]) & same, "left").withColumn("delta", F.when(F.col("dark_id").isNotNull(), apart))
-    rank = F.row_number().over(Window.partitionBy("light_id").orderBy(F.col("delta").asc_nulls_last(), F.desc("d_stack"), "dark_id"))
+    kind, dark_kind = ["l_exp", "l_gain", "l_bin"], ["d_exp", "d_gain", "d_bin"]
+    given = darks.filter("dark_id is not null")
+    near = given.select(*dark_kind).distinct().withColumn("__c", F.explode(F.array(*(cell("d_exp") + d for d in (-1, 0, 1)))))
+    own = lights.select(*kind).distinct().withColumn("__c", cell("l_exp"))
+    met = own.join(near, (own["__c"] == near["__c"]) & same).select(*kind, *dark_kind)
+    # Of darks of one kind and temperature only the best can be taken.
+    best = F.min(F.struct(F.col("d_stack").isNull().alias("none"), (-F.col("d_stack")).alias("few"), F.col("dark_id").alias("id"))).alias("best")
+    library = ranks.by_group(met, given.groupBy(*dark_kind, "d_temp").agg(best), dark_kind)
+    library = shared.kept(library.groupBy(*kind, "d_temp").agg(F.min("best").alias("best")), "darks")
+    apart = lambda a, b: F.coalesce(F.abs(a - b), F.lit(99.0)).cast("double")
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    wanted = lights.select(*kind, "l_temp").distinct()
+    # A finite temperature is met from below, from above, or by darks that are as far from all such.
+    known = F.when(F.col("best").isNotNull(), F.struct(F.col("__t").alias("t"), "best"))
+    marks = wanted.filter(finite("l_temp")).select(*kind, F.col("l_temp").alias("__t"), F.lit(True).alias("__light")).unionByName(library.filter(finite("d_temp")).select(*kind, F.col("d_temp").alias("__t"), F.lit(False).alias("__light"), "best"), True)
+    marks = ranks.around(marks, kind, "__t", known, "__low", "__high").filter("__light").drop("best")
+    any_temp = library.filter(~finite("d_temp")).groupBy(*kind).agg(F.min(F.struct(apart(F.lit(0.0), F.col("d_temp")).alias("delta"), "best")).alias("__any"))
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(apart(F.col("__t"), F.col(f"{c}.t")).alias("delta"), F.col(f"{c}.best").alias("best")))
+    found = ranks.by_group(marks, any_temp, kind, "left").select(*kind, F.col("__t").alias("l_temp"), F.least(side("__low"), side("__high"), "__any").alias("__found"))
+    # Lights of unknown or infinite temperature have a few values a kind, which are compared with all.
+    odd = wanted.filter(~finite("l_temp")).alias("w").join(library.alias("b"), reduce(and_, (F.col(f"w.{c}").eqNullSafe(F.col(f"b.{c}")) for c in kind)))
+    odd = odd.groupBy(*(F.col(f"w.{c}").alias(c) for c in kind), "l_temp").agg(F.min(F.struct(apart(F.col("l_temp"), F.col("d_temp")).alias("delta"), "best")).alias("__found"))
+    joined = ranks.by_group(lights, found.unionByName(odd), [*kind, "l_temp"], "left").withColumns({"dark_id": F.col("__found.best.id"), "delta": F.col("__found.delta")})
+    # Rows of one light share the best of all.
+    rank = F.row_number().over(Window.partitionBy("light_id").orderBy(F.col("__found").asc_nulls_last()))
     out = joined.withColumn("__r", rank).filter(F.col("__r") == 1)
     return out.select(*lights.columns, "dark_id", "delta", F.coalesce(F.col("delta") > 5, F.lit(False)).alias("warm"))
 
